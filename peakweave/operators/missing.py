@@ -90,51 +90,60 @@ def min_classes(df: DataFrame, label: str = "subcategory", more_than: int = 1, f
     return seen.filter(F.col("_seen") > more_than).select(feature)
 
 
-def min_points_two_classes(
-    df: DataFrame,
-    label: str = "subcategory",
-    points: int = 3,
-    classes: int = 2,
-    file: str = "file",
-    feature: str = "feature",
-    value: str = "value",
-    technique: str | None = "technique",
+def feature_profile(
+    df: DataFrame, label: str = "subcategory", points: int = 3, file: str = "file", feature: str = "feature",
+    value: str = "value", technique: str = "technique",
 ) -> DataFrame:
-    """Features with enough values in at least two classes.
+    """Everything the cleaning rules ask about a feature, from one pass over collapsed cells.
 
-    Files of another technique count as measured zeros (`technique=None` switches that off), so each class
-    adds the number of its files outside the feature's technique.
+    Cells are first counted per feature and class; all rules are then sums over that small table. Class sizes come
+    from the files of the whole table. `classes_enough` counts classes with enough values, the files of a
+    class outside the feature's technique being measured zeros.
     """
-    keys = [feature, label] if technique is None else [feature, technique, label]
-    seen = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.countDistinct(file).alias("_seen"))
-    if technique is None:
-        enough = seen.filter(F.col("_seen") >= points)
-    else:
-        per_class = df.groupBy(label).agg(F.countDistinct(file).alias("_class_files"))
-        own = df.groupBy(technique, label).agg(F.countDistinct(file).alias("_own_files"))
-        features = df.select(feature, technique).distinct()
-        # classes are few: every feature meets every class once
-        zero = (
-            features.join(_class_list(df, label, technique), technique)
-            .join(per_class, label)
-            .join(own, [technique, label], "left")
-            .withColumn("_zeros", F.col("_class_files") - F.coalesce(F.col("_own_files"), F.lit(0)))
+    present = F.col(value).isNotNull()
+    counts = df.groupBy(feature, technique, label).agg(
+        F.countDistinct(F.when(present, F.col(file))).alias("_seen"),
+        F.countDistinct(F.when(present & (F.col(value) != 0), F.col(file))).alias("_nonzero"),
+    )
+    own = df.groupBy(technique, label).agg(F.countDistinct(file).alias("_own"))
+    everywhere = own.groupBy(label).agg(F.sum("_own").alias("_class"))
+    totals = own.groupBy(technique).agg(F.sum("_own").alias("_files"))
+    # techniques by classes: a handful of rows
+    techniques = df.select(technique).distinct()
+    zeros = (
+        techniques.join(F.broadcast(everywhere), F.lit(True))
+        .join(own, [technique, label], "left")
+        .withColumn("_zeros", F.col("_class") - F.coalesce("_own", F.lit(0)))
+    )
+    free = zeros.groupBy(technique).agg(F.count(F.when(F.col("_zeros") >= points, 1)).alias("_free"))
+    extra = (F.col("_zeros") < points) & (F.col("_seen") + F.col("_zeros") >= points)
+    return (
+        counts.join(zeros, [technique, label])
+        .groupBy(feature, technique)
+        .agg(
+            F.sum("_seen").alias("files_seen"),
+            F.sum("_nonzero").alias("files_nonzero"),
+            F.count(F.when(F.col("_nonzero") > 0, 1)).alias("classes_nonzero"),
+            F.max(F.col("_nonzero") / F.col("_own")).alias("best_share"),
+            F.count(F.when(extra, 1)).alias("_extra"),
         )
-        enough = zero.join(seen, [feature, technique, label], "left").filter(
-            F.coalesce(F.col("_seen"), F.lit(0)) + F.col("_zeros") >= points
+        .join(totals, technique)
+        .join(free, technique)
+        .select(
+            feature, technique, "files_seen", "files_nonzero", "classes_nonzero", "best_share",
+            (F.col("files_seen") / F.col("_files")).alias("technique_share"),
+            (F.col("_extra") + F.col("_free")).alias("classes_enough"),
         )
-    return (
-        enough.groupBy(feature)
-        .agg(F.countDistinct(label).alias("_classes"))
-        .filter(F.col("_classes") >= classes)
-        .select(feature)
     )
 
 
-def _class_list(df: DataFrame, label: str, technique: str) -> DataFrame:
-    """Every technique with every class name; the class names form one row."""
-    names = _one_row(df, F.collect_set(label).alias("_labels"))
-    return df.select(technique).distinct().join(names, F.lit(True)).select(technique, F.explode("_labels").alias(label))
+def min_points_two_classes(
+    df: DataFrame, label: str = "subcategory", points: int = 3, classes: int = 2, file: str = "file",
+    feature: str = "feature", value: str = "value", technique: str = "technique",
+) -> DataFrame:
+    """Features with enough values in at least two classes, measured zeros of other techniques included."""
+    profile = feature_profile(df, label, points, file, feature, value, technique)
+    return profile.filter(F.col("classes_enough") >= classes).select(feature)
 
 
 def filter_source(df: DataFrame, source: str | None, col: str = "source") -> DataFrame:
@@ -160,19 +169,17 @@ def comprehensive_filter(
     """
     keys = [file, feature, technique, *[c for c in carry if c in df.columns and c not in (file, feature, technique)]]
     cells = collapse_duplicates(filter_source(df, source), keys, value)
-    sparse = mostly_missing(cells, file=file, feature=feature, value=value, technique=technique)
+    keep = F.col("technique_share") >= 0.1
     if use_rescue:
-        rescued = prevalent_in_any_class(cells, label, file=file, feature=feature, value=value, technique=technique)
-        sparse = sparse.join(rescued, feature, "left_anti")
-    cells = cells.join(sparse, feature, "left_anti")
+        keep = keep | (F.col("best_share") > 0.9)
     if 4 in steps:
-        cells = restrict_to(cells, min_samples(cells, file=file, feature=feature, value=value), feature)
+        keep = keep & (F.col("files_nonzero") > 1)
     if 5 in steps:
-        cells = restrict_to(cells, min_classes(cells, label, feature=feature, value=value), feature)
+        keep = keep & (F.col("classes_nonzero") > 1)
     if 6 in steps:
-        good = min_points_two_classes(cells, label, file=file, feature=feature, value=value, technique=technique)
-        cells = restrict_to(cells, good, feature)
-    return cells
+        keep = keep & (F.col("classes_enough") >= 2)
+    good = feature_profile(cells, label, 3, file, feature, value, technique).filter(keep)
+    return restrict_to(cells, good, feature)
 
 
 def missing_share(df: DataFrame, file: str = "file", feature: str = "feature", value: str = "value") -> DataFrame:
