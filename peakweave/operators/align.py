@@ -38,6 +38,8 @@ def first_anchor(rt: np.ndarray, mz: np.ndarray, q_rt: np.ndarray, q_mz: np.ndar
     the search starts at the first anchor early enough and moves on until the m/z fits.
     """
     best = np.full(len(q_rt), len(rt), dtype=np.int64)
+    if not len(best):
+        return best
     width = mz_tol * _SLACK
     strip, q_strip = np.floor(mz / width), np.floor(q_mz / width)
     order = np.argsort(strip, kind="stable")
