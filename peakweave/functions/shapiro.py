@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,6 +25,7 @@ def _poly(coefficients: tuple[float, ...], x: float) -> float:
     return float(np.polynomial.polynomial.polyval(x, coefficients))
 
 
+@lru_cache(maxsize=MAX_N)
 def _weights(n: int) -> np.ndarray:
     """Weights of the ordered sample, antisymmetric."""
     if n == 3:

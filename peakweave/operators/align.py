@@ -30,66 +30,96 @@ _SLACK = 1 + 1e-6
 _ANCHOR_SCHEMA = "part int, rt double, mz double, a_rt double, a_mz double"
 
 
-def first_anchor(rt: np.ndarray, mz: np.ndarray, q_rt: np.ndarray, q_mz: np.ndarray,
-                 rt_tol: float, mz_tol: float) -> np.ndarray:
-    """Index of the first anchor, in (rt, mz) order, whose box holds each query; anchors come sorted.
+def _count_before(a_code: np.ndarray, a_key: np.ndarray, q_code: np.ndarray, q_key: np.ndarray) -> np.ndarray:
+    """For each query, how many anchors have a smaller (code, key)."""
+    n, q = len(a_code), len(q_code)
+    code = np.concatenate([a_code, q_code])
+    key = np.concatenate([a_key, q_key])
+    is_anchor = np.concatenate([np.ones(n, np.int8), np.zeros(q, np.int8)])
+    order = np.lexsort((is_anchor, key, code))
+    seen = np.cumsum(is_anchor[order])
+    out = np.empty(q, np.int64)
+    at = order[is_anchor[order] == 0] - n
+    out[at] = seen[is_anchor[order] == 0]
+    return out
+
 
-    Every query must itself be an anchor. Anchors are searched strip by strip in m/z; within a strip
-    the search starts at the first anchor early enough and moves on until the m/z fits.
+def first_anchor(
+    rt: np.ndarray, mz: np.ndarray, own: np.ndarray, rt_tol: np.ndarray, mz_tol: float, tile: np.ndarray, base: np.ndarray
+) -> np.ndarray:
+    """For each own position, the index of the first position of its tile, in (rt, mz) order, whose box holds it.
+
+    Positions come sorted by (tile, rt, mz); `base` is the first m/z strip of the tile. Many tiles are
+    searched at once, strip by strip: a search starts at the first anchor late enough and moves on until the m/z fits.
+    The own strip goes first, because its anchors nearly always fit and bound the other two searches.
     """
-    best = np.full(len(q_rt), len(rt), dtype=np.int64)
-    if not len(best):
-        return best
-    width = mz_tol * _SLACK
-    strip, q_strip = np.floor(mz / width), np.floor(q_mz / width)
-    order = np.argsort(strip, kind="stable")
-    names, starts = np.unique(strip[order], return_index=True)
-    stops = np.append(starts[1:], len(order))
-    by_query = np.argsort(q_strip, kind="stable")
-    q_names, q_starts = np.unique(q_strip[by_query], return_index=True)
-    q_stops = np.append(q_starts[1:], len(by_query))
-    q_of = dict(zip(q_names, zip(q_starts, q_stops, strict=True), strict=True))
-    # the query's own strip first: its anchors nearly always fit and bound the other two searches
+    strip = np.floor(mz / (mz_tol * _SLACK)).astype(np.int64)
+    width = _TILE_MZ + 4
+    code = tile * width + (strip - base) + 2
+    order = np.argsort(code, kind="stable")
+    a_code, a_key, a_mz = code[order], (rt + rt_tol)[order], mz[order]
+    q = np.flatnonzero(own)
+    best = q.copy()
+    where = np.full(len(rt), -1, np.int64)
+    where[q] = np.arange(len(q))
     for shift in (0, -1, 1):
-        for name, start, stop in zip(names, starts, stops, strict=True):
-            span = q_of.get(name - shift)
-            if span is None:
-                continue
-            anchors = order[start:stop]
-            a_rt, a_mz = rt[anchors], mz[anchors]
-            todo = by_query[span[0] : span[1]]
-            at = np.searchsorted(a_rt + rt_tol, q_rt[todo], side="left")
-            while len(todo):
-                live = at < len(anchors)
-                todo, at = todo[live], at[live]
-                # an anchor later than the best one known cannot win
-                live = anchors[at] < best[todo]
-                todo, at = todo[live], at[live]
-                m, q = a_mz[at], q_mz[todo]
-                fits = (q <= m + mz_tol) & (q >= m - mz_tol)
-                best[todo[fits]] = anchors[at[fits]]
-                todo, at = todo[~fits], at[~fits] + 1
+        wanted = code[q] + shift
+        at = _count_before(a_code, a_key, wanted, rt[q])
+        stop = np.searchsorted(a_code, wanted, side="right")
+        todo = np.arange(len(q))
+        while len(todo):
+            # an anchor later than the best one known cannot win
+            live = at < stop[todo]
+            live[live] = order[at[live]] < best[todo[live]]
+            todo, at = todo[live], at[live]
+            m, x = a_mz[at], mz[q[todo]]
+            fits = (x <= m + mz_tol) & (x >= m - mz_tol)
+            best[todo[fits]] = order[at[fits]]
+            todo, at = todo[~fits], at[~fits] + 1
     return best
 
 
-def _search_tile(rt_tols: Sequence[float], mz_tol: float):
-    def search(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values(["rt", "mz"], kind="stable")
-        part = int(tile["part"].iloc[0])
-        rt, mz = tile["rt"].to_numpy(), tile["mz"].to_numpy()
-        own = tile["own"].to_numpy()
-        best = first_anchor(rt, mz, rt[own], mz[own], rt_tols[part], mz_tol)
+def _search_tiles(rt_tols: Sequence[float], mz_tol: float, enough: int = 200_000):
+    """Search sorted tiles batch by batch: small tiles together, a tile always whole."""
+    tols = np.asarray(rt_tols, float)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part, rt, mz = (rows[c].to_numpy() for c in ("part", "rt", "mz"))
+        tc, ts, own = (rows[c].to_numpy() for c in ("tc", "ts", "own"))
+        new = np.ones(len(rows), bool)
+        new[1:] = (part[1:] != part[:-1]) | (tc[1:] != tc[:-1]) | (ts[1:] != ts[:-1])
+        best = first_anchor(rt, mz, own, tols[part], mz_tol, np.cumsum(new) - 1, ts * _TILE_MZ)
         return pd.DataFrame(
-            {"part": part, "rt": rt[own], "mz": mz[own], "a_rt": rt[best], "a_mz": mz[best]}
+            {"part": part[own], "rt": rt[own], "mz": mz[own], "a_rt": rt[best], "a_mz": mz[best]}
         )
 
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size, limit = 0, enough
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < limit:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            end = rows.iloc[-1]
+            last = (rows["part"] == end["part"]) & (rows["tc"] == end["tc"]) & (rows["ts"] == end["ts"])
+            ready, rest = rows[~last], rows[last]
+            if len(ready):
+                yield run(ready)
+            held, size = [rest], len(rest)
+            limit = max(enough, 2 * size)
+        if size:
+            yield run(pd.concat(held, ignore_index=True))
+
     return search
 
 
 def assign_anchors(points: DataFrame, rt_tols: Sequence[float], mz_tol: float) -> DataFrame:
     """Distinct (part, rt, mz) with the position of the anchor that claims them.
 
-    A tile holds its own positions and a margin: earlier retention times and both m/z neighbours.
+    A tile holds its own positions and a margin: earlier retention times and both m/z neighbours. Distinct
+    positions within a tile are limited by the digits an instrument reports, not by the number of files.
     """
     rt_tol = F.element_at(F.array(*[F.lit(float(t)) for t in rt_tols]), F.col("part") + 1)
     placed = points.withColumn("_c", F.floor(F.col("rt") / (rt_tol * _SLACK))).withColumn(
@@ -104,7 +134,10 @@ def assign_anchors(points: DataFrame, rt_tols: Sequence[float], mz_tol: float) -
         .withColumn("ts", F.explode(reach_s))
         .select("part", "tc", "ts", "rt", "mz", ((F.col("tc") == tile_c) & (F.col("ts") == tile_s)).alias("own"))
     )
-    return tiles.groupBy("part", "tc", "ts").applyInPandas(_search_tile(list(rt_tols), mz_tol), _ANCHOR_SCHEMA)
+    # an explicit number of partitions: the search costs far more than the bytes suggest
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tiles.repartition(parts, "part", "tc", "ts").sortWithinPartitions("part", "tc", "ts", "rt", "mz")
+    return spread.mapInPandas(_search_tiles(list(rt_tols), mz_tol), _ANCHOR_SCHEMA)
 
 
 def align_features(

@@ -63,7 +63,9 @@ def block_pairs(
             return fn(left.iloc[:0], right.iloc[:0], lo == hi)
         return fn(left, right, lo == hi)
 
-    return spread.groupBy("lo", "hi").applyInPandas(compare, schema)
+    # comparing two blocks costs far more than their bytes suggest, so tiny partitions are not merged
+    parts = min(blocks * (blocks + 1) // 2, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.repartition(parts, "lo", "hi").groupBy("lo", "hi").applyInPandas(compare, schema)
 
 
 def _canberra(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -33,13 +33,18 @@ def impute_knn(rows: DataFrame, k: int = 5, key: str = "file", array: str = "x",
     spread = with_block(rows.select(key, array, *categories), key, blocks)
     everything = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = spread.withColumn("_other", F.explode(everything))
-    right = spread.withColumnRenamed("_block", "_other").withColumn("_block", F.explode(everything))
+    # new names, because both sides come from the same rows
+    right = spread.select(
+        F.col(key).alias("r_id"), F.col(array).alias("r_x"), *[F.col(c).alias(f"r_{c}") for c in categories],
+        F.col("_block").alias("r_other"),
+    ).withColumn("r_block", F.explode(everything))
+    theirs = {"r_id": key, "r_x": array} | {f"r_{c}": c for c in categories}
     kind = _id_type(rows, key)
 
     def propose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {key: [], "k": [], "donor": [], "d": [], "v": []}
         if len(a) and len(b):
-            b = b.sort_values(key, kind="stable")
+            b = b.rename(columns=theirs).sort_values(key, kind="stable")
             d = measure(a, b)
             ids_a, ids_b = a[key].to_numpy(), b[key].to_numpy()
             d = np.where(ids_a[:, None] == ids_b[None, :], np.nan, d)
@@ -56,7 +61,7 @@ def impute_knn(rows: DataFrame, k: int = 5, key: str = "file", array: str = "x",
                     out["v"] += list(xb[having, c])
         return pd.DataFrame(out)
 
-    proposals = left.groupBy("_block", "_other").cogroup(right.groupBy("_block", "_other")).applyInPandas(
+    proposals = left.groupBy("_block", "_other").cogroup(right.groupBy("r_block", "r_other")).applyInPandas(
         propose, f"`{key}` {kind}, k int, donor {kind}, d double, v double"
     )
     from peakweave.operators.summary import top_k

@@ -78,26 +78,35 @@ def running_totals(
     )
 
 
-def running_extreme(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, largest: bool, ascending: bool
+def running_extremes(
+    df: DataFrame, keys: Sequence[str], order: str, wanted: Sequence[tuple[str, str, str, bool]]
 ) -> DataFrame:
-    """Running max (or min) of `value`, inclusive, walking each group up or down along `order`."""
+    """Inclusive running extremes of several columns in one pass over each group.
+
+    `wanted` lists (column, output, "max" or "min", ascending): the walk along `order` goes up or down.
+    """
     keys = list(keys)
-    pick = F.max if largest else F.min
-    join2 = F.greatest if largest else F.least
+    pick = {"max": F.max, "min": F.min}
+    merge = {"max": F.greatest, "min": F.least}
     base = df.withColumn(_BUCKET, log_bucket(F.col(order)))
-    by = F.col(_BUCKET).asc() if ascending else F.col(_BUCKET).desc()
-    earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        base.groupBy(*keys, _BUCKET)
-        .agg(pick(value).alias("_e"))
-        .select(*keys, _BUCKET, pick("_e").over(earlier).alias("_carried"))
+
+    def walk(by: str, up: bool, within: Sequence[str], until: int):
+        step = F.col(by).asc() if up else F.col(by).desc()
+        return Window.partitionBy(*within).orderBy(step).rowsBetween(Window.unboundedPreceding, until)
+
+    per_bucket = base.groupBy(*keys, _BUCKET).agg(*[pick[kind](c).alias(f"_e_{out}") for c, out, kind, _ in wanted])
+    carried = per_bucket.select(
+        *keys,
+        _BUCKET,
+        *[pick[kind](f"_e_{out}").over(walk(_BUCKET, up, keys, -1)).alias(f"_e_{out}") for _, out, kind, up in wanted],
     )
-    step = F.col(order).asc() if ascending else F.col(order).desc()
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     # greatest() and least() skip nulls, so the first bucket needs no special case
     return base.join(carried, [*keys, _BUCKET]).select(
-        *df.columns, join2(pick(value).over(inside), F.col("_carried")).alias(out)
+        *df.columns,
+        *[
+            merge[kind](pick[kind](c).over(walk(order, up, [*keys, _BUCKET], 0)), F.col(f"_e_{out}")).alias(out)
+            for c, out, kind, up in wanted
+        ],
     )
 
 

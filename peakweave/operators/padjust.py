@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.operators.ordering import attach_group_stats, running_extreme, value_positions
+from peakweave.operators.ordering import running_extremes, value_positions
 
 METHODS = ("bonferroni", "holm", "hochberg", "hommel", "BH", "BY", "fdr", "none")
 
@@ -32,17 +32,17 @@ def p_adjust(df: DataFrame, family: Sequence[str], p: str = "p_value", methods:
     places = value_positions(base, keys, p)
     n, before, upto = F.col("n_total"), F.col("n_before"), F.col("n_before") + F.col("n")
     pv = F.col(p)
+    # of equal p-values the first counts for holm, whose values never fall, the last for the step-up methods
+    raw = {"holm": pv * (n - before), "hochberg": pv * (n - upto + 1), "step_up": pv * n / upto}
+    used = [m for m in ("holm", "hochberg") if m in methods] + (["step_up"] if {"BH", "BY", "fdr"} & set(methods) else [])
     table = places
-    if "holm" in methods:
-        # of equal p-values the first counts, and later ones are never smaller
-        table = running_extreme(table.withColumn("_raw", pv * (n - before)), keys, p, "_raw", "p_holm", True, True).drop("_raw")
-    if "hochberg" in methods:
-        table = running_extreme(table.withColumn("_raw", pv * (n - upto + 1)), keys, p, "_raw", "p_hochberg", False, False).drop("_raw")
-    if {"BH", "BY", "fdr"} & set(methods):
-        table = running_extreme(table.withColumn("_raw", pv * n / upto), keys, p, "_raw", "_step_up", False, False).drop("_raw")
+    if used:
+        walks = [(f"_raw_{m}", f"_{m}", "max" if m == "holm" else "min", m == "holm") for m in used]
+        table = running_extremes(
+            places.withColumns({f"_raw_{m}": raw[m] for m in used}), keys, p, walks
+        ).drop(*[f"_raw_{m}" for m in used])
     if "BY" in methods:
-        table = attach_group_stats(table, keys, F.max(n).alias("_size")) if keys else table.withColumn("_size", n)
-        table = table.withColumn("p_BY", _capped(F.col("_step_up") * harmonic(F.col("_size")))).drop("_size")
+        table = table.withColumn("p_BY", _capped(F.col("_step_up") * harmonic(n)))
     if "bonferroni" in methods:
         table = table.withColumn("p_bonferroni", _capped(pv * n))
     for m in ("BH", "fdr"):
@@ -50,7 +50,7 @@ def p_adjust(df: DataFrame, family: Sequence[str], p: str = "p_value", methods:
             table = table.withColumn(f"p_{m}", _capped(F.col("_step_up")))
     for m in ("holm", "hochberg"):
         if m in methods:
-            table = table.withColumn(f"p_{m}", _capped(F.col(f"p_{m}")))
+            table = table.withColumn(f"p_{m}", _capped(F.col(f"_{m}")))
     if "none" in methods:
         table = table.withColumn("p_none", pv)
     if "hommel" in methods:

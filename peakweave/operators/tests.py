@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from peakweave.functions.shapiro import MAX_N, MIN_N, shapiro_wilk
 from peakweave.functions.tails import (
@@ -25,6 +26,7 @@ from peakweave.functions.tails import (
 )
 from peakweave.operators.ordering import class_distribution, exact_quantiles, value_positions
 from peakweave.operators.padjust import p_adjust
+from peakweave.session import cut_lineage
 
 MAX_CLASSES = 200
 
@@ -157,17 +159,15 @@ def shapiro(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFra
     present = df.filter(F.col(value).isNotNull())
     sized = present.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     testable = sized.filter(F.col("_n").between(MIN_N, MAX_N) & (F.col("_hi") > F.col("_lo"))).select(*keys)
-    rows = present.join(testable, keys).select(*keys, F.col(value).cast("double").alias("_v"))
-    fields = [f for f in rows.schema.fields if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    # a testable group holds at most MAX_N values, so it travels as one array
+    arrays = present.join(testable, keys).groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_v"))
+    tested = arrays.withColumn("_r", _shapiro(F.col("_v")))
+    return tested.select(*keys, F.size("_v").cast("long").alias("n"), "_r.w", "_r.p_value")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(group["_v"].to_numpy())
-        out = group[keys].iloc[:1].copy()
-        out["n"], out["w"], out["p_value"] = len(group), w, p
-        return out[[f.name for f in fields] + ["n", "w", "p_value"]]
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{schema}, n long, w double, p_value double")
+@F.pandas_udf(StructType([StructField("w", DoubleType()), StructField("p_value", DoubleType())]))
+def _shapiro(values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([shapiro_wilk(v) or (None, None) for v in values], columns=["w", "p_value"], dtype=float)
 
 
 def pooled_rank_sums(df: DataFrame, label: str, feature: Sequence[str], value: str, classes: Sequence) -> DataFrame:
@@ -302,7 +302,8 @@ def pairwise_tests(
         F.when(skewed, "wilcoxon").otherwise("welch").alias("test"),
         F.when(skewed, F.col("p_value")).otherwise(F.col("_t")).alias("p_value"),
     ).filter(F.col("p_value").isNotNull())
-    return p_adjust(chosen, [], "p_value", [method]).withColumn("significant", F.col(f"p_{method}") < alpha)
+    # one row per test: written once, so that ranking the p-values does not run the tests again
+    return p_adjust(cut_lineage(chosen), [], "p_value", [method]).withColumn("significant", F.col(f"p_{method}") < alpha)
 
 
 def wilcoxon_screen(
@@ -322,7 +323,7 @@ def wilcoxon_screen(
     tests = tests.join(varied.withColumnRenamed(label, "label_a"), [*keys, "label_a"], "left_semi").join(
         varied.withColumnRenamed(label, "label_b"), [*keys, "label_b"], "left_semi"
     )
-    return p_adjust(tests.filter(F.col("p_value").isNotNull()), [], "p_value", methods)
+    return p_adjust(cut_lineage(tests.filter(F.col("p_value").isNotNull())), [], "p_value", methods)
 
 
 def combined_screen(df: DataFrame, label: str, alpha: float = 0.05, feature: Sequence[str] = ("feature",),
