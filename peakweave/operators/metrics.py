@@ -59,7 +59,11 @@ def multiclass_auc(probs: DataFrame, classes: Sequence | None = None, actual: st
     """Hand and Till's average over class pairs of the two areas under the curve."""
     classes = class_names(probs, actual) if classes is None else classes
     named = probs.withColumn("_score_of", F.col(cls).cast("string"))
-    pairs = pair_distribution(named, actual, classes, ["_score_of"], prob)
+    scored = F.col("_score_of")
+    pairs = pair_distribution(
+        named, actual, classes, ["_score_of"], prob,
+        lambda p: (scored == p["label_a"].cast("string")) | (scored == p["label_b"].cast("string")),
+    )
     area = F.col("w") / (F.col("n_a") * F.col("n_b"))
     # w counts pairs won by the first class of the pair, scored by that class or by the other
     side = F.when(F.col("_score_of") == F.col("label_a").cast("string"), area).when(

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from peakweave.operators.distance import nearest_neighbours
 from peakweave.operators.metrics import accuracy_kappa
 from peakweave.operators.splits import fold_count, stratified_folds
+from peakweave.session import cut_lineage
 
 
 @dataclass
@@ -113,23 +114,17 @@ def tune(
     classes = label_names(df, label)
     rows = _index(df.select(key, label, "features"), label, classes)
     if len(builders) == 1:
-        rows = rows.persist()
-        try:
-            model = builders[0][1]().fit(rows)
-        finally:
-            rows.unpersist()
+        # solvers pass over the rows many times: they are written once, whatever led to them
+        model = builders[0][1]().fit(cut_lineage(rows))
         return Fitted(model, classes, builders[0][0], None, _scorer(model, label, key, classes, raw))
     k = folds or fold_count(df, label)
-    rows = stratified_folds(rows, label, k, seed, (key,)).persist()
-    try:
-        scored = [
-            (float(np.mean(cv_accuracies(build, rows, label, key, classes, raw, k) or [0.0])), settings, build)
-            for settings, build in builders
-        ]
-        best, settings, build = max(scored, key=lambda s: s[0])
-        model = build().fit(rows)
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(stratified_folds(rows, label, k, seed, (key,)))
+    scored = [
+        (float(np.mean(cv_accuracies(build, rows, label, key, classes, raw, k) or [0.0])), settings, build)
+        for settings, build in builders
+    ]
+    best, settings, build = max(scored, key=lambda s: s[0])
+    model = build().fit(rows)
     return Fitted(model, classes, settings, best, _scorer(model, label, key, classes, raw))
 
 
@@ -153,6 +148,9 @@ def random_forest(df: DataFrame, label: str, key: str = "file", settings: Sequen
     return tune([(s, make(s)) for s in settings], df, label, key, False, folds, seed)
 
 
+# one-against-rest models fitted at the same time
+_PARALLEL = 4
+
 # The grid searched for boosted trees.
 BOOST_GRID = tuple(
     {"stepSize": step, "minInstancesPerNode": leaf, "maxDepth": depth}
@@ -168,7 +166,7 @@ def gbm_ovr(df: DataFrame, label: str, key: str = "file", settings: Sequence[dic
         return lambda: OneVsRest(
             classifier=GBTClassifier(maxIter=s.get("maxIter", trees), seed=seed, featuresCol="features", labelCol="y",
                                      **{k: v for k, v in s.items() if k != "maxIter"}),
-            labelCol="y", featuresCol="features",
+            labelCol="y", featuresCol="features", parallelism=_PARALLEL,
         )
 
     return tune([(s, make(s)) for s in settings], df, label, key, True, folds, seed)
@@ -179,7 +177,7 @@ SVM_COSTS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
 def linear_svm_ovr(df: DataFrame, label: str, key: str = "file", costs: Sequence[float] = SVM_COSTS,
-                   folds: int | None = None, seed: int = 123) -> Fitted:
+                   folds: int | None = None, seed: int = 123, max_iter: int = 100) -> Fitted:
     """Linear support vector machine, one class against the rest, on features standardised by the training rows."""
     n = df.count()
 
@@ -188,8 +186,8 @@ def linear_svm_ovr(df: DataFrame, label: str, key: str = "file", costs: Sequence
             stages=[
                 StandardScaler(inputCol="features", outputCol="_z", withMean=True, withStd=True),
                 OneVsRest(
-                    classifier=LinearSVC(regParam=1 / (cost * n), featuresCol="_z", labelCol="y", standardization=False),
-                    labelCol="y", featuresCol="_z",
+                    classifier=LinearSVC(regParam=1 / (cost * n), featuresCol="_z", labelCol="y", standardization=False, maxIter=max_iter),
+                    labelCol="y", featuresCol="_z", parallelism=_PARALLEL,
                 ),
             ]
         )
@@ -202,12 +200,12 @@ def elastic_net_lambdas(count: int = 50) -> list[float]:
 
 
 def elastic_net(df: DataFrame, label: str, key: str = "file", lambdas: Sequence[float] | None = None, alpha: float = 0.5,
-                folds: int | None = None, seed: int = 123) -> Fitted:
+                folds: int | None = None, seed: int = 123, max_iter: int = 100) -> Fitted:
     lambdas = elastic_net_lambdas() if lambdas is None else lambdas
 
     def make(lam: float):
         return lambda: LogisticRegression(
-            family="multinomial", elasticNetParam=alpha, regParam=lam, labelCol="y", featuresCol="features"
+            family="multinomial", elasticNetParam=alpha, regParam=lam, labelCol="y", featuresCol="features", maxIter=max_iter
         )
 
     return tune([({"lambda": v}, make(v)) for v in lambdas], df, label, key, False, folds, seed)
@@ -245,7 +243,7 @@ def knn_classify(test: DataFrame, train: DataFrame, label: str, k: int, key: str
 def knn_choose_k(df: DataFrame, label: str, ks: Sequence[int] = tuple(range(1, 10)), folds: int = 5, key: str = "file",
                  array: str = "x", seed: int = 123) -> DataFrame:
     """Cross-validated accuracy for each k. Neighbours are searched once per fold, for the largest k."""
-    rows = stratified_folds(df.select(key, label, array), label, folds, seed, (key,)).persist()
+    rows = cut_lineage(stratified_folds(df.select(key, label, array), label, folds, seed, (key,)))
     most = max(ks)
     truth = rows.select(key, F.col(label).alias("_actual"))
     parts = None
@@ -267,14 +265,11 @@ def fold_scores(df: DataFrame, label: str, settings: Sequence[dict], key: str =
     """Fold accuracies of a forest over all settings, the raw material of its stability."""
     classes = label_names(df, label)
     k = folds or fold_count(df, label)
-    rows = stratified_folds(_index(df.select(key, label, "features"), label, classes), label, k, seed, (key,)).persist()
-    try:
-        out: list[float] = []
-        for s in settings:
-            build = lambda s=s: RandomForestClassifier(labelCol="y", featuresCol="features", seed=seed, maxDepth=8, **s)
-            out += cv_accuracies(build, rows, label, key, classes, False, k)
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(stratified_folds(_index(df.select(key, label, "features"), label, classes), label, k, seed, (key,)))
+    out: list[float] = []
+    for s in settings:
+        build = lambda s=s: RandomForestClassifier(labelCol="y", featuresCol="features", seed=seed, maxDepth=8, **s)
+        out += cv_accuracies(build, rows, label, key, classes, False, k)
     return out
 
 
@@ -330,13 +325,9 @@ def scores(fitted: Fitted, test: DataFrame) -> dict[str, float | None]:
     """Accuracy, kappa and multi-class area under the curve on test rows."""
     from peakweave.operators.metrics import multiclass_auc
 
-    scored = fitted.score(test).persist()
-    try:
-        row = accuracy_kappa(scored).first()
-        probs = probabilities_to_long(scored, fitted.classes)
-        auc = multiclass_auc(probs).first()["auc"]
-    finally:
-        scored.unpersist()
+    scored = cut_lineage(fitted.score(test))
+    row = accuracy_kappa(scored).first()
+    auc = multiclass_auc(probabilities_to_long(scored, fitted.classes)).first()["auc"]
     return {"accuracy": row["accuracy"], "kappa": row["kappa"], "auc": auc}
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from peakweave.operators.models import Fitted, importances, scores, slice_features
 from peakweave.operators.ordering import seeded_positions
 from peakweave.operators.splits import fold_count, stratified_folds
+from peakweave.session import cut_lineage
 
 Fit = Callable[[DataFrame, str], Fitted]
 TOP_SETS = (100, 50, 25, 10)
@@ -53,26 +54,21 @@ def shuffle_feature(rows: DataFrame, idx: int, seed: int, key: str = "file", fea
 def permutation_importance(fitted: Fitted, rows: DataFrame, candidates: Sequence[int], repeats: int = 10, seed: int = 282,
                            key: str = "file", per_class: bool = False) -> DataFrame:
     """Drop in accuracy when a feature is shuffled, over all rows or for each actual class."""
-    cached = rows.persist()
+    cached = cut_lineage(rows)
     hit = F.avg((F.col("actual") == F.col("predicted")).cast("double"))
     group = [F.col("actual").alias("class")] if per_class else [F.lit("all").alias("class")]
-    try:
-        base = fitted.score(cached).groupBy(*group).agg(hit.alias("_base"))
-        parts = None
-        for idx in candidates:
-            for r in range(repeats):
-                shuffled = fitted.score(shuffle_feature(cached, idx, seed + 31 * r + idx, key))
-                one = shuffled.groupBy(*group).agg(hit.alias("_acc")).withColumn("idx", F.lit(int(idx)))
-                parts = one if parts is None else parts.unionByName(one)
-        out = (
-            parts.join(base, "class")
-            .groupBy("class", "idx")
-            .agg(F.avg(F.col("_base") - F.col("_acc")).alias("importance"), F.stddev_samp(F.col("_base") - F.col("_acc")).alias("sd"))
-        )
-        result = out.collect()
-    finally:
-        cached.unpersist()
-    return rows.sparkSession.createDataFrame([tuple(r) for r in result], "class string, idx int, importance double, sd double")
+    base = fitted.score(cached).groupBy(*group).agg(hit.alias("_base"))
+    parts = None
+    for idx in candidates:
+        for r in range(repeats):
+            shuffled = fitted.score(shuffle_feature(cached, idx, seed + 31 * r + idx, key))
+            one = shuffled.groupBy(*group).agg(hit.alias("_acc")).withColumn("idx", F.lit(int(idx)))
+            parts = one if parts is None else parts.unionByName(one)
+    return (
+        parts.join(base, "class")
+        .groupBy("class", "idx")
+        .agg(F.avg(F.col("_base") - F.col("_acc")).alias("importance"), F.stddev_samp(F.col("_base") - F.col("_acc")).alias("sd"))
+    )
 
 
 def partial_dependence(fitted: Fitted, rows: DataFrame, idx: int, grid: Sequence[float], key: str = "file",
@@ -100,14 +96,11 @@ def subset_scores(train: DataFrame, test: DataFrame | None, label: str, chosen:
     if score_on == "test":
         return _clean(scores(fit(slice_features(train, chosen), label), slice_features(test, chosen)))
     k = folds or fold_count(train, label)
-    rows = stratified_folds(slice_features(train, chosen), label, k, seed, (key,)).persist()
-    try:
-        each = [
-            _clean(scores(fit(rows.filter(F.col("fold") != f).drop("fold"), label), rows.filter(F.col("fold") == f)))
-            for f in range(k)
-        ]
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(stratified_folds(slice_features(train, chosen), label, k, seed, (key,)))
+    each = [
+        _clean(scores(fit(rows.filter(F.col("fold") != f).drop("fold"), label), rows.filter(F.col("fold") == f)))
+        for f in range(k)
+    ]
     return {m: float(np.mean([e[m] for e in each])) for m in ("accuracy", "kappa", "auc")}
 
 

@@ -7,7 +7,7 @@ number of smaller values in each class, so no pair of classes has its rows gathe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,43 +44,45 @@ def _pairs(n: int) -> list[tuple[int, int]]:
 
 
 def pair_distribution(
-    df: DataFrame, label: str, classes: Sequence, feature: Sequence[str] = ("feature",), value: str = "value"
+    df: DataFrame, label: str, classes: Sequence, feature: Sequence[str] = ("feature",), value: str = "value",
+    wanted: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Per feature and class pair: sizes, pairs won by the first class (W), tie terms, KS distance."""
+    """Per feature and class pair: sizes, pairs won by the first class (W), tie terms, KS distance.
+
+    `wanted` keeps only some pairs of a feature, given their (label_a, label_b).
+    """
     keys = list(feature)
     table = class_distribution(df, keys, value, label, classes)
-    rows = []
-    for i, j in _pairs(len(classes)):
-        a, b = F.col(f"c{i}"), F.col(f"c{j}")
-        t = a + b
-        rows.append(
-            F.when(
-                t > 0,
-                F.struct(
-                    F.lit(classes[i]).alias("label_a"),
-                    F.lit(classes[j]).alias("label_b"),
-                    F.col(f"c{i}_total").alias("n_a"),
-                    F.col(f"c{j}_total").alias("n_b"),
-                    (a * (F.col(f"c{j}_before") + b / 2)).alias("won"),
-                    (t.cast("double") * t * t - t).alias("ties"),
-                    F.abs(
-                        (F.col(f"c{i}_before") + a) / F.nullif(F.col(f"c{i}_total"), F.lit(0))
-                        - (F.col(f"c{j}_before") + b) / F.nullif(F.col(f"c{j}_total"), F.lit(0))
-                    ).alias("gap"),
-                ),
+    of = lambda name: F.array(*[F.col(f"c{k}{name}") for k in range(len(classes))])
+    packed = table.select(*keys, of("").alias("_c"), of("_before").alias("_b"), of("_total").alias("_t"))
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"),
+                F.lit(classes[i]).alias("label_a"), F.lit(classes[j]).alias("label_b"),
             )
-        )
-    pairs = table.select(*keys, F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r"))
+            for i, j in _pairs(len(classes))
+        ]
+    )
+    if wanted is not None:
+        pairs = F.filter(pairs, wanted)
+    spread = packed.select("*", F.explode(pairs).alias("_p")).select(
+        *keys,
+        "_p.label_a",
+        "_p.label_b",
+        *[F.element_at(f"_{src}", F.col(f"_p.{side}")).alias(f"{src}{side}") for src in "cbt" for side in "ij"],
+    )
+    a, b = F.col("ci"), F.col("cj")
+    t = (a + b).cast("double")
     return (
-        pairs.select(*keys, "r.*")
-        .filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
+        spread.filter((F.col("ti") > 0) & (F.col("tj") > 0) & (a + b > 0))
         .groupBy(*keys, "label_a", "label_b")
         .agg(
-            F.max("n_a").alias("n_a"),
-            F.max("n_b").alias("n_b"),
-            F.sum("won").alias("w"),
-            F.sum("ties").alias("ties"),
-            F.max("gap").alias("ks_d"),
+            F.max("ti").alias("n_a"),
+            F.max("tj").alias("n_b"),
+            F.sum(a * (F.col("bj") + b / 2)).alias("w"),
+            F.sum(t * t * t - t).alias("ties"),
+            F.max(F.abs((F.col("bi") + a) / F.col("ti") - (F.col("bj") + b) / F.col("tj"))).alias("ks_d"),
         )
     )
 

@@ -13,6 +13,7 @@ from peakweave.operators.impute import IMPUTERS
 from peakweave.operators.metrics import confusion_table
 from peakweave.operators.models import Fitted, random_forest, rf_stability, scores
 from peakweave.operators.normalize import NORMALIZERS
+from peakweave.operators.ordering import index_features
 from peakweave.operators.prevalence import drop_small_classes, restrict_to
 from peakweave.operators.project import pca
 from peakweave.operators.reshape import to_rows, to_vectors
@@ -20,6 +21,7 @@ from peakweave.operators.selection import recursive_elimination, refit_top
 from peakweave.operators.splits import FIELD, STORE, source_split, source_split_half, stratified_split
 from peakweave.operators.summary import rank_rows
 from peakweave.operators.tests import ks_two_sample, pairwise_tests
+from peakweave.session import cut_lineage
 
 SPLITS = ("store_to_field", "store_and_half_field", "store_only", "field_only")
 
@@ -61,17 +63,17 @@ def screen_preprocessing(
     imputed from the measured distribution, stability of a forest over folds, and accuracy on test samples.
     """
     spark = cells.sparkSession
-    samples = _samples(cells, label, ("source",), file).persist()
-    kept = cells.join(samples.select(file), file, "left_semi").select(file, "feature", "value").persist()
-    observed, index = to_rows(kept, file, "feature", "value", fill=None)
-    index = index.persist()
-    before = correlation_matrix(observed).persist()
+    # everything used by all combinations is written once
+    samples = cut_lineage(_samples(cells, label, ("source",), file))
+    kept = cut_lineage(cells.join(samples.select(file), file, "left_semi").select(file, "feature", "value"))
+    index = cut_lineage(index_features(kept))
+    before = cut_lineage(correlation_matrix(to_rows(kept, file, "feature", "value", index=index, fill=None)[0]))
     results = []
     for imputer in imputers:
         for normalizer in normalizers:
-            ready = prepare(kept, imputer, normalizer, file).persist()
+            ready = cut_lineage(prepare(kept, imputer, normalizer, file))
             rows, _ = to_rows(ready, file, "feature", "value", index=index)
-            vectors = to_vectors(rows.join(samples, file)).persist()
+            vectors = cut_lineage(to_vectors(rows.join(samples, file)))
             points, _, _ = pca(vectors, 2, True, False, key=file, carry=(label,))
             resolution = average_resolution(points, label).first()[0]
             preservation = correlation_preservation(before, correlation_matrix(rows)).first()[0]
@@ -83,10 +85,6 @@ def screen_preprocessing(
             results.append(
                 (imputer, normalizer, resolution, preservation, ks["p_value"], mean, sd, s["accuracy"], s["kappa"], s["auc"])
             )
-            vectors.unpersist()
-            ready.unpersist()
-    for held in (before, index, kept, samples):
-        held.unpersist()
     table = spark.createDataFrame(
         results,
         "imputation string, normalization string, resolution double, preservation double, ks_p double, "
@@ -107,7 +105,8 @@ def run_classifier_study(
     rfe_sizes: Sequence[int] = (), folds: int | None = None, file: str = "file", **fit_args: object,
 ) -> dict[str, DataFrame]:
     """Fingerprint cells (file, feature, value, label, source) to metrics, predictions, confusion and refits."""
-    samples = _samples(cells, label, ("source",), file)
+    cells = cut_lineage(cells)
+    samples = cut_lineage(_samples(cells, label, ("source",), file))
     used = cells.join(samples.select(file), file, "left_semi")
     out: dict[str, DataFrame] = {}
     if do_pairwise:
@@ -116,7 +115,7 @@ def run_classifier_study(
         used = restrict_to(used, tests.filter("significant").select("feature").distinct())
     ready = prepare(used.select(file, "feature", "value"), imputer, normalizer, file)
     rows, index = to_rows(ready, file, "feature", "value")
-    vectors = to_vectors(rows.join(samples, file)).persist()
+    vectors = cut_lineage(to_vectors(rows.join(samples, file)))
     train, test = split_samples(vectors, label, split, key=file)
 
     def refit(data: DataFrame, by: str) -> Fitted:

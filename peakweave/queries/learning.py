@@ -186,9 +186,9 @@ def _train_test(spark, sf):
 _FITS = {
     "random_forest": partial(models.random_forest, settings=[{"numTrees": 20, "featureSubsetStrategy": s} for s in ("6", "8")], folds=2),
     "gbm_ovr": partial(models.gbm_ovr, settings=[{"stepSize": 0.1, "maxDepth": 2, "minInstancesPerNode": 1}], trees=3),
-    "linear_svm_ovr": partial(models.linear_svm_ovr, costs=[1.0], folds=2),
-    "elastic_net": partial(models.elastic_net, lambdas=[1e-3, 1e-1], folds=2),
-    "multinomial_logit": models.multinomial_logit,
+    "linear_svm_ovr": partial(models.linear_svm_ovr, costs=[1.0], max_iter=20),
+    "elastic_net": partial(models.elastic_net, lambdas=[1e-3, 1e-1], folds=2, max_iter=30),
+    "multinomial_logit": partial(models.multinomial_logit, max_iter=30),
     "naive_bayes": models.naive_bayes,
 }
 
@@ -214,7 +214,7 @@ def _importance(spark, sf):
 @query("linear_importance")
 def _linear_importance(spark, sf):
     train, _ = _train_test(spark, sf)
-    return models.importance_table(models.elastic_net(train, "label", lambdas=[1e-2]), train)
+    return models.importance_table(models.elastic_net(train, "label", lambdas=[1e-2], max_iter=30), train)
 
 
 @query("refit_top")
