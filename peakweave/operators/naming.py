@@ -26,9 +26,8 @@ def replicate_suffix(
         placed = row_positions(counted, [name], order, bucket, "_rep")
     numbered = F.concat(F.col(name), F.lit("_rep"), F.col("_rep").cast("string"))
     target = out or name
-    return placed.withColumn(target, F.when(F.col("_copies") > 1, numbered).otherwise(F.col(name))).drop(
-        "_copies", "_rep"
-    )
+    named = placed.withColumn(target, F.when(F.col("_copies") > 1, numbered).otherwise(F.col(name)))
+    return named.select(*df.columns, *[c for c in (target,) if c not in df.columns])
 
 
 def group_replicate_columns(
