@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.ordering import log_bucket, row_positions
+from peakweave.session import materialize
 
 # tile size in tolerances: wide along retention time, where the search is by bisection
 _TILE_RT = 64
@@ -170,7 +171,8 @@ def align_features(
         .select(F.col("_part").alias("part"), F.col(rt).cast("double").alias("rt"), F.col(mz).cast("double").alias("mz"))
         .distinct()
     )
-    claimed = assign_anchors(points, rt_tols, mz_tol)
+    # read again to number the anchors, so the search must not run twice
+    claimed = materialize(assign_anchors(points, rt_tols, mz_tol), "anchors")
     anchors = claimed.select("part", "a_rt", "a_mz").distinct()
     numbered = row_positions(anchors, ["part"], ["a_rt", "a_mz"], log_bucket(F.col("a_rt"), 4096), "nr")
     middle = F.concat(F.lit("RT"), F.col("part") + 1, F.lit("_")) if split else F.lit("")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.prevalence import collapse_duplicates, restrict_to
+from peakweave.session import materialize
 
 
 def _one_row(df: DataFrame, *aggs: Column) -> DataFrame:
@@ -109,7 +110,7 @@ def feature_profile(
     everywhere = own.groupBy(label).agg(F.sum("_own").alias("_class"))
     totals = own.groupBy(technique).agg(F.sum("_own").alias("_files"))
     # techniques by classes: a handful of rows
-    techniques = df.select(technique).distinct()
+    techniques = own.select(technique).distinct()
     zeros = (
         techniques.join(F.broadcast(everywhere), F.lit(True))
         .join(own, [technique, label], "left")
@@ -168,7 +169,8 @@ def comprehensive_filter(
     A feature missing nearly everywhere is still kept when one class shows it consistently (`use_rescue`).
     """
     keys = [file, feature, technique, *[c for c in carry if c in df.columns and c not in (file, feature, technique)]]
-    cells = collapse_duplicates(filter_source(df, source), keys, value)
+    # the profile and the final selection both read the cells
+    cells = materialize(collapse_duplicates(filter_source(df, source), keys, value), "cells")
     keep = F.col("technique_share") >= 0.1
     if use_rescue:
         keep = keep | (F.col("best_share") > 0.9)

@@ -1,4 +1,7 @@
-"""Raw peaks to a labelled fingerprint, and important features to chemical names: one lazy plan each."""
+"""Raw peaks to a labelled fingerprint, and important features to chemical names.
+
+Steps that several later ones read are written once to the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from peakweave.operators.blanks import blank_subtract, remove_benchmarks
 from peakweave.operators.match import annotate_and_average, attach_labels, library_hits
 from peakweave.operators.prevalence import beyond_list, collapse_duplicates, feature_centroids, keep_shared, tsn_by_file
 from peakweave.operators.summary import top_k_by_mean
+from peakweave.session import materialize
 
 
 def fingerprint(
@@ -22,8 +26,8 @@ def fingerprint(
 ) -> DataFrame:
     """Align, drop internal standards, subtract blanks and keep features seen in at least two files."""
     aligned = align_features(peaks, rt_tol, mz_tol, split_time, rt_tol_late, run_type)
-    cleaned = remove_benchmarks(aligned, benchmarks, benchmark_tol)
-    above_blank = blank_subtract(cleaned.filter(F.col("feature").isNotNull()), blank_keys)
+    cleaned = materialize(remove_benchmarks(aligned, benchmarks, benchmark_tol).filter(F.col("feature").isNotNull()), "aligned")
+    above_blank = materialize(blank_subtract(cleaned, blank_keys), "above-blank")
     return keep_shared(above_blank).select(
         "file", "feature", "mz", "rt", "value",
         classify_by_name(F.col("file").cast("string"), SOURCE_RULES, SOURCE_DEFAULT).alias("source"),
@@ -35,8 +39,9 @@ def strongest_features(
     aligned: DataFrame, labels: DataFrame, label: str = "plastic_type", k: int = 10, blank_keys: Sequence[str] = ("feature",)
 ) -> DataFrame:
     """Aligned peaks to the strongest features of each class by mean share of the file's signal."""
-    above_blank = blank_subtract(aligned.filter(F.col("feature").isNotNull()), blank_keys)
-    shared = keep_shared(above_blank)
+    used = aligned.filter(F.col("feature").isNotNull()).select("file", "feature", "value", "type", *[k for k in blank_keys if k != "feature"])
+    # both the count of files and the shares per file read what is left above the blanks
+    shared = keep_shared(materialize(blank_subtract(used, blank_keys), "above-blank"))
     shares = tsn_by_file(shared)
     cells = collapse_duplicates(shares, ("file", "feature"), "value_share")
     labelled = attach_labels(cells, labels, [label]).filter(F.col(label).isNotNull())
