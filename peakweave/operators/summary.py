@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakweave.functions.tails import normal_quantile
-from peakweave.operators.ordering import attach_group_stats, exact_quantiles, value_positions
+from peakweave.operators.ordering import attach_group_stats, exact_quantiles, log_bucket, row_positions, value_positions
 
 
 def mean_sd(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -187,8 +187,9 @@ def parameter_grid(spark, **choices: Sequence) -> DataFrame:
 
 
 def join_in_chunks(df: DataFrame, order: str, text: str, size: int = 5) -> DataFrame:
-    """Names of a short list in lines of `size`, joined by commas (labels of a diagram)."""
-    numbered = df.withColumn("_chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
-    return numbered.groupBy(F.col("_chunk").cast("int").alias("line")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), ", ").alias("names")
-    )
+    """Names in lines of `size`, joined by commas, along a numeric order (labels of a diagram)."""
+    placed = row_positions(df.select(order, text), [], [order], log_bucket(F.col(order)), "_pos")
+    line = F.floor((F.col("_pos") - 1) / size).cast("int").alias("line")
+    # a line never holds more than `size` names
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_pos", text))), lambda n: n[text])
+    return placed.groupBy(line).agg(F.array_join(names, ", ").alias("names"))

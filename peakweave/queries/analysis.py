@@ -431,9 +431,19 @@ def _bp(spark, sf):
 
 # imputers that learn ---------------------------------------------------------------------------------------------
 
-@query("impute_knn")
+@query(
+    "impute_knn",
+    f"""WITH {_ORDERS_SQL}, rg AS (SELECT feature, max(value) - min(value) AS w FROM o GROUP BY feature),
+miss AS (SELECT f.file, x.feature FROM (SELECT DISTINCT file FROM o) f CROSS JOIN (SELECT DISTINCT feature FROM o) x ANTI JOIN o ON o.file = f.file AND o.feature = x.feature),
+d AS (SELECT a.file AS i, b.file AS j, avg(abs(a.value - b.value) / w) AS d FROM o a JOIN o b ON a.feature = b.feature AND a.file <> b.file JOIN rg ON rg.feature = a.feature GROUP BY ALL),
+donors AS (SELECT m.file, m.feature, b.value, row_number() OVER (PARTITION BY m.file, m.feature ORDER BY d, b.file) AS rn
+  FROM miss m JOIN d ON d.i = m.file JOIN o b ON b.file = d.j AND b.feature = m.feature)
+SELECT file, feature, round(quantile_cont(value, 0.5), 3) AS value FROM donors WHERE rn <= 5 GROUP BY ALL UNION ALL SELECT file, feature, round(value, 3) FROM o""",
+)
 def _impute_knn(spark, sf):
-    return impute_knn(reshape.to_rows(_orders(spark, sf), fill=None)[0])
+    rows, index = reshape.to_rows(_orders(spark, sf), fill=None)
+    filled = reshape.array_to_long(impute_knn(rows).select("file", "x"), "file", "x", "idx")
+    return rounded(filled.join(index, "idx").filter(F.col("value").isNotNull()).select("file", "feature", "value"), "value", digits=3)
 
 
 @query("impute_forest")

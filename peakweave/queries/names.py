@@ -368,11 +368,11 @@ def _union(spark, sf):
 
 @query(
     "join_in_chunks",
-    """WITH n AS (SELECT n_name, (row_number() OVER (ORDER BY n_name) - 1) // 5 AS line FROM nation)
-SELECT CAST(line AS INTEGER) AS line, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM n GROUP BY ALL""",
+    """WITH n AS (SELECT s_name, s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) // 5 AS line FROM supplier)
+SELECT CAST(line AS INTEGER) AS line, string_agg(s_name, ', ' ORDER BY s_suppkey) AS names FROM n GROUP BY ALL""",
 )
 def _chunks(spark, sf):
-    return join_in_chunks(table(spark, sf, "nation").select(F.col("n_name").alias("name_order"), "n_name"), "name_order", "n_name")
+    return join_in_chunks(table(spark, sf, "supplier"), "s_suppkey", "s_name")
 
 
 # files -----------------------------------------------------------------------------------------------------------
@@ -398,10 +398,8 @@ def _read(spark, sf):
     from pyspark.sql import types as T
 
     schema = _schema(**{"Area": T.DoubleType(), "m.z": T.DoubleType(), "RT": T.DoubleType()})
-    raw = spark.read.schema(schema).option("header", True).csv(where + "/*")
-    tagged = raw.select("Area", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("file_group"))
-    kept = files.filter_files(tagged, exclude=["batch=3"], file="file_group")
-    return kept.groupBy("file_group").agg(F.count(F.lit(1)).alias("n"), F.sum("Area").alias("total"))
+    kept = files.read_peaks(spark, where + "/*", schema, exclude=["batch=3"], by_folder=True)
+    return kept.groupBy(F.col("file").alias("file_group")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query(

@@ -376,7 +376,20 @@ def _align_split(spark, sf):
     return out.select("scan", "line", "aligned")
 
 
-@query("alignment_sweep")
+def _sweep_sql(tol: int) -> str:
+    return f"""SELECT {tol}.0 AS rt_tol, CAST(NULL AS DOUBLE) AS rt_tol_late, s.scope, 'early' AS part, count(DISTINCT anchor) AS n_features FROM (
+  SELECT q.rt, q.mz, min(struct_pack(rt := a.rt, mz := a.mz)) AS anchor
+  FROM pts q JOIN (SELECT rt, mz, unnest([cell - 1, cell, cell + 1]) AS cell FROM pts) a ON a.cell = q.cell
+  WHERE q.rt <= a.rt + {tol} AND q.rt >= a.rt - {tol} AND q.mz <= a.mz + 500 AND q.mz >= a.mz - 500 GROUP BY ALL) c
+JOIN scopes s ON s.lo IS NULL OR c.mz BETWEEN s.lo AND s.hi GROUP BY s.scope"""
+
+
+@query(
+    "alignment_sweep",
+    f"""WITH {POSITIONED_SQL}, pts AS (SELECT DISTINCT rt, mz, floor(mz / 501) AS cell FROM positioned),
+scopes(scope, lo, hi) AS (VALUES ('all', NULL, NULL), ('9100000.0', 9099000, 9101000), ('9500000.0', 9499000, 9501000))
+{_sweep_sql(5)} UNION ALL {_sweep_sql(20)}""",
+)
 def _sweep(spark, sf):
     data = positioned(spark, sf)
     return align.alignment_sweep(data.drop("feature"), [(5.0, None), (20.0, None)], 500.0, [9_100_000.0, 9_500_000.0], 1000.0)

@@ -37,8 +37,8 @@ def filter_files(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[s
     return out
 
 
-def _named(df: DataFrame, include: Sequence[str], exclude: Sequence[str]) -> DataFrame:
-    name = F.col("_metadata.file_name")
+def _named(df: DataFrame, include: Sequence[str], exclude: Sequence[str], by_folder: bool = False) -> DataFrame:
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1) if by_folder else F.col("_metadata.file_name")
     if include:
         df = df.filter(name.rlike("|".join(include)))
     if exclude:
@@ -49,17 +49,18 @@ def _named(df: DataFrame, include: Sequence[str], exclude: Sequence[str]) -> Dat
 def read_peaks(
     spark: SparkSession, path: str, schema: StructType = GC_CSV, include: Sequence[str] = (), exclude: Sequence[str] = (),
     glob: str = "*.csv", skip: int = 0, keep: Sequence[str] = ("Area", "m.z", "RT"),
+    by_folder: bool = False,
 ) -> DataFrame:
     """All peak lists of a folder as (file, value, mz, rt). Excluded files are never opened.
 
-    `skip` banner lines above the header are dropped in each file.
+    With `by_folder` a list is a folder of part files and its name is the folder's. `skip` banner lines above the header are dropped in each file.
     """
     if skip:
         return read_with_banner(spark, path, schema, skip, include, exclude, glob).select(
             "file", *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, ("value", "mz", "rt"), strict=True)]
         )
     raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob).csv(path)
-    return _named(raw, include, exclude).select(
+    return _named(raw, include, exclude, by_folder).select(
         "file", *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, ("value", "mz", "rt"), strict=True)]
     )
 
