@@ -28,6 +28,9 @@ _TILE_MZ = 8
 # cells are a little wider than the tolerance, so rounding cannot move a neighbour two cells away
 _SLACK = 1 + 1e-6
 
+# what names a tile: its place, and its cell when it is cut
+_TILE = ("part", "tc", "ts", "cc", "cs")
+
 _ANCHOR_SCHEMA = "part int, rt double, mz double, a_rt double, a_mz double"
 
 
@@ -85,10 +88,12 @@ def _search_tiles(rt_tols: Sequence[float], mz_tol: float, enough: int = 200_000
     tols = np.asarray(rt_tols, float)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part, rt, mz = (rows[c].to_numpy() for c in ("part", "rt", "mz"))
-        tc, ts, own = (rows[c].to_numpy() for c in ("tc", "ts", "own"))
-        new = np.ones(len(rows), bool)
-        new[1:] = (part[1:] != part[:-1]) | (tc[1:] != tc[:-1]) | (ts[1:] != ts[:-1])
+        part, rt, mz, ts, own = (rows[c].to_numpy() for c in ("part", "rt", "mz", "ts", "own"))
+        new = np.zeros(len(rows), bool)
+        new[0] = True
+        for c in _TILE:
+            v = rows[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
         best = first_anchor(rt, mz, own, tols[part], mz_tol, np.cumsum(new) - 1, ts * _TILE_MZ)
         return pd.DataFrame(
             {"part": part[own], "rt": rt[own], "mz": mz[own], "a_rt": rt[best], "a_mz": mz[best]}
@@ -104,7 +109,7 @@ def _search_tiles(rt_tols: Sequence[float], mz_tol: float, enough: int = 200_000
                 continue
             rows = pd.concat(held, ignore_index=True)
             end = rows.iloc[-1]
-            last = (rows["part"] == end["part"]) & (rows["tc"] == end["tc"]) & (rows["ts"] == end["ts"])
+            last = np.logical_and.reduce([rows[c].to_numpy() == end[c] for c in _TILE])
             ready, rest = rows[~last], rows[last]
             if len(ready):
                 yield run(ready)
@@ -116,28 +121,48 @@ def _search_tiles(rt_tols: Sequence[float], mz_tol: float, enough: int = 200_000
     return search
 
 
-def assign_anchors(points: DataFrame, rt_tols: Sequence[float], mz_tol: float) -> DataFrame:
+def assign_anchors(points: DataFrame, rt_tols: Sequence[float], mz_tol: float, tile_rows: int = 1_000_000) -> DataFrame:
     """Distinct (part, rt, mz) with the position of the anchor that claims them.
 
-    A tile holds its own positions and a margin: earlier retention times and both m/z neighbours. Distinct
-    positions within a tile are limited by the digits an instrument reports, not by the number of files.
+    A tile holds its own positions and a margin: earlier retention times and both m/z neighbours. A tile with more
+    than `tile_rows` positions is cut into single cells, each with the margin of a cell. A cell is one tolerance wide
+    both ways, so its distinct positions are limited by the digits an instrument reports, not by the number of files.
     """
     rt_tol = F.element_at(F.array(*[F.lit(float(t)) for t in rt_tols]), F.col("part") + 1)
-    placed = points.withColumn("_c", F.floor(F.col("rt") / (rt_tol * _SLACK))).withColumn(
-        "_s", F.floor(F.col("mz") / (mz_tol * _SLACK))
+    tile_c, tile_s = F.floor(F.col("c") / _TILE_RT), F.floor(F.col("s") / _TILE_MZ)
+    placed = points.withColumn("c", F.floor(F.col("rt") / (rt_tol * _SLACK))).withColumn(
+        "s", F.floor(F.col("mz") / (mz_tol * _SLACK))
+    )
+    crowded = (
+        placed.groupBy("part", tile_c.alias("tc"), tile_s.alias("ts"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > tile_rows)
+        .select("part", "tc", "ts", F.lit(True).alias("crowded"))
+    )
+    # the cells that need a position: its own, the next one in time, and the m/z neighbours of both
+    cells = F.array(
+        *[F.struct((F.col("c") + dc).alias("cc"), (F.col("s") + ds).alias("cs")) for dc in (0, 1) for ds in (-1, 0, 1)]
+    )
+    tiles = F.array_distinct(
+        F.transform(cells, lambda x: F.struct(F.floor(x["cc"] / _TILE_RT).alias("tc"), F.floor(x["cs"] / _TILE_MZ).alias("ts")))
+    )
+    in_tiles = placed.withColumn("_t", F.explode(tiles)).select("part", "rt", "mz", "c", "s", "_t.tc", "_t.ts")
+    inside = F.filter(
+        cells, lambda x: (F.floor(x["cc"] / _TILE_RT) == F.col("tc")) & (F.floor(x["cs"] / _TILE_MZ) == F.col("ts"))
+    )
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("cc"), F.lit(None).cast("long").alias("cs")))
+    cut = in_tiles.join(crowded, ["part", "tc", "ts"], "left").withColumn(
+        "_x", F.explode(F.when(F.col("crowded"), inside).otherwise(whole))
     )
-    tile_c, tile_s = F.floor(F.col("_c") / _TILE_RT), F.floor(F.col("_s") / _TILE_MZ)
-    # tiles that need this position: its own, the next one in time, and the m/z neighbours
-    reach_c = F.array_distinct(F.array(tile_c, F.floor((F.col("_c") + 1) / _TILE_RT)))
-    reach_s = F.array_distinct(F.array(tile_s, F.floor((F.col("_s") - 1) / _TILE_MZ), F.floor((F.col("_s") + 1) / _TILE_MZ)))
-    tiles = (
-        placed.withColumn("tc", F.explode(reach_c))
-        .withColumn("ts", F.explode(reach_s))
-        .select("part", "tc", "ts", "rt", "mz", ((F.col("tc") == tile_c) & (F.col("ts") == tile_s)).alias("own"))
+    own_cell = F.col("_x.cc").isNull() | ((F.col("_x.cc") == F.col("c")) & (F.col("_x.cs") == F.col("s")))
+    searched = cut.select(
+        "part", "tc", "ts",
+        F.coalesce("_x.cc", F.lit(-1)).alias("cc"), F.coalesce("_x.cs", F.lit(-1)).alias("cs"),
+        "rt", "mz", ((F.col("tc") == tile_c) & (F.col("ts") == tile_s) & own_cell).alias("own"),
     )
     # an explicit number of partitions: the search costs far more than the bytes suggest
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = tiles.repartition(parts, "part", "tc", "ts").sortWithinPartitions("part", "tc", "ts", "rt", "mz")
+    spread = searched.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "rt", "mz")
     return spread.mapInPandas(_search_tiles(list(rt_tols), mz_tol), _ANCHOR_SCHEMA)
 
 
@@ -151,6 +176,7 @@ def align_features(
     rt: str = "rt",
     mz: str = "mz",
     out: str = "feature",
+    tile_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add the feature each peak belongs to; peaks without a position get none.
 
@@ -172,7 +198,7 @@ def align_features(
         .distinct()
     )
     # read again to number the anchors, so the search must not run twice
-    claimed = materialize(assign_anchors(points, rt_tols, mz_tol), "anchors")
+    claimed = materialize(assign_anchors(points, rt_tols, mz_tol, tile_rows), "anchors")
     anchors = claimed.select("part", "a_rt", "a_mz").distinct()
     numbered = row_positions(anchors, ["part"], ["a_rt", "a_mz"], log_bucket(F.col("a_rt"), 4096), "nr")
     middle = F.concat(F.lit("RT"), F.col("part") + 1, F.lit("_")) if split else F.lit("")

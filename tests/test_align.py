@@ -41,6 +41,13 @@ def test_partitioning_does_not_matter(spark, parts):
     assert ids(spark, rt, mz, parts, rt_tol=0.1, mz_tol=0.05) == ids(spark, rt, mz, 7, rt_tol=0.1, mz_tol=0.05)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 4, 6])
+def test_crowded_tiles_are_cut_into_cells(spark, seed):
+    rt, mz = peaks(seed)
+    want = [f"Compound_{k}.ATDGCMS" for k in brute_force_alignment(zip(rt, mz), 0.1, 0.05)]
+    assert ids(spark, rt, mz, rt_tol=0.1, mz_tol=0.05, tile_rows=3) == want
+
+
 def test_split_runs_and_nulls(spark):
     rt, mz = peaks(4)
     late = rt > 1.0
