@@ -16,7 +16,7 @@ from peakweave.sources import files
 # A file name is built from each line: site, product, replicate, day and batch follow from its keys.
 _NAME_SQL = """named AS (
   SELECT l_orderkey AS scan, l_linenumber AS line,
-    concat('TMU_GC_2023_',
+    concat('LAB_GC_2023_',
       CASE WHEN l_suppkey % 2 = 0 THEN 'USE-' ELSE 'USSB-' END, lpad(CAST(l_suppkey % 16 AS VARCHAR), 2, '0'), '_',
       CASE l_partkey % 9 WHEN 0 THEN 'Balloons' WHEN 1 THEN 'FPW_' WHEN 2 THEN 'MPW_' WHEN 3 THEN 'PBBC_' WHEN 4 THEN 'PC_Sample'
         WHEN 5 THEN 'PDS_Sample' WHEN 6 THEN 'Cigs_' WHEN 7 THEN 'Mask_Sample' ELSE 'Blank' END,
@@ -35,7 +35,7 @@ def _named(spark, sf):
         F.col("l_orderkey").alias("scan"),
         F.col("l_linenumber").alias("line"),
         F.concat(
-            F.lit("TMU_GC_2023_"),
+            F.lit("LAB_GC_2023_"),
             F.when(F.col("l_suppkey") % 2 == 0, "USE-").otherwise("USSB-"),
             F.lpad((F.col("l_suppkey") % 16).cast("string"), 2, "0"),
             F.lit("_"), product, F.lit("_R"), F.col("l_linenumber").cast("string"), F.lit("_Day"),

@@ -158,12 +158,12 @@ def test_band_join_is_exact(spark):
 
 
 def test_names(spark):
-    row = spark.createDataFrame([("TMU_GC_2023_USE-03_R2_Day2.csv", "56 -> 72 Fe [ H2 ]", "12 Na", "x_rep3", "2a b")], "f string, m string, n string, r string, i string").select(
+    row = spark.createDataFrame([("LAB_GC_2023_USE-03_R2_Day2.csv", "56 -> 72 Fe [ H2 ]", "12 Na", "x_rep3", "2a b")], "f string, m string, n string, r string, i string").select(
         names.file_stem(F.col("f")), names.clean_metal_name("m"), names.gas_mode("m"), names.gas_mode("n"), names.strip_replicate_suffix("r"), names.identifier("i"),
         names.classify_by_name("f", names.METAL_CATEGORY_RULES, names.METAL_CATEGORY_DEFAULT), names.classify_regex_ci(F.lit("sample pa66")), names.classify_regex_ci(F.lit("sample pa66"), True),
         names.excel_serial_to_date(F.lit("45000")), names.excel_serial_to_date(F.lit("n/a")),
     ).first()
-    assert list(row)[:9] == ["TMU-GC-2023-USE-03-R2-Day2", "Fe", "H2", None, "x", "X2a.b", "Plastic drinking straws", "PA6", "PA66"]
+    assert list(row)[:9] == ["LAB-GC-2023-USE-03-R2-Day2", "Fe", "H2", None, "x", "X2a.b", "Plastic drinking straws", "PA6", "PA66"]
     assert str(row[9]) == "2023-03-15" and row[10] is None
 
 
