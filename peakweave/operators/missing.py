@@ -107,14 +107,18 @@ def feature_profile(
         F.countDistinct(F.when(present & (F.col(value) != 0), F.col(file))).alias("_nonzero"),
     )
     own = df.groupBy(technique, label).agg(F.countDistinct(file).alias("_own"))
-    everywhere = own.groupBy(label).agg(F.sum("_own").alias("_class"))
     totals = own.groupBy(technique).agg(F.sum("_own").alias("_files"))
-    # techniques by classes: a handful of rows
-    techniques = own.select(technique).distinct()
+    # each class lists the files of every technique; the technique names form one row
+    names = _one_row(own, F.collect_set(technique).alias("_names"))
+    per_class = own.groupBy(label).agg(
+        F.sum("_own").alias("_class"), F.map_from_entries(F.collect_list(F.struct(technique, "_own"))).alias("_by")
+    )
     zeros = (
-        techniques.join(F.broadcast(everywhere), F.lit(True))
-        .join(own, [technique, label], "left")
+        per_class.join(names, F.lit(True))
+        .select(label, "_class", "_by", F.explode("_names").alias(technique))
+        .withColumn("_own", F.try_element_at("_by", F.col(technique)))
         .withColumn("_zeros", F.col("_class") - F.coalesce("_own", F.lit(0)))
+        .drop("_class", "_by")
     )
     free = zeros.groupBy(technique).agg(F.count(F.when(F.col("_zeros") >= points, 1)).alias("_free"))
     extra = (F.col("_zeros") < points) & (F.col("_seen") + F.col("_zeros") >= points)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peakweave.functions.tails import normal_quantile
 from peakweave.operators.ordering import attach_group_stats, exact_quantiles, log_bucket, row_positions, value_positions
+from peakweave.operators.tests import class_names
 
 
 def mean_sd(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -172,10 +173,11 @@ def union_names(*tables: DataFrame, on: str = "feature") -> DataFrame:
 
 
 def label_pairs(df: DataFrame, label: str) -> DataFrame:
-    """All pairs of class names, the smaller name first. Classes are few; rows are not paired."""
-    names = df.filter(F.col(label).isNotNull()).select(label).distinct()
-    a, b = names.select(F.col(label).alias("label_a")), names.select(F.col(label).alias("label_b"))
-    return a.join(F.broadcast(b), F.col("label_a") < F.col("label_b"))
+    """All pairs of class names, the smaller name first. The number of classes is checked; rows are not paired."""
+    names = class_names(df, label)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    kind = df.schema[label].dataType.simpleString()
+    return df.sparkSession.createDataFrame(pairs, f"label_a {kind}, label_b {kind}")
 
 
 def parameter_grid(spark, **choices: Sequence) -> DataFrame:
