@@ -41,7 +41,8 @@ def digests(docs: DataFrame, id_col: str, text_col: str, *, prefix: bool) -> Dat
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     """Key values of more than one row; partial counts meet, not the rows of a hot key."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    return materialize(found, "exact-repeated")  # as a table, a side of a join that can be split where it is hot
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,9 +61,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = materialize(digests(docs, id_col, text_col, prefix=True), "exact-first")
     by_length = first.join(repeated(first, "length"), "length", "left_semi")
     open_rows = by_length.join(repeated(by_length, "length", "digest"), ["length", "digest"], "left_semi").select("id").distinct()
+    open_rows = materialize(open_rows, "exact-open")
     reading = docs.join(open_rows, docs[id_col].eqNullSafe(open_rows["id"]), "left_semi")
     full = materialize(digests(reading, id_col, text_col, prefix=False), "exact-full")
     groups = full.groupBy("length", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = materialize(groups, "exact-groups")
     grouped = full.join(groups, ["length", "digest"]).select("id", "keep_id", "group_size")
     in_group = full.join(groups, ["length", "digest"], "left_anti").select("id")
     # rows that any step found alone: their id was never open, or its whole text turned out to be unlike all others

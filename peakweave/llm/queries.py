@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from peakweave.llm.byte_bpe import round_trip_digests
 from peakweave.llm.exact import digests, exact_duplicates
+from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.packing import pack_documents
 from peakweave.llm.token_counts import token_counts
 
@@ -46,6 +47,25 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(docs).join(hashed, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query(
+    "op2_minhash_dedup",
+    f"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({ASCII_LOWER_SQL}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, c.component_id, sets.doc_id = c.component_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON sets.doc_id = c.a""",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
