@@ -12,6 +12,7 @@ from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.near_vectors import near_vectors
 from peakweave.llm.packing import pack_documents
 from peakweave.llm.token_counts import token_counts
+from peakweave.llm.url_filter import judged_urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,6 +92,48 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+# fixed values: verdict, host and beginning of the path
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def _rule_sql(column: int) -> str:
+    """The longest rule that fits, as text (0) or verdict (1)."""
+    longest_first = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    cases = " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{(h + p, said)[column]}'" for said, h, p in longest_first)
+    return f"CASE {cases} END"
+
+
+def _weight_sql(level: str) -> str:
+    return f"""(SELECT least(greatest(coalesce(CASE WHEN g > 1 AND v > 0 THEN m * (1 - m) / v - 1 WHEN g > 1 THEN 1000.0 END, 1.0), 1.0), 1000.0) FROM (
+  SELECT g, m, (sq - n * m * m - (g - 1) * m * (1 - m)) / nullif(n - nn / n, 0) AS v FROM (
+    SELECT count(*) AS g, sum(bad)::DOUBLE / sum(labelled) AS m, sum(labelled)::DOUBLE AS n, sum(bad * bad / labelled::DOUBLE) AS sq,
+           sum(labelled * labelled)::DOUBLE AS nn FROM {level} WHERE labelled > 0)))"""
+
+
+@query(
+    "op6_url_filter",
+    f"""WITH p AS (
+  SELECT page_id, translate(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') ELSE '' END,
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
+j AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS said FROM p),
+h AS (SELECT host, count(said) AS labelled, count(*) FILTER (said = 'block') AS bad,
+        array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM j GROUP BY host),
+d AS (SELECT domain, suffix, sum(labelled) AS labelled, sum(bad) AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(labelled) AS labelled, sum(bad) AS bad FROM d GROUP BY ALL),
+w AS (SELECT (SELECT CASE WHEN sum(labelled) > 0 THEN sum(bad)::DOUBLE / sum(labelled) ELSE 0.5 END FROM s) AS base,
+        {_weight_sql('s')} AS ws, {_weight_sql('d')} AS wd, {_weight_sql('h')} AS wh),
+ps AS (SELECT suffix, (bad + ws * base) / (labelled + ws) AS m FROM s, w),
+pd AS (SELECT d.domain, (d.bad + wd * ps.m) / (d.labelled + wd) AS m FROM d JOIN ps USING (suffix), w),
+ph AS (SELECT h.host, (h.bad + wh * pd.m) / (h.labelled + wh) AS m, h.labelled + wh AS n FROM h JOIN pd USING (domain), w)
+SELECT page_id, j.host, path, rule, coalesce(said, CASE WHEN m - sqrt(m * (1 - m) / (n + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN ph ON j.host = ph.host""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return judged_urls(table(spark, folder, "pages"), URL_RULES).drop("bad_share")
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
