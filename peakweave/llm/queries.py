@@ -11,6 +11,7 @@ from peakweave.llm.exact import digests, exact_duplicates
 from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.near_vectors import near_vectors
 from peakweave.llm.packing import pack_documents
+from peakweave.llm.secrets import find_secrets, joined
 from peakweave.llm.token_counts import token_counts
 from peakweave.llm.url_filter import judged_urls
 
@@ -134,6 +135,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return judged_urls(table(spark, folder, "pages"), URL_RULES).drop("bad_share")
 
 
+@query("op7_secret_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"),
+    )
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
