@@ -11,6 +11,7 @@ from peakweave.llm.exact import digests, exact_duplicates
 from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.near_vectors import near_vectors
 from peakweave.llm.packing import pack_documents
+from peakweave.llm.quality import fit_quality, held_out, score_quality
 from peakweave.llm.secrets import find_secrets, joined
 from peakweave.llm.token_counts import token_counts
 from peakweave.llm.url_filter import judged_urls
@@ -51,6 +52,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+GOOD_ENOUGH = 0.7
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_ENOUGH).cast("int").alias("predicted"))
+
+
 ASCII_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
