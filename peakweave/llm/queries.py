@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from peakweave.llm.byte_bpe import round_trip_digests
 from peakweave.llm.exact import digests, exact_duplicates
+from peakweave.llm.html_extract import extract_text
 from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.near_vectors import near_vectors
 from peakweave.llm.packing import pack_documents
@@ -164,3 +165,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query("op10_html_extract")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
