@@ -1,25 +1,71 @@
-"""From raw documents to packed training text: the stages in order."""
+"""From raw documents to packed training text: the stages in order.
+
+Each stage takes the documents that the one before it kept, and all but the last give documents of the same columns.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from peakweave.llm.exact import exact_duplicates
+from peakweave.llm.near_text import near_duplicates
+from peakweave.llm.packing import pack_documents
+from peakweave.llm.quality import fit_quality, score_quality
+from peakweave.llm.secrets import redact_secrets
 from peakweave.session import materialize
 
+#: Documents below this score are left out.
+GOOD_ENOUGH = 0.7
+
+
+def with_row_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose id is among the kept ones. Ids are compared so that a null equals a null."""
+    kept = kept.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field scores as good. It is fitted on labelled documents of the input."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_row_ids(docs, score_quality(docs, model).where(F.col("score") >= GOOD_ENOUGH))
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of texts that are equal but for the case of A-Z: the one with the largest id."""
+    return with_row_ids(docs, exact_duplicates(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the one with the smallest id."""
+    return with_row_ids(docs, near_duplicates(docs).where("kept"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets replaced; n_chars follows the new text."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece of a document, with its place in its sequence and its ids."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", drop_copies)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("secret scans", redact),
+    ("packing", pack),
+]
+#: SQL can express neither the classifier nor the tokenizer; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -197,13 +197,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     known = known.where(~held_out(F.col("_id")))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).where(F.octet_length(text_col) <= most_bytes).select("_id", "_label", text_col).dropDuplicates(["_id"])
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.octet_length("_text") <= most_bytes)
+    # an id with several texts is taken with the first of them
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     found = sorted(tuple(r) for r in rows.toLocalIterator())
     labelled = np.array([r[1] for r in found], np.int64)
     if len(set(labelled.tolist())) < 2:
         share = float(np.clip(labelled.mean(), 0.01, 0.99)) if len(labelled) else 0.5
         return LineField(np.zeros(FEATURES), np.zeros((2, 2)), (0.0, float(np.log(share / (1 - share)))))
-    return fit([(r[2] or "").encode("utf-8") for r in found], labelled)
+    return fit([r[2].encode("utf-8") for r in found], labelled)
 
 
 def score_quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

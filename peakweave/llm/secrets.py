@@ -113,6 +113,14 @@ def find_secrets(
     return rows.join(live, "mark", "left").select(F.col("id").alias(id_col), "base", more.alias("more"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def redact_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", *, most_owners: int = 1, tag: str = "[secret]",
 ) -> DataFrame:
@@ -122,20 +130,21 @@ def redact_secrets(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = candidate_spans(text)
-    rows = docs.withColumns({"_mark": mark(id_col, text), "_asks": text.rlike(CANDIDATE)})
-    asks = rows.where("_asks").select(
-        F.col("_mark").alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), found.alias("candidates")
+    own, asks, owned = (unused(docs, name) for name in ("mark", "asks", "live"))
+    rows = docs.withColumns({own: mark(id_col, text), asks: text.rlike(CANDIDATE)})
+    asking = rows.where(F.col(asks)).select(
+        F.col(own).alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), found.alias("candidates")
     )
-    live = materialize(owner_specific(asks, most_owners), "secrets-owned").withColumnRenamed("mark", "_mark")
-    with_live = rows.where("_asks").join(live, "_mark", "left").select(*docs.columns, F.coalesce("live", F.array().cast(SPANS)).alias("_live"))
-    without = rows.where("not _asks").select(*docs.columns, F.array().cast(SPANS).alias("_live"))
+    live = materialize(owner_specific(asking, most_owners), "secrets-owned").select(F.col("mark").alias(own), F.col("live").alias(owned))
+    with_live = rows.where(F.col(asks)).join(live, own, "left").select(*docs.columns, F.coalesce(owned, F.array().cast(SPANS)).alias(owned))
+    without = rows.where(~F.col(asks)).select(*docs.columns, F.array().cast(SPANS).alias(owned))
 
     def cut(state: Column, span: Column) -> Column:
         before = F.substring(text, state["at"] + 1, span["start"] - state["at"])
         fresh = F.struct(span["end"].alias("at"), F.concat(state["out"], before, F.lit(tag)).alias("out"))
         return F.when(span["start"] >= state["at"], fresh).otherwise(F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out")))
 
-    spans = F.concat(base_spans(text), tagged(F.col("_live"), 3))
+    spans = F.concat(base_spans(text), tagged(F.col(owned), 3))
     order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     clean = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
     rewritten = F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(clean)
