@@ -26,6 +26,7 @@ PRODUCT_RULES: Rules = (
 )
 PRODUCT_DEFAULT = "Misc"
 
+# Fixed values.
 SHORT_PRODUCT_RULES: Rules = (
     ("Balloons", "Toys"),
     ("FPW", "Food contact materials"),
@@ -41,6 +42,7 @@ SHORT_PRODUCT_RULES: Rules = (
     ("Mask", "Clothes"),
 )
 
+# Fixed values.
 SITE_PRODUCT_RULES: Rules = (
     ("USE-01", "Food contact materials"),
     ("USE-02", "Mixed_Plastic_Waste"),
@@ -53,12 +55,14 @@ SITE_PRODUCT_RULES: Rules = (
     ("USE-14", "Food contact materials"),
 )
 
+# Fixed values.
 SITE_CODES = (
     "USE-01", "USE-02", "USE-03", "USE-05", "USE-06", "USE-07",
     "USE-09", "USE-11", "USE-12", "USE-13", "USE-14",
 )
 SITE_DEFAULT = "USE-15"
 
+# Fixed values.
 PLASTIC_TYPE_RULES: Rules = (
     ("Balloons", "Balloons"),
     ("FPW_", "Food_Packaging_Waste"),
@@ -69,6 +73,7 @@ PLASTIC_TYPE_RULES: Rules = (
 )
 PLASTIC_TYPE_DEFAULT = "Other"
 
+# Fixed values.
 PLASTIC_CODE_RULES: Rules = (
     ("FPW_", "0"),
     ("Balloons", "1"),
@@ -79,6 +84,7 @@ PLASTIC_CODE_RULES: Rules = (
 )
 PLASTIC_CODE_DEFAULT = "6"
 
+# Fixed values.
 METAL_CATEGORY_RULES: Rules = (
     ("USE-01", "Polystyrene food packaging"),
     ("USE-02", "Mixed plastic waste"),
@@ -94,12 +100,15 @@ METAL_CATEGORY_RULES: Rules = (
 )
 METAL_CATEGORY_DEFAULT = "Fishing bait trays"
 
+# Fixed values.
 SOURCE_RULES: Rules = (("USE", "Environmental"),)
 SOURCE_DEFAULT = "Store-Bought"
 
+# Fixed values.
 DAY_RULES: Rules = (("Day0", "0"), ("Day2", "2"), ("Day15", "15"))
 DAY_DEFAULT = "34"
 
+# Fixed values.
 ALGORITHM_RULES: Rules = (
     ("LGBM", "LGBM"),
     ("RF", "RF"),

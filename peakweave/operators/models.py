@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from peakweave.operators.distance import nearest_neighbours
 from peakweave.operators.metrics import accuracy_kappa
-from peakweave.operators.splits import fold_count, stratified_folds
+from peakweave.operators.splits import DEFAULT_FOLDS, stratified_folds
 from peakweave.session import cut_lineage
 
 
@@ -117,7 +117,7 @@ def tune(
         # solvers pass over the rows many times: they are written once, whatever led to them
         model = builders[0][1]().fit(cut_lineage(rows))
         return Fitted(model, classes, builders[0][0], None, _scorer(model, label, key, classes, raw))
-    k = folds or fold_count(df, label)
+    k = folds or DEFAULT_FOLDS
     rows = cut_lineage(stratified_folds(rows, label, k, seed, (key,)))
     scored = [
         (float(np.mean(cv_accuracies(build, rows, label, key, classes, raw, k) or [0.0])), settings, build)
@@ -261,14 +261,15 @@ def knn_choose_k(df: DataFrame, label: str, ks: Sequence[int] = tuple(range(1, 1
     return votes.join(truth, key).groupBy("k").agg(F.avg((F.col("_predicted") == F.col("_actual")).cast("double")).alias("accuracy"))
 
 
-def fold_scores(df: DataFrame, label: str, settings: Sequence[dict], key: str = "file", folds: int | None = None, seed: int = 123) -> list[float]:
+def fold_scores(df: DataFrame, label: str, settings: Sequence[dict], key: str = "file", folds: int | None = None, seed: int = 123,
+                max_depth: int = 8) -> list[float]:
     """Fold accuracies of a forest over all settings, the raw material of its stability."""
     classes = label_names(df, label)
-    k = folds or fold_count(df, label)
+    k = folds or DEFAULT_FOLDS
     rows = cut_lineage(stratified_folds(_index(df.select(key, label, "features"), label, classes), label, k, seed, (key,)))
     out: list[float] = []
     for s in settings:
-        build = lambda s=s: RandomForestClassifier(labelCol="y", featuresCol="features", seed=seed, maxDepth=8, **s)
+        build = lambda s=s: RandomForestClassifier(labelCol="y", featuresCol="features", seed=seed, maxDepth=max_depth, **s)
         out += cv_accuracies(build, rows, label, key, classes, False, k)
     return out
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from peakweave.operators.ordering import index_features
 
@@ -54,19 +58,43 @@ def to_rows(
     however often its file occurs in the raw data.
     """
     index = index_features(cells, col) if index is None else index
-    width = index.agg(F.count(F.lit(1)).cast("int").alias("_width"))
+    width = index.count()
     packed = (
         cells.filter(F.col(value).isNotNull())
         .join(index, col)
         .groupBy(row, *carry)
-        .agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))).alias("_m"))
+        .agg(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col(value).cast("double").alias("v"))).alias("_m"))
     )
-    missing = F.lit(None).cast("double") if fill is None else F.lit(float(fill))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.coalesce(F.try_element_at("_m", i), missing)
-    )
-    rows = packed.join(F.broadcast(width), F.lit(True)).select(row, *carry, dense.alias("x"))
-    return rows, index
+
+    def lay_out(batches):
+        # cells are written to their places: work is the length of the rows, whatever the order of the cells
+        for batch in batches:
+            cells = batch.column("_m")
+            flat = cells.flatten()
+            line = np.repeat(np.arange(batch.num_rows), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+            at = line * width + flat.field("idx").to_numpy(zero_copy_only=False)
+            x = np.full(batch.num_rows * width, 0.0 if fill is None else float(fill))
+            x[at] = flat.field("v").to_numpy(zero_copy_only=False)
+            empty = None
+            if fill is None:
+                empty = np.ones(len(x), bool)
+                empty[at] = False
+            dense = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(x, mask=empty))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (row, *carry)), dense], [row, *carry, "x"])
+
+    schema = StructType([*(packed.schema[c] for c in (row, *carry)), StructField("x", ArrayType(DoubleType()))])
+    return packed.mapInArrow(_in_small_batches(lay_out, width), schema), index
+
+
+def _in_small_batches(lay_out, width: int):
+    """Rows of many columns go a few at a time, so that a batch of dense rows stays near 64 MB."""
+    rows = max(1, (8 << 20) // max(1, width))
+
+    def run(batches):
+        for batch in batches:
+            yield from lay_out(batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+    return run
 
 
 def to_vectors(rows: DataFrame, array: str = "x", out: str = "features") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from peakweave.operators.models import Fitted, importances, scores, slice_features
 from peakweave.operators.ordering import seeded_positions
-from peakweave.operators.splits import fold_count, stratified_folds
+from peakweave.operators.splits import DEFAULT_FOLDS, stratified_folds
 from peakweave.session import cut_lineage
 
 Fit = Callable[[DataFrame, str], Fitted]
@@ -95,7 +95,7 @@ def subset_scores(train: DataFrame, test: DataFrame | None, label: str, chosen:
     """Mean accuracy, kappa and area under the curve of a feature subset."""
     if score_on == "test":
         return _clean(scores(fit(slice_features(train, chosen), label), slice_features(test, chosen)))
-    k = folds or fold_count(train, label)
+    k = folds or DEFAULT_FOLDS
     rows = cut_lineage(stratified_folds(slice_features(train, chosen), label, k, seed, (key,)))
     each = [
         _clean(scores(fit(rows.filter(F.col("fold") != f).drop("fold"), label), rows.filter(F.col("fold") == f)))

@@ -64,8 +64,12 @@ def balance_classes(
     return placed.join(smallest, F.col("_pos") <= F.col("_least")).select(*df.columns)
 
 
+#: Folds of a cross-validation when none are asked for: a fixed number, so that it does not grow with the rows.
+DEFAULT_FOLDS = 5
+
+
 def fold_count(df: DataFrame, label: str) -> int:
-    """As many folds as the smallest class has rows, but at least two."""
+    """As many folds as the smallest class has rows, but at least two: for a few dozen samples, given as `folds`."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0]
     return max(2, int(least or 0))
 

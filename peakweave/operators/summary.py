@@ -102,14 +102,20 @@ def bin2d_mean(df: DataFrame, x: str, y: str, value: str, x_width: float, y_widt
     ).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
+#: Copies of a value that one array lists.
+COPIES = 4096
+
+
 def qq_points(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Each value with its standard normal quantile, one row per copy."""
     at = value_positions(df, keys, value)
     a = F.when(F.col("n_total") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     p = (F.col("position") - a) / (F.col("n_total") + 1 - 2 * a)
-    rows = at.withColumn(
-        "position", F.explode(F.sequence(F.col("n_before") + 1, F.col("n_before") + F.col("n")))
-    )
+    # copies come out in two steps, so that no array is as long as a value is common
+    runs = at.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    here = F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("_run") * COPIES)
+    begin = F.col("n_before") + F.col("_run") * COPIES
+    rows = runs.withColumn("position", F.explode(F.sequence(begin + 1, begin + here)))
     return rows.select(*keys, value, "position", normal_quantile(p).alias("theoretical"))
 
 

@@ -153,18 +153,29 @@ def welch_t(df: DataFrame, label: str, feature: Sequence[str] = ("feature",), va
 
 
 def shapiro(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Normality test per group of 3 to 5000 values; other groups have no result by the test's definition.
+    """Normality of every group of 3 values or more that is not constant: (keys, n, w, p_value, normality).
 
-    Only groups within that size are sent to Python.
+    Up to MAX_N values the test is Shapiro-Wilk's, which is defined for no more; such a group travels to Python as one
+    array. Larger groups are tested by their skewness and kurtosis (Jarque-Bera, whose asymptotic law holds at that size),
+    from aggregates alone; their w is null and `normality` says 'moments'.
     """
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
-    sized = present.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    testable = sized.filter(F.col("_n").between(MIN_N, MAX_N) & (F.col("_hi") > F.col("_lo"))).select(*keys)
-    # a testable group holds at most MAX_N values, so it travels as one array
+    sized = present.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.skewness(value).alias("_skew"), F.kurtosis(value).alias("_kurt"),
+    ).filter((F.col("n") >= MIN_N) & (F.col("_hi") > F.col("_lo")))
+    testable = sized.filter(F.col("n") <= MAX_N).select(*keys)
     arrays = present.join(testable, keys).groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_v"))
-    tested = arrays.withColumn("_r", _shapiro(F.col("_v")))
-    return tested.select(*keys, F.size("_v").cast("long").alias("n"), "_r.w", "_r.p_value")
+    tested = arrays.withColumn("_r", _shapiro(F.col("_v"))).select(
+        *keys, F.size("_v").cast("long").alias("n"), "_r.w", "_r.p_value", F.lit("shapiro").alias("normality")
+    )
+    jarque_bera = F.col("n") / 6 * (F.col("_skew") * F.col("_skew") + F.col("_kurt") * F.col("_kurt") / 4)
+    # the upper tail of chi-square with two degrees of freedom
+    large = sized.filter(F.col("n") > MAX_N).select(
+        *keys, "n", F.lit(None).cast("double").alias("w"), F.exp(-jarque_bera / 2).alias("p_value"), F.lit("moments").alias("normality")
+    )
+    return tested.unionByName(large)
 
 
 @F.pandas_udf(StructType([StructField("w", DoubleType()), StructField("p_value", DoubleType())]))
@@ -285,8 +296,8 @@ def pairwise_tests(
 ) -> DataFrame:
     """Each feature and class pair with enough values on both sides.
 
-    Rank-sum test when either class is not normal, else Welch's t; a class whose normality cannot be tested
-    drops the pair. All p-values are adjusted together; `significant` marks the adjusted ones below alpha.
+    Rank-sum test when either class is not normal (see `shapiro`: by moments in classes above its limit), else Welch's t;
+    a class of fewer than 3 values, or of equal ones, has no normality test and drops the pair. All p-values are adjusted together; `significant` marks the adjusted ones below alpha.
     """
     keys = list(feature)
     classes = class_names(df, label) if classes is None else classes
@@ -309,10 +320,13 @@ def pairwise_tests(
 
 
 def wilcoxon_screen(
-    df: DataFrame, label: str, methods: Sequence[str] = ("holm", "hochberg", "hommel", "bonferroni", "BH", "BY"),
+    df: DataFrame, label: str, methods: Sequence[str] = ("holm", "hochberg", "bonferroni", "BH", "BY"),
     min_n: int = 3, feature: Sequence[str] = ("feature",), value: str = "value", classes: Sequence | None = None,
 ) -> DataFrame:
-    """Rank-sum p-values of pairs in which neither class is constant, under several corrections."""
+    """Rank-sum p-values of pairs in which neither class is constant, under several corrections.
+
+    "hommel" can be asked for as well; it adjusts all tests in one task, so it is not among the defaults.
+    """
     keys = list(feature)
     varied = (
         df.filter(F.col(value).isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -119,7 +120,7 @@ def run_classifier_study(
     train, test = split_samples(vectors, label, split, key=file)
 
     def refit(data: DataFrame, by: str) -> Fitted:
-        return fit(data, by, file, folds=folds, **fit_args) if "folds" in fit.__code__.co_varnames else fit(data, by, file, **fit_args)
+        return fit(data, by, file, folds=folds, **fit_args) if "folds" in inspect.signature(fit).parameters else fit(data, by, file, **fit_args)
 
     fitted = refit(train, label)
     s = scores(fitted, test)

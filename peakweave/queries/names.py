@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from peakweave.functions import names
@@ -433,9 +434,14 @@ def _banner(spark, sf):
 
     where = _folder(spark, "banner")
     body = table(spark, sf, "orders").select(F.concat_ws(",", F.round(F.col("o_totalprice") * 100), "o_orderkey").alias("value"))
-    head = spark.createDataFrame([("Instrument export,v1",), ("value,scan",)], "value string")
-    head.unionAll(body).write.text(where)
-    got = files.read_with_banner(spark, where, _schema(value=T.DoubleType(), scan=T.StringType()), 2, glob="*.txt")
+
+    def as_export(batches):
+        # every file that is written begins with a banner, whose second field is a number, and a header
+        yield pa.RecordBatch.from_pydict({"value": ["Instrument export,2023", "value,scan"]})
+        yield from batches
+
+    body.mapInArrow(as_export, "value string").write.text(where)
+    got = files.read_with_banner(spark, where, _schema(value=T.DoubleType(), scan=T.StringType()), 1, glob="*.txt")
     return got.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 

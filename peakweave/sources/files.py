@@ -69,27 +69,34 @@ def read_with_banner(
     spark: SparkSession, path: str, schema: StructType, skip: int, include: Sequence[str] = (), exclude: Sequence[str] = (),
     glob: str = "*.csv",
 ) -> DataFrame:
-    """Files with banner lines and a header before the data.
+    """Files with `skip` banner lines and a header line before the data.
 
-    A data row is one whose numeric columns parse; banner and header lines do not, whatever their number, so
-    files can still be split over tasks.
+    Lines are dropped by their position: the first `skip` + 1 of each file, whatever they hold. Every later line is a
+    row; numbers that do not parse are null. Large files are still split over tasks, as the banner lies in a file's
+    first split, whose lines come in order. A quoted value may not hold a line break.
     """
-    numeric = [f.name for f in schema.fields if f.dataType.typeName() in ("double", "integer", "long", "float")]
-    if not numeric:
-        raise ValueError("a file with a banner needs a numeric column to tell data from banner")
-    text = StructType([type(f)(f.name, _string()) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", False).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).csv(path)
-    named = _named(raw, include, exclude)
-    typed = named.select(
-        "file", *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    raw = spark.read.option("pathGlobFilter", glob).text(path)
+    lines = _named(raw, include, exclude).select(
+        "file", "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin")
     )
-    return typed.filter(F.coalesce(*[F.col(f"`{n}`") for n in numeric]).isNotNull())
 
-
-def _string():
-    from pyspark.sql.types import StringType
-
-    return StringType()
+    def after_banner(batches):
+        split, seen = None, 0
+        for lines in batches:
+            if lines.empty:
+                continue
+            at = lines.groupby(["path", "begin"], sort=False).cumcount()
+            first = (lines["path"].iat[0], lines["begin"].iat[0])
+            if first == split:
+                at[(lines["path"] == first[0]) & (lines["begin"] == first[1])] += seen
+            split, seen = (lines["path"].iat[-1], lines["begin"].iat[-1]), int(at.iat[-1]) + 1
+            yield lines.loc[(lines["begin"] > 0) | (at > skip), ["file", "value"]]
+
+    data = lines.mapInPandas(after_banner, "file string, value string").filter(F.trim("value") != "")
+    row = F.from_csv("value", ", ".join(f"`{f.name}` string" for f in schema.fields))
+    return data.select("file", row.alias("_r")).select(
+        "file", *[F.col(f"_r.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def read_results(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv", glob: str = "*.csv") -> DataFrame:

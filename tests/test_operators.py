@@ -435,3 +435,43 @@ def test_summaries(spark, collect):
     assert qq[2][1] == pytest.approx(0, abs=1e-12) and qq[0][1] == pytest.approx(-qq[4][1])
     sets = summary.compare_sets(spark.createDataFrame([("a",), ("b",)], "feature string"), spark.createDataFrame([("b",), ("c",)], "feature string"))
     assert collect(sets) == [("a", "left_only"), ("b", "both"), ("c", "right_only")]
+
+
+def test_pairs_of_large_classes_are_tested(spark):
+    from peakweave.operators.tests import pairwise_tests, shapiro
+
+    for n in (5000, 5001):
+        df = spark.range(2 * n).select(F.lit("f").alias("feature"), (F.col("id") % 2).alias("label"), (F.randn(3) + F.col("id") % 2).alias("value"))
+        got = pairwise_tests(df, "label").collect()
+        assert [(r.n_a, r.n_b, r.test, r.significant) for r in got] == [(n, n, "welch", True)]
+        assert {r.normality for r in shapiro(df, ["feature", "label"]).collect()} == {"shapiro" if n == 5000 else "moments"}
+    skewed = df.withColumn("value", F.exp("value"))
+    assert [r.test for r in pairwise_tests(skewed, "label").collect()] == ["wilcoxon"]
+
+
+def test_banner_lines_go_by_position(spark, tmp_path, collect):
+    from pyspark.sql.types import DoubleType, StringType
+
+    from peakweave.schema import _schema
+    from peakweave.sources import files
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("Export,2023,7\nname,x,y\nfirst,1,2\nempty,,\nlast,bad,4\n")
+    got = files.read_with_banner(spark, str(tmp_path), _schema(name=StringType(), x=DoubleType(), y=DoubleType()), 1)
+    assert collect(got.select("name", F.coalesce("x", F.lit(-1.0)), F.coalesce("y", F.lit(-1.0)))) == sorted([("first", 1.0, 2.0), ("empty", -1.0, -1.0), ("last", -1.0, 4.0)] * 2)
+
+
+def test_dense_rows_keep_place_and_gaps(spark):
+    from peakweave.operators.reshape import to_rows
+
+    cells = spark.createDataFrame([("a", 1, 2.0), ("a", 3, 4.0), ("b", 2, 5.0)], "file string, feature long, value double")
+    rows = {r.file: r.x for r in to_rows(cells, fill=None)[0].collect()}
+    assert sorted(v for v in rows["a"] if v is not None) == [2.0, 4.0] and rows["b"].count(None) == 2
+    assert all(0.0 in r.x and len(r.x) == 3 for r in to_rows(cells)[0].collect())
+
+
+def test_normal_quantiles_of_a_very_common_value(spark):
+    from peakweave.operators.summary import qq_points
+
+    df = spark.createDataFrame([("k", 1.0)] * 5000 + [("k", 2.0)] * 3, "k string, value double")
+    assert sorted(r.position for r in qq_points(df, ["k"]).collect()) == list(range(1, 5004))
