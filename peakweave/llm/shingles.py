@@ -47,7 +47,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     hashes, counts = word_hashes(texts)
     joined = np.zeros(len(hashes), np.uint64)
     for i in range(WORDS):
-        joined[: len(hashes) - i] += hashes[i:] * _PLACE[i]
+        joined[: max(0, len(hashes) - i)] += hashes[i:] * _PLACE[i]
     joined = mixed(joined)
     out, at = [], 0
     for n in counts.tolist():
