@@ -93,20 +93,23 @@ def min_classes(df: DataFrame, label: str = "subcategory", more_than: int = 1, f
 
 def feature_profile(
     df: DataFrame, label: str = "subcategory", points: int = 3, file: str = "file", feature: str = "feature",
-    value: str = "value", technique: str = "technique",
+    value: str = "value", technique: str = "technique", collapsed: bool = False,
 ) -> DataFrame:
     """Everything the cleaning rules ask about a feature, from one pass over collapsed cells.
 
-    Cells are first counted per feature and class; all rules are then sums over that small table. Class sizes come
+    Cells are first counted per feature and class; all rules are then sums over that small table. `collapsed` says that a
+    file has one row per feature, technique and class, so that plain counts do for distinct ones. Class sizes come
     from the files of the whole table. `classes_enough` counts classes with enough values, the files of a
     class outside the feature's technique being measured zeros.
     """
     present = F.col(value).isNotNull()
+    files = F.count if collapsed else F.countDistinct
     counts = df.groupBy(feature, technique, label).agg(
-        F.countDistinct(F.when(present, F.col(file))).alias("_seen"),
-        F.countDistinct(F.when(present & (F.col(value) != 0), F.col(file))).alias("_nonzero"),
+        files(F.when(present, F.col(file))).alias("_seen"),
+        files(F.when(present & (F.col(value) != 0), F.col(file))).alias("_nonzero"),
     )
-    own = df.groupBy(technique, label).agg(F.countDistinct(file).alias("_own"))
+    # one row per technique and class, read four times below
+    own = materialize(df.groupBy(technique, label).agg(F.countDistinct(file).alias("_own")), "class-sizes")
     totals = own.groupBy(technique).agg(F.sum("_own").alias("_files"))
     # each class lists the files of every technique; the technique names form one row
     names = _one_row(own, F.collect_set(technique).alias("_names"))
@@ -184,7 +187,7 @@ def comprehensive_filter(
         keep = keep & (F.col("classes_nonzero") > 1)
     if 6 in steps:
         keep = keep & (F.col("classes_enough") >= 2)
-    good = feature_profile(cells, label, 3, file, feature, value, technique).filter(keep)
+    good = feature_profile(cells, label, 3, file, feature, value, technique, collapsed=True).filter(keep)
     return restrict_to(cells, good, feature)
 
 
