@@ -227,44 +227,61 @@ def nearest_neighbours(
     return top_k(found, [key], [F.asc("distance"), F.asc("n_id")], k)
 
 
-def cross_moments(rows: DataFrame, array: str = "x", block_cols: int = 512) -> DataFrame:
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _block_sums(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The six sums of every column of x with every column of y over the rows in which both are present."""
+    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    zx, zy = np.where(mx > 0, x, 0.0), np.where(my > 0, y, 0.0)
+    return [mx.T @ my, zx.T @ my, mx.T @ zy, (zx**2).T @ my, mx.T @ zy**2, zx.T @ zy]
+
+
+def _as_rows(parts: list[np.ndarray], lo: int, hi: int) -> pd.DataFrame:
+    r, c = np.indices(parts[0].shape)
+    a, b = r.ravel() + lo, c.ravel() + hi
+    keep = a < b
+    data = {"a": a[keep].astype("int32"), "b": b[keep].astype("int32")}
+    return pd.DataFrame(data | {name: part.ravel()[keep] for name, part in zip(MOMENTS, parts, strict=True)})
+
+
+def cross_moments(rows: DataFrame, array: str = "x", block_cols: int = 512, block_rows: int = 2048) -> DataFrame:
     """Pairwise-complete sums (n, sx, sy, sxx, syy, sxy) of every two columns a < b of dense rows with nulls.
 
-    Each task reduces its own rows to column-by-column sums with matrix products and writes them once; the
-    sums of the tasks are then added. Column blocks bound the size of what a task holds.
+    Rows of up to `block_cols` columns are reduced where they are: a task holds six blocks of sums. Wider rows are cut into
+    column blocks; a group then holds two of them for about `block_rows` rows, so memory does not grow with the width.
+    Sums of the tasks are added up at the end.
     """
-    spec = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    spec = "a int, b int, " + ", ".join(f"{c} double" for c in MOMENTS)
+    x = rows.select(F.col(array).cast("array<double>").alias(array))
+    first = x.select(F.size(array)).first()
+    width = first[0] if first else 0
 
     def partial(batches):
-        sums: dict[tuple[int, int], list[np.ndarray]] = {}
-        width = None
+        sums = None
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            x = _stack(batch[array])
-            width = x.shape[1]
-            m = (~np.isnan(x)).astype(float)
-            z = np.where(m > 0, x, 0.0)
-            for lo in range(0, width, block_cols):
-                for hi in range(lo, width, block_cols):
-                    p, q = slice(lo, min(lo + block_cols, width)), slice(hi, min(hi + block_cols, width))
-                    parts = [
-                        m[:, p].T @ m[:, q], z[:, p].T @ m[:, q], m[:, p].T @ z[:, q],
-                        (z[:, p] ** 2).T @ m[:, q], m[:, p].T @ (z[:, q] ** 2), z[:, p].T @ z[:, q],
-                    ]
-                    known = sums.get((lo, hi))
-                    sums[(lo, hi)] = parts if known is None else [u + v for u, v in zip(known, parts, strict=True)]
-        for (lo, hi), parts in sums.items():
-            r, c = np.indices(parts[0].shape)
-            a, b = r.ravel() + lo, c.ravel() + hi
-            keep = a < b
-            data = {"a": a[keep].astype("int32"), "b": b[keep].astype("int32")}
-            for name, part in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), parts, strict=True):
-                data[name] = part.ravel()[keep]
-            yield pd.DataFrame(data)
-
-    sums = rows.select(F.col(array).cast("array<double>").alias(array)).mapInPandas(partial, spec)
-    return sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+            if len(batch):
+                block = _stack(batch[array])
+                parts = _block_sums(block, block)
+                sums = parts if sums is None else [u + v for u, v in zip(sums, parts, strict=True)]
+        if sums is not None:
+            yield _as_rows(sums, 0, 0)
+
+    def of_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
+        return _as_rows(_block_sums(_stack(pdf["p"]), _stack(pdf["q"])), lo, hi)
+
+    if width <= block_cols:
+        sums = x.mapInPandas(partial, spec)
+    else:
+        total = rows.count()
+        starts = list(range(0, width, block_cols))
+        pairs = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo in starts for hi in starts if lo <= hi])
+        dealt = x.withColumn("_rows", F.pmod(F.xxhash64(array), F.lit(max(1, -(-total // block_rows))))).withColumn("_p", F.explode(pairs))
+        part = lambda c: F.slice(array, F.col(f"_p.{c}") + 1, F.lit(block_cols))
+        dealt = dealt.select("_rows", "_p.lo", "_p.hi", part("lo").alias("p"), part("hi").alias("q"))
+        sums = dealt.groupBy("_rows", "lo", "hi").applyInPandas(of_blocks, spec)
+    return sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in MOMENTS])
 
 
 def centre_columns(rows: DataFrame, array: str = "x") -> DataFrame:

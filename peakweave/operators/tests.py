@@ -66,6 +66,11 @@ def pair_distribution(
     )
     if wanted is not None:
         pairs = F.filter(pairs, wanted)
+    # a value meets the pairs of its own classes only
+    at = lambda src, k: F.element_at(f"_{src}", k)
+    pairs = F.filter(
+        pairs, lambda q: (at("t", q["i"]) > 0) & (at("t", q["j"]) > 0) & (at("c", q["i"]) + at("c", q["j"]) > 0)
+    )
     spread = packed.select("*", F.explode(pairs).alias("_p")).select(
         *keys,
         "_p.label_a",
@@ -75,8 +80,7 @@ def pair_distribution(
     a, b = F.col("ci"), F.col("cj")
     t = (a + b).cast("double")
     return (
-        spread.filter((F.col("ti") > 0) & (F.col("tj") > 0) & (a + b > 0))
-        .groupBy(*keys, "label_a", "label_b")
+        spread.groupBy(*keys, "label_a", "label_b")
         .agg(
             F.max("ti").alias("n_a"),
             F.max("tj").alias("n_b"),

@@ -475,3 +475,16 @@ def test_normal_quantiles_of_a_very_common_value(spark):
 
     df = spark.createDataFrame([("k", 1.0)] * 5000 + [("k", 2.0)] * 3, "k string, value double")
     assert sorted(r.position for r in qq_points(df, ["k"]).collect()) == list(range(1, 5004))
+
+
+def test_moments_of_wide_rows_equal_those_of_narrow_ones(spark):
+    from peakweave.operators.distance import cross_moments
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 23))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = spark.createDataFrame([([None if np.isnan(v) else float(v) for v in r],) for r in x], "x array<double>").repartition(3)
+    one = {(r.a, r.b): tuple(r)[2:] for r in cross_moments(rows).collect()}
+    cut = {(r.a, r.b): tuple(r)[2:] for r in cross_moments(rows, block_cols=7, block_rows=16).collect()}
+    assert set(one) == set(cut) == {(a, b) for a in range(23) for b in range(a + 1, 23)}
+    assert all(np.allclose(one[k], cut[k]) for k in one)
