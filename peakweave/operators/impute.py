@@ -154,6 +154,7 @@ IMPUTERS: dict[str, Callable[..., DataFrame]] = {
     "mean": impute_mean,
     "median": impute_median,
     "half_min": impute_half_min,
+    "uniform_lod": impute_uniform_lod,
     "none": impute_none,
 }
 

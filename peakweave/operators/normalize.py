@@ -84,5 +84,7 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "minmax": norm_minmax,
     "zscore": norm_zscore,
     "log10": norm_log10,
+    "ln": norm_ln,
+    "robust_clr": robust_clr,
     "none": norm_none,
 }

@@ -110,12 +110,16 @@ def _clean(s: dict[str, float | None]) -> dict[str, float]:
 
 def forward_addition(
     train: DataFrame, test: DataFrame | None, label: str, base: Sequence[int], candidates: Sequence[int], fit: Fit,
-    score_on: str = "folds", max_rounds: int = 50, folds: int | None = None, key: str = "file",
+    score_on: str = "folds", max_rounds: int | None = None, folds: int | None = None, key: str = "file",
 ) -> dict:
-    """Add the first feature that improves accuracy, kappa and area together; stop when a whole pass adds none."""
+    """Add the first feature that improves accuracy, kappa and area together; stop when a whole pass adds none.
+
+    `max_rounds` ends it earlier; `converged` tells whether a whole pass added none.
+    """
     chosen, remaining = list(base), [c for c in candidates if c not in base]
     best = subset_scores(train, test, label, chosen, fit, score_on, folds, key=key)
-    for _ in range(max_rounds):
+    converged = False
+    for _ in range(len(remaining) + 1 if max_rounds is None else max_rounds):
         added = None
         for c in remaining:
             s = subset_scores(train, test, label, [*chosen, c], fit, score_on, folds, key=key)
@@ -123,10 +127,11 @@ def forward_addition(
                 added, best = c, s
                 break
         if added is None:
+            converged = True
             break
         chosen.append(added)
         remaining.remove(added)
-    return {"features": chosen, **best}
+    return {"features": chosen, "converged": converged, **best}
 
 
 def recursive_elimination(
@@ -149,19 +154,23 @@ def recursive_elimination(
 
 def backward_elimination(
     train: DataFrame, test: DataFrame | None, label: str, start: Sequence[int], fit: Fit, score_on: str = "folds",
-    max_removals: int = 50, folds: int | None = None, key: str = "file",
+    max_removals: int | None = None, folds: int | None = None, key: str = "file",
 ) -> dict:
-    """Drop features one by one, weakest first, as long as accuracy does not fall below the baseline."""
+    """Drop features one by one, weakest first, as long as accuracy does not fall below the baseline.
+
+    `max_removals` ends it earlier; `converged` tells whether every feature was tried.
+    """
     chosen = list(start)
     ranked = ranked_features(fit(slice_features(train, chosen), label))
     weakest_first = [chosen[i] for i in reversed(ranked)]
     best = subset_scores(train, test, label, chosen, fit, score_on, folds, key=key)
-    removed = 0
+    removed, converged = 0, True
     for c in weakest_first:
-        if len(chosen) == 1 or removed >= max_removals:
+        if len(chosen) == 1 or removed == max_removals:
+            converged = len(chosen) == 1
             break
         trial = [x for x in chosen if x != c]
         s = subset_scores(train, test, label, trial, fit, score_on, folds, key=key)
         if s["accuracy"] >= best["accuracy"]:
             chosen, best, removed = trial, s, removed + 1
-    return {"features": chosen, **best}
+    return {"features": chosen, "converged": converged, **best}

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from peakweave.operators.cluster import average_resolution
 from peakweave.operators.distance import correlation_matrix, correlation_preservation
 from peakweave.operators.impute import IMPUTERS
+from peakweave.operators.impute_models import impute_knn
 from peakweave.operators.metrics import confusion_table
 from peakweave.operators.models import Fitted, random_forest, rf_stability, scores
 from peakweave.operators.normalize import NORMALIZERS
 from peakweave.operators.ordering import index_features
 from peakweave.operators.prevalence import drop_small_classes, restrict_to
 from peakweave.operators.project import pca
-from peakweave.operators.reshape import to_rows, to_vectors
+from peakweave.operators.reshape import array_to_long, to_rows, to_vectors
 from peakweave.operators.selection import recursive_elimination, refit_top
 from peakweave.operators.splits import FIELD, STORE, source_split, source_split_half, stratified_split
 from peakweave.operators.summary import rank_rows
@@ -42,9 +43,20 @@ def split_samples(samples: DataFrame, label: str, split: str, p: float = 0.7, se
     return marked.filter("in_train").drop("in_train"), marked.filter("NOT in_train").drop("in_train")
 
 
-def prepare(cells: DataFrame, imputer: str, normalizer: str, file: str = "file") -> DataFrame:
-    """Dense normalised long cells."""
-    filled = IMPUTERS[imputer](cells.select(file, "feature", "value"))
+def prepare(cells: DataFrame, imputer: str | Callable[[DataFrame], DataFrame], normalizer: str, file: str = "file") -> DataFrame:
+    """Dense normalised long cells.
+
+    The imputer is a name in IMPUTERS, "knn", or any function of the cells, as for the ones that need more than the cells
+    (detection limits from blanks, limits per technique, forests).
+    """
+    if callable(imputer):
+        filled = imputer(cells)
+    elif imputer == "knn":
+        rows, index = to_rows(cells, file, "feature", "value", fill=None)
+        long = array_to_long(impute_knn(rows, key=file), file, "x", "idx", "value")
+        filled = long.join(index, "idx")
+    else:
+        filled = IMPUTERS[imputer](cells.select(file, "feature", "value"))
     return NORMALIZERS[normalizer](filled.select(file, "feature", "value"))
 
 

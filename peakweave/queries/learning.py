@@ -117,15 +117,22 @@ def _errors(spark, sf):
     return rounded(metrics.class_errors(_pred(spark, sf)), "error", digits=10)
 
 
-# ten scores per vector stand in for class probabilities
-_PROB_SQL = """pr AS (SELECT vec_id AS sample, CAST(label AS VARCHAR) AS actual, CAST(k AS VARCHAR) AS class, abs(CAST(embedding[k + 1] AS DOUBLE)) AS prob FROM embeddings, range(10) r(k))"""
+# ten scores per vector stand in for class probabilities: each adds up every tenth component of the whole vector, in
+# whole millionths, so that sums do not depend on their order; a prime scale keeps means off the ties of rounding
+_PROB_SQL = """pr AS (
+  SELECT vec_id AS sample, CAST(label AS VARCHAR) AS actual, CAST(i % 10 AS VARCHAR) AS class,
+         sum(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 1000000)) / 10000019 AS prob
+  FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL)"""
 
 
 def _probs(spark, sf):
-    v = vectors(spark, sf)
+    score = lambda k: F.aggregate(
+        F.filter("x", lambda v, i: i % 10 == k), F.lit(0.0), lambda total, v: total + F.floor(F.abs(v) * 1000000).cast("double")
+    )
+    v = vectors(spark, sf).withColumn("scores", F.array(*[score(k) / 10000019 for k in range(10)]))
     return v.select(
-        F.col("file").alias("sample"), F.col("label").cast("string").alias("actual"), F.posexplode(F.slice("x", 1, 10)).alias("k", "p")
-    ).select("sample", "actual", F.col("k").cast("string").alias("class"), F.abs("p").alias("prob"))
+        F.col("file").alias("sample"), F.col("label").cast("string").alias("actual"), F.posexplode("scores").alias("k", "prob")
+    ).select("sample", "actual", F.col("k").cast("string").alias("class"), "prob")
 
 
 @query(
@@ -238,7 +245,7 @@ def _dependence(spark, sf):
 @query("forward_addition")
 def _forward(spark, sf):
     train, test = _train_test(spark, sf)
-    got = selection.forward_addition(train, test, "label", [0, 1], [2, 3], _small_forest, "test", max_rounds=1)
+    got = selection.forward_addition(train, test, "label", [0, 1], list(range(2, 64)), _small_forest, "folds", max_rounds=1, folds=2)
     return spark.createDataFrame([(got["features"], got["accuracy"])], "features array<int>, accuracy double")
 
 
@@ -251,7 +258,7 @@ def _rfe(spark, sf):
 @query("backward_elimination")
 def _backward(spark, sf):
     train, test = _train_test(spark, sf)
-    got = selection.backward_elimination(train, test, "label", [0, 1, 2], _small_forest, "test", max_removals=1)
+    got = selection.backward_elimination(train, test, "label", list(range(64)), _small_forest, "folds", max_removals=1, folds=2)
     return spark.createDataFrame([(got["features"], got["accuracy"])], "features array<int>, accuracy double")
 
 

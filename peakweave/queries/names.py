@@ -437,8 +437,10 @@ def _banner(spark, sf):
 
     def as_export(batches):
         # every file that is written begins with a banner, whose second field is a number, and a header
-        yield pa.RecordBatch.from_pydict({"value": ["Instrument export,2023", "value,scan"]})
-        yield from batches
+        for n, batch in enumerate(batches):
+            if n == 0:
+                yield pa.RecordBatch.from_arrays([pa.array(["Instrument export,2023", "value,scan"], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
 
     body.mapInArrow(as_export, "value string").write.text(where)
     got = files.read_with_banner(spark, where, _schema(value=T.DoubleType(), scan=T.StringType()), 1, glob="*.txt")
