@@ -15,6 +15,8 @@ from peakweave.llm.word_bpe import word_codec
 from peakweave.session import materialize
 
 DIMS, BITS, BUCKETS = 3, 10, 256
+#: Bytes of text, and of ids, that a task works on at once; a longer text alone.
+SLICE_BYTES, PIECE_BYTES = 3 << 20, 1 << 20
 TIE_BITS = 62 - DIMS * BITS
 
 
@@ -65,7 +67,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
     def run(batches):
         codec, directions = word_codec(path), projection()
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            for part in text_slices(batch, text_col, SLICE_BYTES):
                 ids, sizes = codec.encode(texts_of(part, text_col))
                 key = curve_positions(ids, sizes, directions)
                 tie = part.column("tie").to_numpy(zero_copy_only=False) & ((1 << TIE_BITS) - 1)
@@ -90,11 +92,11 @@ def stretch_bounds(docs: DataFrame, stretches: int, sample_rows: int, **kw) -> n
 
 
 def pack_documents(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, length: int = 4096, end_id: int = 2, sample_rows: int = 2000,
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, length: int = 4096, end_id: int = 2, sample_rows: int = 2000, with_ids: bool = True,
 ) -> DataFrame:
     """Documents, each followed by `end_id`, laid end to end along the curve and cut into sequences of `length` ids.
 
-    Returns one row per piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids). A document's
+    Returns one row per piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids). A document's
     vector is its hashed bag of ids, projected to three dimensions; its Hilbert key, then a hash, give its place. The
     curve is cut into stretches by a sample of at most `sample_rows` places; documents are dealt by stretch, sorted within
     it, and written once with their running sum. Only the total of each stretch goes to the driver. Sequences are full
@@ -143,22 +145,23 @@ def pack_documents(
 
     def pieces(batches):
         for batch in batches:
-            rows, picks = [], []
-            columns = [batch.column(c).to_pylist() for c in ("stretch", "before", "n", "ids")]
-            for row, (stretch, before, n, data) in enumerate(zip(*columns, strict=True)):
-                ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
-                place, start = begins[stretch] + before, 0
-                while start < n:
-                    sequence, offset = divmod(place + start, length)
-                    size = min(n - start, length - offset)
-                    raw = ids[start : start + size].tobytes()
-                    rows.append((start, size, zlib.crc32(raw), n, sequence, offset, raw))
-                    picks.append(row)
-                    start += size
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            arrays = [pa.array(list(c), pa.int64()) for c in columns[:6]] + [pa.array(list(columns[6]), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(picks, pa.int64())), *arrays], [f.name for f in out])
+            for part in text_slices(batch, "ids", PIECE_BYTES):
+                rows, picks = [], []
+                columns = [part.column(c).to_pylist() for c in ("stretch", "before", "n", "ids")]
+                for row, (stretch, before, n, data) in enumerate(zip(*columns, strict=True)):
+                    ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+                    place, start = begins[stretch] + before, 0
+                    while start < n:
+                        sequence, offset = divmod(place + start, length)
+                        size = min(n - start, length - offset)
+                        raw = ids[start : start + size].tobytes()
+                        rows.append((start, size, zlib.crc32(raw), n, sequence, offset, *([raw] if with_ids else ())))
+                        picks.append(row)
+                        start += size
+                columns = list(zip(*rows, strict=True)) or [()] * (7 if with_ids else 6)
+                arrays = [pa.array(list(c), pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(picks, pa.int64())), *arrays], [f.name for f in out])
 
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    out = T.StructType([field(docs, id_col), *(T.StructField(c, T.LongType()) for c in names), T.StructField("ids", T.BinaryType())])
+    out = T.StructType([field(docs, id_col), *(T.StructField(c, T.LongType()) for c in names), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     return laid.select("id", "stretch", "before", "n", "ids").mapInArrow(pieces, out)

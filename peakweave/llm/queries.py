@@ -164,7 +164,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 @query("op10_html_extract")

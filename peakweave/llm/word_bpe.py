@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,58 +36,60 @@ class WordCodec:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces. Misses are encoded side by side; the token that ends a word ends its piece."""
-        out = list(map(self.cache.get, pieces))
-        open_ = [i for i, ids in enumerate(out) if ids is None]
-        blocks = [open_[i : i + BLOCK] for i in range(0, len(open_), BLOCK)]
-        coded = self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in b]) for b in blocks], add_special_tokens=False)
+    def side_by_side(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, many in one call; the token that ends a word ends its piece."""
+        out: list[bytes] = []
+        blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
         for block, encoding in zip(blocks, coded, strict=True):
             ids = np.array(encoding.ids, "<u4")
-            ends = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+            ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
             if len(ends) == len(block):
-                data, at = ids.tobytes(), 0
-                parts = []
-                for end in ends.tolist():
-                    parts.append(data[at:end])
-                    at = end
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             else:
-                parts = self.whole([pieces[i] for i in block])
-            for i, part in zip(block, parts, strict=True):
-                out[i] = part
-                if len(pieces[i]) <= 64:
-                    self.cache.put(pieces[i], part)
+                out += self.whole(block)
+        return out
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks of usual characters, in lower case and without white space."""
+        get, put = self.cache.get, self.cache.put
+        out = list(map(get, chunks))
+        cut = {i: CUT.findall(chunks[i]) for i, ids in enumerate(out) if ids is None}
+        known = {piece: get(piece) for pieces in cut.values() for piece in pieces}
+        fresh = [piece for piece, ids in known.items() if ids is None]
+        known.update(zip(fresh, self.side_by_side(fresh), strict=True))
+        for piece in fresh:
+            if len(piece) <= 64:
+                put(piece, known[piece])
+        for i, pieces in cut.items():
+            out[i] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+            if 1 < len(pieces) and len(chunks[i]) <= 64:
+                put(chunks[i], out[i])
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after another, and their number per text."""
-        unusual = pc.match_substring_regex(texts, UNUSUAL).to_pylist()
-        values = texts.to_pylist()
-        direct = iter(self.whole([v for v, odd in zip(values, unusual, strict=True) if odd]))
-        # an unusual text is one piece, coded as a whole
-        cut = [None if odd else CUT.findall(v.lower()) for v, odd in zip(values, unusual, strict=True)]
-        coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(c for c in cut if c)), pa.string()))
-        ids = self.pieces(coded.dictionary.to_pylist())
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if any(unusual):
-            runs, at = [], 0
-            for c in cut:
-                if c is None:
-                    ids.append(next(direct))
-                    runs.append(np.array([len(ids) - 1]))
-                else:
-                    runs.append(codes[at : at + len(c)])
-                    at += len(c)
-            codes = np.concatenate(runs)
+        unusual = pc.match_substring_regex(texts, UNUSUAL)
+        parts = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(unusual, "", texts)))
+        coded = pc.dictionary_encode(parts.flatten())
+        ids = self.chunks(coded.dictionary.to_pylist())
+        codes, counts = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False))
+        if len(odd):
+            # an unusual text is one chunk, encoded whole
+            at = (np.cumsum(counts) - counts)[odd]
+            codes = np.insert(codes, at, len(ids) + np.arange(len(odd)))
+            counts = counts + np.isin(np.arange(len(counts)), odd)
+            ids += self.whole(texts.take(pa.array(odd)).to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        sizes = run_sums(lengths[codes], np.array([1 if c is None else len(c) for c in cut], np.int64))
-        return ragged_take(np.frombuffer(b"".join(ids), "<u4"), lengths, codes), sizes
+        return ragged_take(np.frombuffer(b"".join(ids), "<u4"), lengths, codes), run_sums(lengths[codes], counts)
 
 
 _WORKER: dict[str, WordCodec] = {}
 
 
-def word_codec(path: str, entries: int = 600_000) -> WordCodec:
+def word_codec(path: str, entries: int = 200_000) -> WordCodec:
     if path not in _WORKER:
         _WORKER[path] = WordCodec(path, entries)
     return _WORKER[path]
