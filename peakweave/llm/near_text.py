@@ -25,10 +25,10 @@ CHUNKS = POSITIONS // CHUNK
 #: Pairs that differ in more symbols than this are not compared in full; at similarity 0.75 one in a million does.
 FARTHEST = 24
 #: Rows of one key that one task compares with each other or with as many others.
-BLOCK = 512
+BLOCK = 1024
 #: A second, longer signature of four-bit symbols decides which pairs of one key are compared in full: those whose
 #: estimated similarity is not more than SLACK standard deviations below the threshold.
-WIDE, SLACK = 512, 4.3
+WIDE, SLACK = 1024, 4.3
 
 _RANDOM = np.random.default_rng(40)
 _FLIP = _RANDOM.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
