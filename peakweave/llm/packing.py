@@ -78,6 +78,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
                     [part.column(id_col), pa.array((key << TIE_BITS) | tie, pa.int64()), pa.array(sizes + 1, pa.int64()), pa.array(data, pa.binary())],
                     ["id", "place", "n", "ids"],
                 )
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"))
     schema = T.StructType([field(docs, id_col, "id"), T.StructField("place", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
