@@ -196,8 +196,8 @@ def slices_by_pairs(rows: pa.RecordBatch, most: int = 1 << 20) -> list[pa.Record
     return out
 
 
-def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of one key that are to be compared in full: not yet in one component, of sizes and wide
+def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of one key, and how many wide symbols they share, that are to be compared in full: not yet in one component, of sizes and wide
     signatures that leave room for a link. A pair that shares several keys is left to the first of them."""
     number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
     key, n, component, block, crossed = (number(c) for c in ("key", "n", "component", "block", "crossed"))
@@ -219,13 +219,14 @@ def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndar
         # of the ways of erasing a symbol of a chunk that agrees throughout, the first counts
         own = np.take_along_axis(agree, chunk, axis=1)[:, 0]
         keep = np.flatnonzero(~earlier & ((own < CHUNK) | (erased == 0)))
-        near = _AGREE[wide[a[keep]] ^ wide[b[keep]]].sum(axis=1) >= least
-        out.append((a[keep[near]], b[keep[near]]))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*out, strict=True)) or [(), ()]))
+        near = _AGREE[wide[a[keep]] ^ wide[b[keep]]].sum(axis=1, dtype=np.int64)
+        keep, near = keep[near >= least], near[near >= least]
+        out.append((a[keep], b[keep], near))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*out, strict=True)) or [(), (), ()]))
 
 
 def pairs_within_keys(open_rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (key, node, component, n, symbols, wide, rows): keys are cut into blocks, and each task compares the
+    """(a, b, near, ca, cb), with the shared wide symbols and both components, from rows (key, node, component, n, symbols, wide, rows): keys are cut into blocks, and each task compares the
     rows of one block, or of two, in bulk. Only pairs that need a full comparison come out."""
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(9)), blocks).cast("int")
@@ -250,11 +251,12 @@ def pairs_within_keys(open_rows: DataFrame, percent: int) -> DataFrame:
 
     def emit(rows):
         for part in slices_by_pairs(rows):
-            i, j = close_pairs(part, percent)
-            node = part.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+            i, j, near = close_pairs(part, percent)
+            node, component = part.column("node").to_numpy(), part.column("component").to_numpy()
+            ends = [f(x[i], x[j]) for x in (node, component) for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*ends[:2], near, *ends[2:])], ["a", "b", "near", "ca", "cb"])
 
-    return dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    return dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long, near long, ca long, cb long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75) -> DataFrame:
@@ -267,7 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one node. Nodes are filed under the keys of their signature. First, each key's nodes are paired with one
     of them, its centre, and confirmed links are contracted, which settles groups of copies in linear work. Then nodes of
     one key that are not yet in the same component are compared in blocks: a longer signature rules out most pairs inside the
-    task, and only those it can't rule out come out, each once, to be confirmed. Every link is confirmed on the whole sets.
+    task, and only those it can't rule out come out, each once. Of these, the closest of each two components are confirmed first,
+    then those whose components are still apart. Every link is confirmed on the whole sets.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null id take part,
     but name no component (component_id is null, and kept true, if all ids there are null). Rows that share an id count one by
@@ -302,8 +305,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = pairs_within_keys(open_rows.join(materialize(described, "near-text-described"), "node"), percent)
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "near-text-more")
     if not more.isEmpty():
-        further = confirmed(more, sets, percent)
-        part = materialize(connected_components(links.unionByName(further)), "near-text-components")
+        # of two components, first the pair that looks closest: if it is a link, the others need no comparison
+        best = more.groupBy("ca", "cb").agg(F.max(F.struct("near", "a", "b")).alias("pair")).select("ca", "cb", "pair.a", "pair.b")
+        best = materialize(best, "near-text-best")
+        further = confirmed(best.select("a", "b"), sets, percent)
+        joined = connected_components(best.join(further, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = materialize(joined, "near-text-joined")
+        now = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}_now"))
+        rest = more.join(best, ["a", "b"], "left_anti").join(now("ca"), "ca", "left").join(now("cb"), "cb", "left")
+        rest = rest.where(F.coalesce("ca_now", "ca") != F.coalesce("cb_now", "cb")).select("a", "b")
+        links = links.unionByName(further).unionByName(confirmed(materialize(rest, "near-text-rest"), sets, percent))
+        part = materialize(connected_components(links), "near-text-components")
 
     named = rows.select("id", "n", "node").join(part.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
