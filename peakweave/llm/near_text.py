@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = connected_components(best.join(further, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = materialize(joined, "near-text-joined")
         now = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}_now"))
-        rest = more.join(best, ["a", "b"], "left_anti").join(now("ca"), "ca", "left").join(now("cb"), "cb", "left")
+        rest = more.join(now("ca"), "ca", "left").join(now("cb"), "cb", "left")
         rest = rest.where(F.coalesce("ca_now", "ca") != F.coalesce("cb_now", "cb")).select("a", "b")
         links = links.unionByName(further).unionByName(confirmed(materialize(rest, "near-text-rest"), sets, percent))
         part = materialize(connected_components(links), "near-text-components")
