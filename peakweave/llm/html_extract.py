@@ -57,21 +57,30 @@ def not_content(name: str, tag: str) -> bool:
 
 
 class Block:
-    """A run of text between block borders: its text, the path to it, and whether it lies in an article."""
+    """A run of text between block borders: its text, the token of the element it lies in, and whether that is in an article."""
 
-    __slots__ = ("in_main", "path", "text")
+    __slots__ = ("element", "in_main", "text")
 
-    def __init__(self, text: str, path: int, in_main: bool):
-        self.text, self.path, self.in_main = text, path, in_main
+    def __init__(self, text: str, element: int, in_main: bool):
+        self.text, self.element, self.in_main = text, element, in_main
+
+
+def kind_of(tag: str) -> str:
+    """Words of a start tag's class that no number makes a page's own, in order; other attributes vary too often to tell kinds apart."""
+    if "=" not in tag or len(tag) > 4000:
+        return ""
+    return " ".join(sorted({w for key, value in ATTRIBUTE.findall(tag) if key.lower() == "class" for w in value.strip("\"'").split() if not any(c.isdigit() for c in w)}))
 
 
 def read_page(page: str) -> Iterator[int | Block]:
-    """Tokens of a page in order: a number for the path of each block element that starts, and the blocks of text.
+    """Tokens of a page in order: numbers for each block element that starts, and the blocks of text.
 
+    An element's path is made of names only, so that attributes of `html` or `body` do not tell pages apart. An element with a
+    class is a token of its path and another of path and class.
     What lies in elements that never hold article text is left out. End tags close what is open inside; a block element
     ends an open paragraph, a list item the one before it.
     """
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, left out, in an article
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # name, path, element, left out, in an article
     buffer: list[str] = []
 
     def flush() -> Iterator[Block]:
@@ -79,11 +88,11 @@ def read_page(page: str) -> Iterator[int | Block]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                yield Block(text, stack[-1][1], stack[-1][3])
+                yield Block(text, stack[-1][2], stack[-1][4])
 
     at = 0
     for token in TOKEN.finditer(page):
-        if token.start() > at and not stack[-1][2]:
+        if token.start() > at and not stack[-1][3]:
             buffer.append(page[at : token.start()])
         at = token.end()
         tag = token.group()
@@ -108,21 +117,24 @@ def read_page(page: str) -> Iterator[int | Block]:
                     del stack[depth:]
         if name in VOID:
             continue
-        _, path, out, main = stack[-1]
-        path = xxhash.xxh32_intdigest(tag if len(tag) < 200 else name, path) if block else path
+        _, path, element, out, main = stack[-1]
         out = out or not_content(name, tag)
-        stack.append((name, path, out, main or name in MAIN))
         if block and not out:
+            path = element = xxhash.xxh32_intdigest(name, path)
             yield path
+            if kind := kind_of(tag):
+                element = xxhash.xxh32_intdigest(kind, path ^ 2)
+                yield element
+        stack.append((name, path, element, out, main or name in MAIN))
         if tag.endswith("/>") and not block:
             stack.pop()
-    if at < len(page) and not stack[-1][2]:
+    if at < len(page) and not stack[-1][3]:
         buffer.append(page[at:])
     yield from flush()
 
 
 def text_token(block: Block) -> int:
-    return xxhash.xxh32_intdigest(block.text, block.path ^ 1)
+    return xxhash.xxh32_intdigest(block.text, block.element ^ 1)
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
@@ -133,59 +145,96 @@ def main_text(page: str, template: frozenset[int]) -> str:
     return " ".join(b.text for b in blocks if text_token(b) not in template)
 
 
-def templates(pages: DataFrame, least_pages: int) -> DataFrame:
-    """(host, template): the tokens of each host's template.
+def classes_of(tokens: DataFrame, least_pages: int, least_share: float, body_share: float) -> DataFrame:
+    """(site, template) of (site, token, element, pages, one, two, size, chars), summed by site and token.
 
-    A token is a block element with its path, or a block's text with its path. Its occurrence vector, how often each page of
-    the host has it, is kept as two sums of page hashes times counts: tokens with equal sums occur alike. Classes of
-    tokens that occur equally often on all pages of a host of `least_pages` pages or more are its template; tokens of one
-    path nest, as a path holds the path it lies in. Counts are added within each batch first, and are partly added
-    again before the shuffle, so a host with a third of all pages is only ever met as sums.
+    Tokens with equal sums occur equally often on every page of the site: an equivalence class. A class is template if it has
+    two tokens or more, on at least `least_pages` pages and `least_share` of all; if it nests, that is, each of its texts is on
+    all pages that have the text's element, so that no page has another text in that place; and if its texts
+    are not nearly all that its pages say, as those of copies are.
+    """
+    tokens = tokens.where(F.col("pages") >= least_pages)
+    pages = tokens.where("token = 0").select("site", F.col("pages").alias("all_pages"))
+    often = materialize(tokens.where("token != 0").join(pages, "site").where(F.col("pages") >= least_share * F.col("all_pages")), "html-often")
+    elements = often.where("element is null").select("site", F.col("token").alias("element"), F.col("pages").alias("element_pages"))
+    texts = often.where("element is not null").join(elements, ["site", "element"], "left")
+    nests = F.coalesce(F.col("pages") == F.col("element_pages"), F.col("element") == 0) & ((F.col("element") != 0) | (F.col("pages") == F.col("all_pages")))
+    parts = texts.select("site", "pages", "one", "two", "size", "chars", F.col("token").alias("text"), nests.alias("nests")).unionByName(
+        often.where("element is null").select("site", "pages", "one", "two", "size", "chars", F.lit(None).cast("long").alias("text"), F.lit(True).alias("nests"))
+    )
+    classes = parts.groupBy("site", "pages", "one", "two").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("nests").alias("nested"), F.sum("size").alias("size"), F.max("chars").alias("chars"), F.collect_list("text").alias("texts")
+    )
+    valid = classes.where((F.col("n") > 1) & F.col("nested") & (F.size("texts") > 0) & (F.col("size") <= body_share * F.col("chars")))
+    return valid.groupBy("site").agg(F.flatten(F.collect_list("texts")).alias("template"))
+
+
+SUMS = ("pages", "one", "two", "size", "chars")
+
+
+def templates(pages: DataFrame, least_pages: int, least_share: float, body_share: float) -> DataFrame:
+    """(host, template): the texts of each host's template, as tokens.
+
+    A token is a block element with its path, or a block's text with its element. Its occurrence vector, how often each page of
+    the host has it, is kept as two sums of page hashes times counts, which are compared but never multiplied. Counts
+    are added within each batch first, and are partly added again before the shuffle, so a host with a third of all pages
+    is only ever met as sums. A site is a host; hosts of fewer than `least_pages` pages with tokens take the template of their
+    domain, the last two labels, over all its hosts. A token on `least_share` of the pages bounds a template: it has no
+    more tokens than 1 / `least_share` pages have.
     """
 
     def count(batches):
         for batch in batches:
             for part in text_slices(batch, "html"):
-                seen: dict[tuple[str, int], list[int]] = {}
+                seen: dict[tuple[str, int, int | None], list[int]] = {}
                 for host, key, page in zip(part.column("host").to_pylist(), part.column("key").to_pylist(), texts_of(part, "html").to_pylist(), strict=True):
-                    counts: dict[int, int] = {0: 1}  # 0: the page itself
+                    counts: dict[tuple[int, int | None], list[int]] = {}
+                    chars = 0
                     for token in read_page(page):
-                        token = text_token(token) if isinstance(token, Block) else token
-                        counts[token or 1] = counts.get(token or 1, 0) + 1
+                        if isinstance(token, Block):
+                            chars += len(token.text)
+                            had = counts.setdefault((text_token(token) or 1, token.element), [0, 0])
+                            had[1] += len(token.text)
+                        else:
+                            had = counts.setdefault((token or 1, None), [0, 0])
+                        had[0] += 1
+                    if counts:
+                        counts[0, None] = [1, 0]  # the page itself; one without tokens says nothing of its host
                     one, two = key & 0xFFFFFF, (key >> 24) & 0xFFFFFF
-                    for token, n in counts.items():
-                        sums = seen.setdefault((host, token), [0, 0, 0])
-                        sums[0] += 1
-                        sums[1] += n * one
-                        sums[2] += n * two
+                    for token, (n, size) in counts.items():
+                        sums = seen.setdefault((host, *token), [0, 0, 0, 0, 0])
+                        for i, more in enumerate((1, n * one, n * two, size, chars)):
+                            sums[i] += more
                 rows = [(*k, *v) for k, v in seen.items()]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns[1:])], ["host", "token", "pages", "one", "two"])
+                columns = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.string()), *(pa.array(list(c), pa.int64()) for c in columns[1:])], ["host", "token", "element", *SUMS])
 
-    counted = pages.mapInArrow(count, "host string, token long, pages long, one long, two long")
-    tokens = materialize(counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "one", "two"))), "html-tokens")
-    whole = tokens.where(f"token = 0 and pages >= {least_pages}").select("host", *(F.col(c).alias(f"all_{c}") for c in ("pages", "one", "two")))
-    # as often on every page: both sums are the same multiple of the page's own
-    alike = (F.col("pages") == F.col("all_pages")) & (F.col("one") * F.col("all_two") == F.col("two") * F.col("all_one")) & (F.col("one") % F.col("all_one") == 0)
-    found = tokens.where("token != 0").join(materialize(whole, "html-hosts"), "host").where(alike)
-    # no more tokens than one page has
-    return materialize(found.groupBy("host").agg(F.collect_list("token").alias("template")), "html-templates")
+    counted = pages.mapInArrow(count, "host string, token long, element long, " + ", ".join(f"{c} long" for c in SUMS))
+    tokens = materialize(counted.groupBy("host", "token", "element").agg(*(F.sum(c).alias(c) for c in SUMS)), "html-tokens")
+    by_host = classes_of(tokens.withColumnRenamed("host", "site"), least_pages, least_share, body_share).withColumnRenamed("site", "host")
+    domain = F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, 2), ".")
+    small = materialize(tokens.where(f"token = 0 and pages < {least_pages}").select("host", domain.alias("site")), "html-small-hosts")
+    shared = tokens.withColumn("site", domain).join(small.select("site").distinct(), "site", "left_semi")
+    shared = shared.groupBy("site", "token", "element").agg(*(F.sum(c).alias(c) for c in SUMS))
+    by_domain = small.join(classes_of(shared, least_pages, least_share, body_share), "site").select("host", "template")
+    return materialize(by_host.unionByName(by_domain), "html-templates")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_pages: int = 8) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_pages: int = 8, least_share: float = 0.01, body_share: float = 0.9) -> DataFrame:
     """(id_col, url_col, text) of every page: its article, without menus, headers, footers, sidebars, notices and the like.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one space in page
-    order. Where a page marks its article (`article`, `main`), all text there is kept but what lies in elements that are not
-    article text by name, role or class. Elsewhere the template of its host is taken out, and the slots that are left are
-    the text. Hosts of fewer than `least_pages` pages have no template: what few pages share says nothing.
+    order. What lies in elements that are not article text by name, role or class is left out first. From every page the
+    template of its host, or of its domain if the host has fewer than `least_pages` pages, is taken out; the slots that
+    are left are the text, only those in articles (`article`, `main`) where these hold at least half of it. What fewer than `least_pages`
+    pages of a domain share says nothing, and neither does what less than `least_share` of the pages share.
 
     Null html counts as empty, and pages without text give an empty string. A null url is the empty host. Null and
     repeated ids stay row by row; an empty table gives an empty result; other columns are ignored.
     """
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     keyed = rows.select("host", "html", (F.xxhash64(F.col(id_col), F.col(url_col)).bitwiseAND(F.lit((1 << 48) - 1))).alias("key"))
-    known = templates(keyed, least_pages)
+    known = templates(keyed, least_pages, least_share, body_share)
 
     def extract(batches):
         for batch in batches:

@@ -158,6 +158,32 @@ def test_template_text_goes_where_no_article_is_marked(spark):
     assert extract_text(pages(spark, []).limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
+
+
+def test_classes_of_part_of_the_pages_with_attributes_that_vary(spark):
+    rng = random.Random(5)
+    body = [words(rng.randrange(20, 40), rng) for _ in range(30)]
+    page = "<html lang=l{0}><body class='postid-{0}'><p>Top line</p><div class=note-x>{2}</div><div id=t{0}><p>{1}</p></div></body></html>"
+    rows = [(i, f"http://v.net/{i}", page.format(i, b, "Seasonal" if i % 3 else "Other")) for i, b in enumerate(body)]
+    part = "<html lang=l{0}><body class='postid-{0}'><p>Top line</p>{2}<div><p>{1}</p></div></body></html>"
+    rows += [(100 + i, f"http://w.net/{i}", part.format(i, b, "<div class=note-x>Seasonal</div>" if i % 3 else "")) for i, b in enumerate(body)]
+    rows += [(200, "http://w.net/null", None), (201, "http://w.net/empty", ""), *((300 + i, f"http://h{i}.small.org/", part.format(i, b, "")) for i, b in enumerate(body))]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"{'Seasonal' if i % 3 else 'Other'} {b}" for i, b in enumerate(body))  # a slot with two values is no template
+    assert all(got[100 + i] == b and got[300 + i] == b for i, b in enumerate(body)) and got[200] == got[201] == ""
+
+
+def test_copies_are_not_template(spark):
+    rng = random.Random(6)
+    copied, near, title = words(80, rng), words(40, rng), words(5, rng)
+    rows = [(i, f"http://c.net/{i}", f"<article><h1>T</h1><p>{copied}</p></article>") for i in range(12)]
+    rows += [(100 + i, f"http://n.net/{i}", f"<article><h1>{title if i < 15 else i}</h1><p>{near if i < 15 else words(20, rng)}</p><p>own {i}</p></article>") for i in range(30)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"T {copied}" for i in range(12)) and all(got[100 + i] == f"{title} {near} own {i}" for i in range(15))
+
+
 # pipeline and registration
 
 
