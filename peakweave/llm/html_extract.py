@@ -138,11 +138,16 @@ def text_token(block: Block) -> int:
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
-    """Blocks of the page's articles; of a page without any, all blocks that are not part of its host's template."""
-    blocks = [b for b in read_page(page) if isinstance(b, Block)]
-    if any(b.in_main for b in blocks):
-        return " ".join(b.text for b in blocks if b.in_main)
-    return " ".join(b.text for b in blocks if text_token(b) not in template)
+    """The slots of a page: its blocks that are not part of the template.
+
+    Where slots lie in articles and hold as much text as those outside, the mark is confirmed and only they are the text. Articles
+    that hold less, as cards that announce other pages, are no reason to leave the rest out: then all slots are the text.
+    """
+    slots = [b for b in read_page(page) if isinstance(b, Block) and text_token(b) not in template]
+    marked = sum(len(b.text) for b in slots if b.in_main)
+    if marked and 2 * marked >= sum(len(b.text) for b in slots):
+        slots = [b for b in slots if b.in_main]
+    return " ".join(b.text for b in slots)
 
 
 def classes_of(tokens: DataFrame, least_pages: int, least_share: float, body_share: float) -> DataFrame:

@@ -162,6 +162,15 @@ def extracted(spark, rows):
     return {r.page_id: r.text for r in extract_text(pages(spark, rows)).collect()}
 
 
+def test_template_inside_articles_goes_and_teaser_cards_do_not_replace_the_text(spark):
+    rng = random.Random(4)
+    body = [words(rng.randrange(60, 90), rng) for _ in range(20)]
+    rows = [(i, f"http://a.net/{i}", f"<article><p>{b}</p>{'<div class=cta-box><p>Get our paper</p><p>Now</p></div>' if i % 2 else ''}<p>end{i}</p></article>") for i, b in enumerate(body)]
+    rows += [(100 + i, f"http://cards.net/{i}", f"<article>Card {i}</article><div><p>{b}</p></div><article>Card b{i}</article>") for i, b in enumerate(body)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"{b} end{i}" and got[100 + i] == f"Card {i} {b} Card b{i}" for i, b in enumerate(body))
+
+
 def test_classes_of_part_of_the_pages_with_attributes_that_vary(spark):
     rng = random.Random(5)
     body = [words(rng.randrange(20, 40), rng) for _ in range(30)]
