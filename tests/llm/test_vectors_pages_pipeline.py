@@ -193,6 +193,11 @@ def test_copies_are_not_template(spark):
     assert all(got[i] == f"T {copied}" for i in range(12)) and all(got[100 + i] == f"{title} {near} own {i}" for i in range(15))
 
 
+def test_a_host_of_thousands_of_uniform_pages(spark):
+    rows = [(i, f"http://hot.net/{i}", f"<html><body><p>Same line</p><div>number {i} of the pages</div><p>Bye</p></body></html>") for i in range(3000)]
+    assert extracted(spark, rows) == {i: f"number {i} of the pages" for i in range(3000)}
+
+
 # pipeline and registration
 
 
