@@ -43,8 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced; n_chars follows the new text."""
-    clean = redact_secrets(docs)
+    """Every document, with its secrets replaced but for values that ownership takes for copied examples; n_chars follows the new text."""
+    clean = redact_secrets(docs, keep_examples=True)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 

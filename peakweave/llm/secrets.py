@@ -1,4 +1,4 @@
-"""Secrets in text: fixed patterns, and further candidates judged by how many owners in the corpus have them."""
+"""Secrets in text: fixed patterns, and further candidates; both judged by how many owners in the corpus have them."""
 
 from __future__ import annotations
 
@@ -13,8 +13,12 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ["assign", "access", "hex", "live"]
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: Runs that look like a generated secret: at least 20 characters of a key alphabet with a digit and letters of both cases.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
+#: Whole runs of a key alphabet that look like a generated secret: at least 16 characters with a digit and letters of both cases,
+#: or of one case with two digits and nothing but letters and digits.
+KEY = "A-Za-z0-9+/_-"
+MIXED = r"(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[%s]{16,}" % KEY
+ONE_CASE = r"(?=[%s]*[0-9][%s]*[0-9])(?=[0-9]*[%s])[%s0-9]{16,}"
+CANDIDATE = rf"(?<![{KEY}])(?:{MIXED}|{ONE_CASE % (('a-z',) * 4)}|{ONE_CASE % (('A-Z',) * 4)})(?![{KEY}])"
 
 
 def placed(text: Column, pattern: str, holds: Column) -> Column:
@@ -48,16 +52,17 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-SPANS = "array<struct<start:int,end:int,value:string>>"
-
-
 def tagged(spans: Column, rank: int) -> Column:
-    fields = lambda s: F.struct(F.lit(KINDS[rank]).alias("kind"), F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    """With their kind, and the hash of the secret itself, which owners are counted by."""
+    secret = lambda s: F.regexp_extract(s["value"], ASSIGN, 1) if KINDS[rank] == "assign" else s["value"]
+    fields = lambda s: F.struct(
+        F.lit(KINDS[rank]).alias("kind"), F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.xxhash64(secret(s)).alias("key")
+    )
     return F.transform(spans, fields)
 
 
 def base_spans(text: Column) -> Column:
-    """(kind, rank, start, end, value) of all matches of the fixed patterns, kind by kind."""
+    """(kind, rank, start, end, value, key) of all matches of the fixed patterns, kind by kind."""
     word = text.rlike("(?i)pass(?:word|wd)|secret|token|api_?key")
     # a value too short drops its match, which has used up its text all the same
     assign = F.filter(placed(text, ASSIGN, word), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= LEAST["assign"])
@@ -66,8 +71,11 @@ def base_spans(text: Column) -> Column:
     return F.concat(tagged(assign, 0), tagged(access, 1), tagged(placed(text, runs, text.rlike(runs)), 2))
 
 
-def candidate_spans(text: Column) -> Column:
-    return placed(text, CANDIDATE, text.rlike(CANDIDATE))
+def candidate_spans(text: Column, base: Column) -> Column:
+    """Candidates that no base span touches, as kind `live`."""
+    found = placed(text, CANDIDATE, text.rlike(CANDIDATE))
+    free = F.filter(found, lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    return tagged(free, 3)
 
 
 def mark(id_col: str, text: Column) -> Column:
@@ -75,42 +83,52 @@ def mark(id_col: str, text: Column) -> Column:
     return F.xxhash64(F.col(id_col), text)
 
 
-def owner_specific(candidates: DataFrame, most_owners: int) -> DataFrame:
-    """(mark, live) with the candidates, of rows (mark, owner, repo, candidates), that at most `most_owners` owners hold.
+def owner_specific(rows: DataFrame, most_owners: int) -> DataFrame:
+    """(mark, live): the keys that look live, of rows (mark, owner, repo, keys).
 
-    Values travel as (hash, owner, repository), made distinct before the shuffle and counted from partial counts, so
-    a value that a third of all rows hold meets nowhere as rows; rows then meet their hash's verdict in a join.
+    A value of at most `most_owners` owners is live. Values travel as hashes,
+    are made distinct before the shuffle and counted from partial counts, so a value that a third of all rows hold
+    meets nowhere as rows; rows then meet their hash's verdict in a join.
     """
-    each = candidates.select("mark", "owner", "repo", F.explode("candidates").alias("c")).withColumn("hash", F.xxhash64("c.value"))
+    each = rows.select("mark", "owner", "repo", F.explode(F.array_distinct("keys")).alias("hash"))
     each = materialize(each, "secrets-candidates")
-    who = each.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
-    owners = who.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    who = each.select("hash", F.coalesce("owner", F.lit("")).alias("owner")).distinct()
+    owners = who.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
     live = materialize(owners.where(F.col("owners") <= most_owners).select("hash"), "secrets-live")
-    return each.join(live, "hash", "left_semi").groupBy("mark").agg(F.collect_set("c").alias("live"))
+    return each.join(live, "hash", "left_semi").groupBy("mark").agg(F.collect_set("hash").alias("live"))
+
+
+def judged(spans: Column, live: Column) -> Column:
+    """Spans with `live`: whether ownership says that their secret is one."""
+    known = F.coalesce(live, F.array().cast("array<bigint>"))
+    return F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "rank", "start", "end", "value")), F.array_contains(known, s["key"]).alias("live")))
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", *, most_owners: int = 1,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang",
+    *, most_owners: int = 1,
 ) -> DataFrame:
     """(id_col, base, more): the spans of each text by the fixed patterns, and those that ownership adds.
 
-    base and more are arrays of (kind, rank, start, end, value), in code points, end exclusive; spans of different kinds may
-    overlap. Further candidates are long mixed runs (CANDIDATE). Their hashes are counted over the corpus by distinct
-    owners and repositories: a candidate of at most `most_owners` owners looks live and is added as kind `live`;
-    one that more owners hold is a copied example, and is left.
+    base and more are arrays of (kind, rank, start, end, value, live), in code points, end exclusive; spans of different kinds
+    may overlap. Further candidates are long runs that look generated (CANDIDATE) and that no base span touches. Secrets of base spans
+    and candidates are counted over the corpus by distinct owners (`owner_specific`): base has all
+    matches and tells which are live, more has the live candidates as kind `live`; the others are copied examples.
 
-    Null text counts as empty and has no spans. A null owner or repository counts as the empty name. Null and repeated ids
-    and repeated rows stay row by row; an empty table gives an empty result; other columns are ignored.
+    Null text counts as empty and has no spans. A null owner or repository counts as the empty name.
+    Null and repeated ids and repeated rows stay row by row; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), mark(id_col, text).alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"),
-        base_spans(text).alias("base"), candidate_spans(text).alias("candidates"),
+        F.xxhash64(text).alias("copy"), base_spans(text).alias("base"), text.alias("text"),
     )
+    rows = rows.withColumn("candidates", candidate_spans(F.col("text"), F.col("base"))).drop("text")
     rows = materialize(rows, "secrets-rows")
-    live = materialize(owner_specific(rows.where(F.size("candidates") > 0), most_owners), "secrets-owned")
-    more = tagged(F.coalesce("live", F.array().cast(SPANS)), 3)
-    return rows.join(live, "mark", "left").select(F.col("id").alias(id_col), "base", more.alias("more"))
+    asking = rows.withColumn("keys", F.concat("base.key", "candidates.key")).where(F.size("keys") > 0)
+    live = materialize(owner_specific(asking, most_owners), "secrets-owned")
+    more = F.filter(judged(F.col("candidates"), F.col("live")), lambda s: s["live"])
+    return rows.join(live, "mark", "left").select(F.col("id").alias(id_col), judged(F.col("base"), F.col("live")).alias("base"), more.alias("more"))
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -122,30 +140,34 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def redact_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", *, most_owners: int = 1, tag: str = "[secret]",
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang",
+    *, most_owners: int = 1, keep_examples: bool = False, tag: str = "[secret]",
 ) -> DataFrame:
     """docs with each span of `find_secrets` in its text replaced by `tag`; all rows and columns stay, null text stays null.
 
-    Only rows with a candidate meet the ownership table; the others are rewritten where they are read.
+    With `keep_examples`, base spans that are not live stay as they are. Only rows with a base span or a candidate meet the
+    ownership table; the others are passed on where they are read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = candidate_spans(text)
-    own, asks, owned = (unused(docs, name) for name in ("mark", "asks", "live"))
-    rows = docs.withColumns({own: mark(id_col, text), asks: text.rlike(CANDIDATE)})
+    own, asks, owned, based, further = (unused(docs, name) for name in ("mark", "asks", "live", "base_spans", "candidate_spans"))
+    rows = docs.withColumns({own: mark(id_col, text), based: base_spans(text)}).withColumn(further, candidate_spans(text, F.col(based)))
+    rows = rows.withColumn(asks, F.size(based) + F.size(further) > 0)
     asking = rows.where(F.col(asks)).select(
-        F.col(own).alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), found.alias("candidates")
+        F.col(own).alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.xxhash64(text).alias("copy"),
+        F.concat(F.col(based)["key"], F.col(further)["key"]).alias("keys"),
     )
     live = materialize(owner_specific(asking, most_owners), "secrets-owned").select(F.col("mark").alias(own), F.col("live").alias(owned))
-    with_live = rows.where(F.col(asks)).join(live, own, "left").select(*docs.columns, F.coalesce(owned, F.array().cast(SPANS)).alias(owned))
-    without = rows.where(~F.col(asks)).select(*docs.columns, F.array().cast(SPANS).alias(owned))
+    with_live = rows.where(F.col(asks)).join(live, own, "left")
 
     def cut(state: Column, span: Column) -> Column:
         before = F.substring(text, state["at"] + 1, span["start"] - state["at"])
         fresh = F.struct(span["end"].alias("at"), F.concat(state["out"], before, F.lit(tag)).alias("out"))
         return F.when(span["start"] >= state["at"], fresh).otherwise(F.struct(F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out")))
 
-    spans = F.concat(base_spans(text), tagged(F.col(owned), 3))
+    base = judged(F.col(based), F.col(owned))
+    base = F.filter(base, lambda s: s["live"]) if keep_examples else base
+    spans = F.concat(base, F.filter(judged(F.col(further), F.col(owned)), lambda s: s["live"]))
     order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     clean = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
     rewritten = F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(clean)
-    return with_live.unionByName(without).withColumn(text_col, rewritten).select(*docs.columns)
+    return with_live.withColumn(text_col, rewritten).select(*docs.columns).unionByName(rows.where(~F.col(asks)).select(*docs.columns))

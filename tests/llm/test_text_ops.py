@@ -393,6 +393,21 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert not any(base_brute(t) for t in got.values())
 
 
+def owned(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string").repartition(3)
+
+
+def test_ownership_judges_base_spans_and_keys_of_one_case(spark):
+    example, live, upper, lower = "abcdef0123456789abcd", "0123456789abcdef0000", "QWERTYUIOP12ASDFGH", "zxcvbnmasdf12ghjkl"
+    df = owned(spark, [(f"{i} token={example} {example}", f"s{i}", "en") for i in range(3)] + [(f"secret: {live}", "s0", "en"), (f"{upper} and {lower}", "s1", "de"), (f"{lower} here", "s2", "de")])
+    got = {r.doc_id: r for r in find_secrets(df).collect()}
+    assert [s.live for s in got[0].base] == [False] * 3 and len(got[0].base) == 3 and all(s.live for s in got[3].base)
+    assert [s.value for s in got[4].more] == [upper] and got[5].more == []
+    assert {r.doc_id: r.text for r in redact_secrets(df, keep_examples=True).collect()} == {
+        **{i: f"{i} token={example} {example}" for i in range(3)}, 3: "[secret]", 4: f"[secret] and {lower}", 5: f"{lower} here"}
+    assert redact_secrets(df).where("doc_id = 0").first().text == "0 [secret] [secret]"
+
+
 # all
 
 
