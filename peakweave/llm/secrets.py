@@ -83,18 +83,25 @@ def mark(id_col: str, text: Column) -> Column:
     return F.xxhash64(F.col(id_col), text)
 
 
-def owner_specific(rows: DataFrame, most_owners: int) -> DataFrame:
-    """(mark, live): the keys that look live, of rows (mark, owner, repo, keys).
+def owner_specific(rows: DataFrame, most_owners: int, most_repos: int, most_texts: int) -> DataFrame:
+    """(mark, live): the keys that look live, of rows (mark, owner, repo, copy, keys).
 
-    A value of at most `most_owners` owners is live. Values travel as hashes,
+    A value counts once for each distinct text (`copy`) that holds it, with one of the text's owners, so copies of a text
+    are no spread. It is an example if its texts have more than `most_owners` owners, or if it is in more than `most_texts`
+    texts that have more than `most_repos` repositories or are of unknown owners. Else it is live. Values travel as hashes,
     are made distinct before the shuffle and counted from partial counts, so a value that a third of all rows hold
     meets nowhere as rows; rows then meet their hash's verdict in a join.
     """
-    each = rows.select("mark", "owner", "repo", F.explode(F.array_distinct("keys")).alias("hash"))
+    each = rows.select("mark", "owner", "repo", "copy", F.explode(F.array_distinct("keys")).alias("hash"))
     each = materialize(each, "secrets-candidates")
-    who = each.select("hash", F.coalesce("owner", F.lit("")).alias("owner")).distinct()
-    owners = who.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    live = materialize(owners.where(F.col("owners") <= most_owners).select("hash"), "secrets-live")
+    first = F.min(F.struct(F.col("owner").isNull().alias("unknown"), "owner", F.coalesce("repo", F.lit("")).alias("repo"))).alias("who")
+    who = each.groupBy("hash", "copy").agg(first).groupBy("hash", "who.owner", "who.repo").agg(F.count(F.lit(1)).alias("texts"))
+    spread = who.groupBy("hash").agg(
+        F.countDistinct("owner").alias("owners"), F.countDistinct(F.struct(F.coalesce("owner", F.lit("")), "repo")).alias("repos"),
+        F.sum("texts").alias("texts"), F.sum(F.when(F.col("owner").isNull(), F.col("texts")).otherwise(0)).alias("unknown"),
+    )
+    example = (F.col("owners") > most_owners) | ((F.col("texts") > most_texts) & ((F.col("repos") > most_repos) | (F.col("unknown") > most_texts)))
+    live = materialize(spread.where(~example).select("hash"), "secrets-live")
     return each.join(live, "hash", "left_semi").groupBy("mark").agg(F.collect_set("hash").alias("live"))
 
 
@@ -106,16 +113,16 @@ def judged(spans: Column, live: Column) -> Column:
 
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang",
-    *, most_owners: int = 1,
+    *, most_owners: int = 1, most_repos: int = 1, most_texts: int = 8,
 ) -> DataFrame:
     """(id_col, base, more): the spans of each text by the fixed patterns, and those that ownership adds.
 
     base and more are arrays of (kind, rank, start, end, value, live), in code points, end exclusive; spans of different kinds
     may overlap. Further candidates are long runs that look generated (CANDIDATE) and that no base span touches. Secrets of base spans
-    and candidates are counted over the corpus by distinct owners (`owner_specific`): base has all
+    and candidates are counted over the corpus by distinct texts, owners and repositories (`owner_specific`): base has all
     matches and tells which are live, more has the live candidates as kind `live`; the others are copied examples.
 
-    Null text counts as empty and has no spans. A null owner or repository counts as the empty name.
+    Null text counts as empty and has no spans. A null owner is unknown and is no further owner; a null repository counts as the empty name.
     Null and repeated ids and repeated rows stay row by row; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -126,7 +133,7 @@ def find_secrets(
     rows = rows.withColumn("candidates", candidate_spans(F.col("text"), F.col("base"))).drop("text")
     rows = materialize(rows, "secrets-rows")
     asking = rows.withColumn("keys", F.concat("base.key", "candidates.key")).where(F.size("keys") > 0)
-    live = materialize(owner_specific(asking, most_owners), "secrets-owned")
+    live = materialize(owner_specific(asking, most_owners, most_repos, most_texts), "secrets-owned")
     more = F.filter(judged(F.col("candidates"), F.col("live")), lambda s: s["live"])
     return rows.join(live, "mark", "left").select(F.col("id").alias(id_col), judged(F.col("base"), F.col("live")).alias("base"), more.alias("more"))
 
@@ -141,7 +148,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 def redact_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang",
-    *, most_owners: int = 1, keep_examples: bool = False, tag: str = "[secret]",
+    *, most_owners: int = 1, most_repos: int = 1, most_texts: int = 8, keep_examples: bool = False, tag: str = "[secret]",
 ) -> DataFrame:
     """docs with each span of `find_secrets` in its text replaced by `tag`; all rows and columns stay, null text stays null.
 
@@ -156,7 +163,7 @@ def redact_secrets(
         F.col(own).alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.xxhash64(text).alias("copy"),
         F.concat(F.col(based)["key"], F.col(further)["key"]).alias("keys"),
     )
-    live = materialize(owner_specific(asking, most_owners), "secrets-owned").select(F.col("mark").alias(own), F.col("live").alias(owned))
+    live = materialize(owner_specific(asking, most_owners, most_repos, most_texts), "secrets-owned").select(F.col("mark").alias(own), F.col("live").alias(owned))
     with_live = rows.where(F.col(asks)).join(live, own, "left")
 
     def cut(state: Column, span: Column) -> Column:

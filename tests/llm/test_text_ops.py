@@ -408,6 +408,14 @@ def test_ownership_judges_base_spans_and_keys_of_one_case(spark):
     assert redact_secrets(df).where("doc_id = 0").first().text == "0 [secret] [secret]"
 
 
+def test_ownership_with_a_hot_source_copies_and_unknown_owners(spark):
+    hot, mine, copied, unknown = "H0tH0tH0tH0tH0tH0tH0t", "M1neM1neM1neM1neM1ne", "C0pyC0pyC0pyC0pyC0py", "Unkn0wnUnkn0wnUnkn0wn"
+    rows = [(f"{i} {hot}", "big", ("en", "de", "fr")[i % 3]) for i in range(300)] + [(f"{i} {mine}", "big", ("en", "de")[i % 2]) for i in range(4)]
+    rows += [(f"a text with {copied}", f"s{i}", "en") for i in range(20)] + [(f"{i} {unknown}", None, "en") for i in range(20)]
+    got = {s.value for r in find_secrets(owned(spark, rows)).collect() for s in r.more}
+    assert got == {mine, copied}
+
+
 # all
 
 
