@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.models import Fitted, importances, scores, slice_features
-from peakweave.operators.ordering import seeded_positions
+from peakweave.operators.ordering import hash_bucket, row_positions, seeded_positions
 from peakweave.operators.splits import DEFAULT_FOLDS, stratified_folds
 from peakweave.session import cut_lineage
 
@@ -51,19 +51,34 @@ def shuffle_feature(rows: DataFrame, idx: int, seed: int, key: str = "file", fea
     )
 
 
+def shuffle_features(rows: DataFrame, candidates: Sequence[int], repeats: int, seed: int, key: str = "file", features: str = "features") -> DataFrame:
+    """`shuffle_feature` for every candidate and repeat in one job: the key becomes a struct of (_idx, _repeat, key)."""
+    plan = F.explode(F.array(*[F.struct(F.lit(int(i)).alias("_idx"), F.lit(r).alias("_repeat"), F.lit(int(seed + 31 * r + i)).alias("_seed")) for i in candidates for r in range(repeats)]))
+    each = rows.select(key, plan.alias("_p")).select(key, "_p.*")
+    group = ["_idx", "_repeat"]
+
+    def placed(df: DataFrame, seeded, out: str) -> DataFrame:
+        hashed = df.withColumn("_hash", F.xxhash64(F.col(key), seeded))
+        return row_positions(hashed, group, ["_hash", key], hash_bucket(F.col("_hash")), out).drop("_hash", "_seed")
+
+    values = rows.select(key, vector_to_array(features).alias("_values"))
+    donors = placed(each, F.col("_seed") + 7919, "_at").join(values, key).select(*group, "_at", F.get("_values", F.col("_idx")).alias("_value"))
+    target = placed(each, F.col("_seed"), "_at").join(donors, [*group, "_at"]).join(rows, key)
+    swapped = F.transform(vector_to_array(features), lambda v, i: F.when(i == F.col("_idx"), F.col("_value")).otherwise(v))
+    named = F.struct("_idx", "_repeat", F.col(key).alias("key"))
+    return target.withColumn(features, array_to_vector(swapped)).withColumn(key, named).select(*rows.columns)
+
+
 def permutation_importance(fitted: Fitted, rows: DataFrame, candidates: Sequence[int], repeats: int = 10, seed: int = 282,
                            key: str = "file", per_class: bool = False) -> DataFrame:
     """Drop in accuracy when a feature is shuffled, over all rows or for each actual class."""
     cached = cut_lineage(rows)
     hit = F.avg((F.col("actual") == F.col("predicted")).cast("double"))
-    group = [F.col("actual").alias("class")] if per_class else [F.lit("all").alias("class")]
-    base = fitted.score(cached).groupBy(*group).agg(hit.alias("_base"))
-    parts = None
-    for idx in candidates:
-        for r in range(repeats):
-            shuffled = fitted.score(shuffle_feature(cached, idx, seed + 31 * r + idx, key))
-            one = shuffled.groupBy(*group).agg(hit.alias("_acc")).withColumn("idx", F.lit(int(idx)))
-            parts = one if parts is None else parts.unionByName(one)
+    base = fitted.score(cached)
+    base = base.groupBy((F.col("actual") if per_class else F.lit("all")).alias("class")).agg(hit.alias("_base"))
+    scored = fitted.score(shuffle_features(cached, candidates, repeats, seed, key))
+    classed = F.col("actual") if per_class else F.lit("all")
+    parts = scored.groupBy(classed.alias("class"), F.col("sample._idx").alias("idx"), F.col("sample._repeat").alias("repeat")).agg(hit.alias("_acc"))
     return (
         parts.join(base, "class")
         .groupBy("class", "idx")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators import metrics, models, reshape, selection, splits
@@ -227,26 +228,32 @@ def _linear_importance(spark, sf):
 @query("refit_top")
 def _refit(spark, sf):
     train, test = _train_test(spark, sf)
-    return selection.refit_top(train, test, "label", _small_forest(train, "label"), _small_forest, (50, 10))
+    return selection.refit_top(train, test, "label", _small_forest(train, "label"), _small_forest)
 
 
 @query("permutation_importance")
 def _permutation(spark, sf):
     train, test = _train_test(spark, sf)
-    return selection.permutation_importance(_small_forest(train, "label"), test, [0, 1], repeats=2)
+    return selection.permutation_importance(_small_forest(train, "label"), test, range(64), repeats=10)
 
 
 @query("partial_dependence")
 def _dependence(spark, sf):
     train, test = _train_test(spark, sf)
-    return selection.partial_dependence(_small_forest(train, "label"), test, 0, selection.feature_grid(train, 0, 5))
+    forest = _small_forest(train, "label")
+    each = [selection.partial_dependence(forest, test, i, selection.feature_grid(train, i)).withColumn("idx", F.lit(i)) for i in selection.ranked_features(forest)[:10]]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _searched(spark, got):
+    return spark.createDataFrame([(got["features"], got["accuracy"], got["converged"])], "features array<int>, accuracy double, converged boolean")
 
 
 @query("forward_addition")
 def _forward(spark, sf):
     train, test = _train_test(spark, sf)
-    got = selection.forward_addition(train, test, "label", [0, 1], list(range(2, 64)), _small_forest, "folds", max_rounds=1, folds=2)
-    return spark.createDataFrame([(got["features"], got["accuracy"])], "features array<int>, accuracy double")
+    got = selection.forward_addition(train, test, "label", [0, 1], list(range(2, 64)), _small_forest, "folds")
+    return _searched(spark, got)
 
 
 @query("recursive_elimination")
@@ -258,8 +265,8 @@ def _rfe(spark, sf):
 @query("backward_elimination")
 def _backward(spark, sf):
     train, test = _train_test(spark, sf)
-    got = selection.backward_elimination(train, test, "label", list(range(64)), _small_forest, "folds", max_removals=1, folds=2)
-    return spark.createDataFrame([(got["features"], got["accuracy"])], "features array<int>, accuracy double")
+    got = selection.backward_elimination(train, test, "label", list(range(64)), _small_forest, "folds")
+    return _searched(spark, got)
 
 
 @query("rf_stability")
