@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from peakweave.llm.byte_bpe import round_trip_digests
 from peakweave.llm.exact import digests, exact_duplicates
 from peakweave.llm.html_extract import extract_text
+from peakweave.llm.mixing import mix_sources
 from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.near_vectors import near_vectors
 from peakweave.llm.packing import pack_documents
+from peakweave.llm.periodic import periodic_runs
 from peakweave.llm.quality import fit_quality, held_out, score_quality
+from peakweave.llm.repair import repair_conversations
 from peakweave.llm.secrets import find_secrets, joined
 from peakweave.llm.token_counts import token_counts
 from peakweave.llm.url_filter import judged_urls
@@ -170,3 +173,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extract")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(table(spark, folder, "conversations"), damage=True)
+
+
+@query("op12_source_mix")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs(table(spark, folder, "documents"), plant=True).drop("n_words")
