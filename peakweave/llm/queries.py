@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakweave.llm import check_sql
 from peakweave.llm.byte_bpe import round_trip_digests
 from peakweave.llm.exact import digests, exact_duplicates
 from peakweave.llm.html_extract import extract_text
@@ -175,7 +176,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", check_sql.CONVERSATIONS)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return repair_conversations(table(spark, folder, "conversations"), damage=True)
 
@@ -185,6 +186,6 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
-@query("op13_periodic_runs")
+@query("op13_periodic_runs", check_sql.PERIODIC)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs(table(spark, folder, "documents"), plant=True).drop("n_words")
