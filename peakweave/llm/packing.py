@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakweave.llm.frames import field, run_sums, text_slices, texts_of
+from peakweave.llm.frames import field, ragged_take, run_sums, text_slices, texts_of
 from peakweave.llm.word_bpe import word_codec
 from peakweave.session import materialize
 
@@ -53,14 +53,24 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_positions(ids: np.ndarray, sizes: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """Hilbert key of each document's mean direction; documents without tokens sit in the middle."""
+def curve_positions(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, counts: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Hilbert key of each document's mean direction; documents without tokens sit in the middle.
+
+    Directions are added up once per distinct piece (ids end to end, `sizes` each), then over the pieces of each document.
+    """
     hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-    mean = np.stack([run_sums(directions[hashed, d], sizes) for d in range(DIMS)], 1) / np.maximum(sizes, 1)[:, None]
+    total = np.stack([run_sums(run_sums(directions[hashed, d], sizes)[codes], counts) for d in range(DIMS)], 1)
+    mean = total / np.maximum(run_sums(sizes[codes], counts), 1)[:, None]
     cells = np.clip((np.tanh(mean * 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert_key(cells)
 
 
+def binary_runs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of numbers as binary values, cut by offsets without a copy."""
+    offsets = np.concatenate(([0], np.cumsum(sizes) * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """(id, place, n, ids): place orders the documents along the curve, then by a hash of id and text."""
 
@@ -68,16 +78,14 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
         codec, directions = word_codec(path), projection()
         for batch in batches:
             for part in text_slices(batch, text_col, SLICE_BYTES):
-                ids, sizes = codec.encode(texts_of(part, text_col))
-                key = curve_positions(ids, sizes, directions)
+                ids, per_piece, codes, counts = codec.coded(texts_of(part, text_col))
+                key = curve_positions(ids, per_piece, codes, counts, directions)
                 tie = part.column("tie").to_numpy(zero_copy_only=False) & ((1 << TIE_BITS) - 1)
-                packed, ends = ids.astype("<u2" if codec.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"), np.cumsum(sizes)
-                stop = np.array([end_id], packed.dtype).tobytes()
-                data = [packed[a:b].tobytes() + stop for a, b in zip(ends - sizes, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array((key << TIE_BITS) | tie, pa.int64()), pa.array(sizes + 1, pa.int64()), pa.array(data, pa.binary())],
-                    ["id", "place", "n", "ids"],
-                )
+                sizes = run_sums(per_piece[codes], counts)
+                kind = "<u2" if codec.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+                packed = np.insert(ragged_take(ids.astype(kind), per_piece, codes), np.cumsum(sizes), end_id)
+                data = binary_runs(packed, sizes + 1)
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array((key << TIE_BITS) | tie, pa.int64()), pa.array(sizes + 1, pa.int64()), data], ["id", "place", "n", "ids"])
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"))
