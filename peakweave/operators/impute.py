@@ -1,8 +1,8 @@
 """Filling missing cells of the files-by-features matrix.
 
 Imputers that use one number per feature are written as a small table of fill values. `fill_missing` then
-lays out the missing cells: for each technique its files against its features, because only those
-can be missing rather than structurally zero.
+makes the missing cells: for each technique its files against its features, because only those
+can be missing rather than structurally zero. `implicit` keeps them implied where only figures of the filled matrix are asked for.
 """
 
 from __future__ import annotations
@@ -13,31 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.blanks import BLANK
-from peakweave.operators.ordering import exact_quantiles, seeded_positions
-
-_T = "_technique"
-
-
-def _with_technique(df: DataFrame, technique: str | None) -> DataFrame:
-    return df.withColumn(_T, F.lit("") if technique is None else F.col(technique))
-
-
-def full_grid(
-    df: DataFrame, file: str = "file", feature: str = "feature", technique: str | None = None
-) -> DataFrame:
-    """All (file, feature) cells within each technique.
-
-    Features get a number per technique; every file then lists the numbers and looks the names up, so no
-    key of the lookup is hotter than the number of files.
-    """
-    marked = _with_technique(df, technique)
-    names = marked.select(_T, feature).distinct()
-    numbered = seeded_positions(names, [_T], [feature], 0, "_nr")
-    widths = names.groupBy(_T).agg(F.count(F.lit(1)).alias("_width"))
-    files = marked.select(_T, file).distinct()
-    listed = files.join(widths, _T).select(_T, file, F.explode(F.sequence(F.lit(1), F.col("_width"))).alias("_nr"))
-    grid = listed.join(numbered, [_T, "_nr"]).select(file, feature, _T)
-    return grid.drop(_T) if technique is None else grid.withColumnRenamed(_T, technique)
+from peakweave.operators.implicit import missing_cells
+from peakweave.operators.ordering import exact_quantiles
 
 
 def fill_missing(
@@ -49,17 +26,15 @@ def fill_missing(
     value: str = "value",
     technique: str | None = None,
 ) -> DataFrame:
-    """Dense long table: measured cells as they are, missing ones from `fills(feature, fill)` or the default."""
-    grid = full_grid(df, file, feature, technique)
-    cells = df.select(file, feature, value)
-    out = grid.join(cells, [file, feature], "left").withColumn("imputed", F.col(value).isNull())
-    if fills is not None:
-        out = out.join(fills, feature, "left")
-        replacement = F.col("fill") if default is None else F.coalesce(F.col("fill"), _lit(default))
-    else:
-        replacement = _lit(default)
-    out = out.withColumn(value, F.coalesce(F.col(value), replacement))
-    return out.drop("fill")
+    """Dense long table: measured cells as they are, missing ones from `fills(feature, fill)` or the default.
+
+    Measured cells pass through; only the others are made (`implicit.missing_cells`), so no grid is joined or shuffled.
+    """
+    marks = [] if technique is None else [technique]
+    there = df.filter(F.col(value).isNotNull()).select(file, feature, *marks, value, F.lit(False).alias("imputed"))
+    absent = missing_cells(df, fills, file, feature, value, technique)
+    fill = F.coalesce(F.col("fill"), _lit(default)).cast(df.schema[value].dataType)
+    return there.unionByName(absent.select(file, feature, *marks, fill.alias(value), F.lit(True).alias("imputed")))
 
 
 def _lit(x: Column | float | None) -> Column:
@@ -70,6 +45,10 @@ def impute_none(df: DataFrame, **_: str) -> DataFrame:
     return df
 
 
+def zero_fills(df: DataFrame, feature: str = "feature") -> DataFrame:
+    return df.select(feature, F.lit(0.0).alias("fill")).distinct()
+
+
 def impute_zero(df: DataFrame, **cols: str) -> DataFrame:
     return fill_missing(df, None, 0.0, **cols)
 

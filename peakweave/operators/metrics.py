@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.ordering import attach_group_stats
-from peakweave.operators.tests import class_names, pair_distribution
+from peakweave.operators.tests import pair_distribution
 from peakweave.functions.names import strip_replicate_suffix
 
 
@@ -54,24 +54,29 @@ def balanced_accuracy(pred: DataFrame, actual: str = "actual", predicted: str =
     return recall.agg(F.avg("_r").alias("balanced_accuracy"))
 
 
-def multiclass_auc(probs: DataFrame, classes: Sequence | None = None, actual: str = "actual", cls: str = "class",
-                   prob: str = "prob") -> DataFrame:
-    """Hand and Till's average over class pairs of the two areas under the curve."""
-    classes = class_names(probs, actual) if classes is None else classes
+def pair_areas(probs: DataFrame, classes: Sequence | None = None, actual: str = "actual", cls: str = "class",
+               prob: str = "prob", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, label_a, label_b, auc) of every two classes: the mean of the areas by the one's and by the other's probability."""
     named = probs.withColumn("_score_of", F.col(cls).cast("string"))
-    scored = F.col("_score_of")
-    pairs = pair_distribution(
-        named, actual, classes, ["_score_of"], prob,
-        lambda p: (scored == p["label_a"].cast("string")) | (scored == p["label_b"].cast("string")),
-    )
+    pairs = pair_distribution(named, actual, classes, [*keys, "_score_of"], prob, own="_score_of")
     area = F.col("w") / (F.col("n_a") * F.col("n_b"))
     # w counts pairs won by the first class of the pair, scored by that class or by the other
-    side = F.when(F.col("_score_of") == F.col("label_a").cast("string"), area).when(
-        F.col("_score_of") == F.col("label_b").cast("string"), 1 - area
-    )
-    return pairs.withColumn("_auc", side).filter(F.col("_auc").isNotNull()).groupBy("label_a", "label_b").agg(
-        F.avg("_auc").alias("_auc")
-    ).agg(F.avg("_auc").alias("auc"))
+    side = F.when(F.col("_score_of") == F.col("label_a").cast("string"), area).otherwise(1 - area)
+    return pairs.groupBy(*keys, "label_a", "label_b").agg(F.avg(side).alias("auc"))
+
+
+def multiclass_auc(probs: DataFrame, classes: Sequence | None = None, actual: str = "actual", cls: str = "class",
+                   prob: str = "prob", keys: Sequence[str] = ()) -> DataFrame:
+    """Hand and Till's average over class pairs of the two areas under the curve, for each value of `keys`, all from one table."""
+    return pair_areas(probs, classes, actual, cls, prob, keys).groupBy(*keys).agg(F.avg("auc").alias("auc"))
+
+
+def class_auc(probs: DataFrame, actual: str = "actual", cls: str = "class", prob: str = "prob", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, class, auc): each class against all others together, by its own probability."""
+    own = F.col(cls).cast("string")
+    sides = probs.withColumn("_score_of", own).withColumn("_own", F.when(F.col(actual).cast("string") == own, "1").otherwise("2"))
+    pairs = pair_distribution(sides, "_own", None, [*keys, "_score_of"], prob)
+    return pairs.select(*keys, F.col("_score_of").alias("class"), (F.col("w") / (F.col("n_a") * F.col("n_b"))).alias("auc"))
 
 
 def brier(probs: DataFrame, sample: str = "sample", actual: str = "actual", cls: str = "class", prob: str = "prob") -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakweave.session import materialize
+
 _BUCKET = "_bucket"
 
 
@@ -124,43 +126,58 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "av
     return df.join(ranks, [*keys, value])
 
 
-def class_distribution(
-    df: DataFrame, keys: Sequence[str], value: str, label: str, classes: Sequence[str]
-) -> DataFrame:
-    """Distinct values per group with, for class number k, `c{k}` copies, `c{k}_before` and `c{k}_total`.
-
-    Rank sums, distribution distances and areas under curves of every pair of classes follow from it.
-    """
-    cols = [f"c{k}" for k in range(len(classes))]
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(*[F.count(F.when(F.col(label) == F.lit(c), 1)).alias(n) for c, n in zip(classes, cols, strict=True)])
-    )
-    return running_totals(counted, keys, value, cols)
+#: Rows of a bucket that one task puts in order, and the parts that a fuller one is cut into.
+RANKED, SPLIT = 1 << 17, 1 << 12
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], stored: bool = False
 ) -> DataFrame:
-    """Interpolating quantiles, position (n-1)p counted from zero, one row per group."""
-    at = value_positions(df, keys, value)
-
-    def pick(position: Column, name: str) -> Column:
-        here = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(here, F.col(value))).alias(name)
-
-    picks = []
-    for p, name in zip(probs, names, strict=True):
-        h = (F.col("n_total") - 1) * F.lit(float(p))
-        picks += [pick(F.floor(h), f"_lo_{name}"), pick(F.ceil(h), f"_hi_{name}")]
-    got = at.groupBy(*keys).agg(F.max("n_total").alias("_n"), *picks)
-    out = []
-    for p, name in zip(probs, names, strict=True):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return got.select(*keys, *out)
+    """Interpolating quantiles, position (n-1)p counted from zero, one row per group.
+
+    By selection: totals of value buckets tell which bucket holds each wanted position, and only the rows of those
+    buckets are put in order. A bucket of one value needs no rows at all; one with more than RANKED rows is cut between its extremes, again
+    and again if need be. Rows without a value are left out. The rows are read twice: unless they are `stored` already, their keys and values are
+    written first.
+    """
+    keys = list(keys)
+    if not stored:
+        df = materialize(df.filter(F.col(value).isNotNull()).select(*keys, value), "quantile-rows")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), log_bucket(F.col(value)).alias(_BUCKET))
+    extent = (F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    upto = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.groupBy(*keys, _BUCKET).agg(*extent).withColumns(
+        {"_before": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_total": F.sum("_n").over(Window.partitionBy(*keys))}
+    )
+    heights = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    wanted = F.array_distinct(F.array(*(f(h) for h in heights for f in (F.floor, F.ceil))))
+
+    def holding(buckets: DataFrame, ranks: Column) -> DataFrame:
+        inside = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+        kept = buckets.withColumn("_ranks", inside).filter(F.size("_ranks") > 0)
+        return materialize(kept.select(*keys, _BUCKET, "_lo", "_hi", "_n", "_before", "_total", "_ranks"), "quantile-buckets")
+
+    hits = holding(placed, wanted)
+    crowded = (F.col("_n") > RANKED) & (F.col("_lo") < F.col("_hi"))
+    while not hits.filter(crowded).isEmpty():
+        bucket = [*keys, _BUCKET, "_low"]
+        full = hits.filter(crowded).withColumnsRenamed({"_lo": "_low", "_hi": "_high", "_before": "_start"}).drop("_n")
+        inner = rows.join(full, [*keys, _BUCKET]).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+        part = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * SPLIT)
+        parts = inner.groupBy(*bucket, "_start", "_total", "_ranks", part.alias("_part")).agg(*extent)
+        before = F.sum("_n").over(Window.partitionBy(*bucket).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        finer = holding(parts.withColumn("_before", F.col("_start") + F.coalesce(before, F.lit(0))), F.col("_ranks"))
+        hits = hits.filter(~crowded).unionByName(finer)
+    one = hits.filter(F.col("_lo") == F.col("_hi")).select(*keys, "_total", F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
+    near = rows.join(hits.filter(F.col("_lo") < F.col("_hi")), [*keys, _BUCKET]).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    number = F.row_number().over(Window.partitionBy(*keys, _BUCKET, "_lo").orderBy("_v")) - 1 + F.col("_before")
+    ranked = near.select(*keys, "_total", number.alias("_rank"), "_ranks", "_v").filter(F.array_contains("_ranks", F.col("_rank")))
+    found = one.unionByName(ranked.select(*keys, "_total", "_rank", "_v"))
+    at = lambda position: F.max(F.when(F.col("_rank") == position, F.col("_v")))
+    picks = [c for k, h in enumerate(heights) for c in (at(F.floor(h)).alias(f"_lo{k}"), at(F.ceil(h)).alias(f"_hi{k}"))]
+    got = found.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    between = [(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (h - F.floor(h))).alias(name) for k, (h, name) in enumerate(zip(heights, names, strict=True))]
+    return got.select(*keys, *between)
 
 
 def row_positions(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from peakweave.functions.tails import normal_quantile
 from peakweave.operators.ordering import attach_group_stats, exact_quantiles, log_bucket, row_positions, value_positions
 from peakweave.operators.tests import class_names
+from peakweave.session import materialize
 
 
 def mean_sd(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -78,13 +79,14 @@ def histogram_by(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30)
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Five-number summary, whisker ends within 1.5 interquartile ranges, and the number of values outside."""
-    five = exact_quantiles(df, keys, value, [0.0, 0.25, 0.5, 0.75, 1.0], ["lowest", "q1", "median", "q3", "highest"])
+    df = materialize(df.filter(F.col(value).isNotNull()).select(*keys, value), "box-rows")
+    five = exact_quantiles(df, keys, value, [0.0, 0.25, 0.5, 0.75, 1.0], ["lowest", "q1", "median", "q3", "highest"], stored=True)
+    five = materialize(five, "box-quantiles")
     low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(low, high)
     whiskers = (
-        df.filter(F.col(value).isNotNull())
-        .join(five.select(*keys, "q1", "q3"), list(keys))
+        df.join(five.select(*keys, "q1", "q3"), list(keys))
         .groupBy(*keys)
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),

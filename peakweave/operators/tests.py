@@ -1,13 +1,13 @@
 """Tests of group differences, for many features and class pairs in one job.
 
 Each test is reduced to counts, sums and distribution tables per feature; tail probabilities are computed
-last, on one row per test. Rank-based tests share one table of distinct values with the
-number of smaller values in each class, so no pair of classes has its rows gathered again.
+last, on one row per test. Rank-based tests share one sorted table of distinct values and the classes that have
+them (`distribution`), so no pair of classes has its rows gathered again, and classes that a feature lacks cost nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,9 +24,10 @@ from peakweave.functions.tails import (
     rank_sum_p_exact,
     t_p_value,
 )
-from peakweave.operators.ordering import class_distribution, exact_quantiles, value_positions
+from peakweave.operators.distribution import PairSums, RankSums, class_sums
+from peakweave.operators.ordering import exact_quantiles, value_positions
 from peakweave.operators.padjust import p_adjust
-from peakweave.session import cut_lineage
+from peakweave.session import cut_lineage, materialize
 
 MAX_CLASSES = 200
 
@@ -39,56 +40,15 @@ def class_names(df: DataFrame, label: str) -> list:
     return sorted(found)
 
 
-def _pairs(n: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(n) for j in range(i + 1, n)]
-
-
 def pair_distribution(
-    df: DataFrame, label: str, classes: Sequence, feature: Sequence[str] = ("feature",), value: str = "value",
-    wanted: Callable[[Column], Column] | None = None,
+    df: DataFrame, label: str, classes: Sequence | None = None, feature: Sequence[str] = ("feature",), value: str = "value", own: str | None = None,
 ) -> DataFrame:
-    """Per feature and class pair: sizes, pairs won by the first class (W), tie terms, KS distance.
+    """Per feature and pair of the classes present in it: sizes, pairs won by the first class (W), tie terms, KS distance.
 
-    `wanted` keeps only some pairs of a feature, given their (label_a, label_b).
+    `own` names a key that holds the name of a class: only that class's pairs come out.
     """
-    keys = list(feature)
-    table = class_distribution(df, keys, value, label, classes)
-    of = lambda name: F.array(*[F.col(f"c{k}{name}") for k in range(len(classes))])
-    packed = table.select(*keys, of("").alias("_c"), of("_before").alias("_b"), of("_total").alias("_t"))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"),
-                F.lit(classes[i]).alias("label_a"), F.lit(classes[j]).alias("label_b"),
-            )
-            for i, j in _pairs(len(classes))
-        ]
-    )
-    if wanted is not None:
-        pairs = F.filter(pairs, wanted)
-    # a value meets the pairs of its own classes only
-    at = lambda src, k: F.element_at(f"_{src}", k)
-    pairs = F.filter(
-        pairs, lambda q: (at("t", q["i"]) > 0) & (at("t", q["j"]) > 0) & (at("c", q["i"]) + at("c", q["j"]) > 0)
-    )
-    spread = packed.select("*", F.explode(pairs).alias("_p")).select(
-        *keys,
-        "_p.label_a",
-        "_p.label_b",
-        *[F.element_at(f"_{src}", F.col(f"_p.{side}")).alias(f"{src}{side}") for src in "cbt" for side in "ij"],
-    )
-    a, b = F.col("ci"), F.col("cj")
-    t = (a + b).cast("double")
-    return (
-        spread.groupBy(*keys, "label_a", "label_b")
-        .agg(
-            F.max("ti").alias("n_a"),
-            F.max("tj").alias("n_b"),
-            F.sum(a * (F.col("bj") + b / 2)).alias("w"),
-            F.sum(t * t * t - t).alias("ties"),
-            F.max(F.abs((F.col("bi") + a) / F.col("ti") - (F.col("bj") + b) / F.col("tj"))).alias("ks_d"),
-        )
-    )
+    found = class_sums(df, label, feature, value, PairSums, classes, own)
+    return found.withColumnsRenamed({"first": "w", "apart": "ks_d"})
 
 
 def wilcoxon_p(w: Column, n_a: Column, n_b: Column, ties: Column) -> Column:
@@ -107,7 +67,6 @@ def wilcoxon_p(w: Column, n_a: Column, n_b: Column, ties: Column) -> Column:
 def wilcoxon_rank_sum(df: DataFrame, label: str, feature: Sequence[str] = ("feature",), value: str = "value",
                       classes: Sequence | None = None) -> DataFrame:
     """Rank-sum test of every class pair per feature."""
-    classes = class_names(df, label) if classes is None else classes
     stats = pair_distribution(df, label, classes, feature, value)
     return stats.select(
         *feature, "label_a", "label_b", "n_a", "n_b", "w", "ties",
@@ -118,7 +77,6 @@ def wilcoxon_rank_sum(df: DataFrame, label: str, feature: Sequence[str] = ("feat
 def ks_two_sample(df: DataFrame, label: str, feature: Sequence[str] = ("feature",), value: str = "value",
                   classes: Sequence | None = None) -> DataFrame:
     """Largest distance between the distributions of every class pair, with its p-value."""
-    classes = class_names(df, label) if classes is None else classes
     stats = pair_distribution(df, label, classes, feature, value)
     return stats.select(
         *feature, "label_a", "label_b", "n_a", "n_b", "ks_d",
@@ -187,35 +145,16 @@ def _shapiro(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shapiro_wilk(v) or (None, None) for v in values], columns=["w", "p_value"], dtype=float)
 
 
-def pooled_rank_sums(df: DataFrame, label: str, feature: Sequence[str], value: str, classes: Sequence) -> DataFrame:
-    """Per feature and class: size and sum of pooled average ranks; plus the tie term of the feature."""
-    table = class_distribution(df, list(feature), value, label, classes)
-    cols = [F.col(f"c{k}") for k in range(len(classes))]
-    n_here = sum(cols[1:], cols[0])
-    before = [F.col(f"c{k}_before") for k in range(len(classes))]
-    n_before = sum(before[1:], before[0])
-    rank = n_before + (n_here + 1) / 2
-    aggs = [F.sum(n_here.cast("double") * n_here * n_here - n_here).alias("ties"), F.sum(n_here).alias("n")]
-    for k in range(len(classes)):
-        aggs += [F.sum(cols[k] * rank).alias(f"r{k}"), F.max(f"c{k}_total").alias(f"n{k}")]
-    return table.groupBy(*feature).agg(*aggs)
-
-
 def kruskal(df: DataFrame, label: str, feature: Sequence[str] = ("feature",), value: str = "value",
             classes: Sequence | None = None) -> DataFrame:
     """Kruskal-Wallis H per feature over the classes that have values."""
-    classes = class_names(df, label) if classes is None else classes
-    sums = pooled_rank_sums(df, label, feature, value, classes)
-    square, groups = F.lit(0.0), F.lit(0)
-    for k in range(len(classes)):
-        present = F.col(f"n{k}") > 0
-        square = square + F.when(present, F.col(f"r{k}") * F.col(f"r{k}") / F.nullif(F.col(f"n{k}"), F.lit(0))).otherwise(0.0)
-        groups = groups + present.cast("int")
-    n = F.col("n").cast("double")
-    h = (12 * square / (n * (n + 1)) - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (n * n * n - n), F.lit(0.0))
-    out = sums.select(*feature, "n", groups.alias("n_groups"), h.alias("h")).filter(
-        (F.col("n_groups") > 1) & F.col("h").isNotNull()
+    sums = class_sums(df, label, feature, value, RankSums, classes)
+    pooled = sums.groupBy(*feature).agg(
+        F.sum("n_a").alias("n"), F.count(F.lit(1)).cast("int").alias("n_groups"), F.sum(F.col("first") * F.col("first") / F.col("n_a")).alias("_square"), F.max("ties").alias("_ties")
     )
+    n = F.col("n").cast("double")
+    h = (12 * F.col("_square") / (n * (n + 1)) - 3 * (n + 1)) / F.nullif(1 - F.col("_ties") / F.nullif(n * n * n - n, F.lit(0.0)), F.lit(0.0))
+    out = pooled.select(*feature, "n", "n_groups", h.alias("h")).filter((F.col("n_groups") > 1) & F.col("h").isNotNull())
     return out.withColumn("p_value", chi2_p_value(F.col("h"), F.col("n_groups") - 1))
 
 
@@ -245,8 +184,8 @@ def anova_oneway(df: DataFrame, label: str, feature: Sequence[str] = ("feature",
 def _median_deviations(df: DataFrame, label: str, feature: Sequence[str], value: str) -> DataFrame:
     """Every value with its absolute distance to the median of its class."""
     keys = [*feature, label]
-    present = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    medians = exact_quantiles(present, keys, value, [0.5], ["_med"])
+    present = materialize(df.filter(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*keys, value), "spread-rows")
+    medians = exact_quantiles(present, keys, value, [0.5], ["_med"], stored=True)
     return present.join(medians, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
 
 
@@ -304,7 +243,6 @@ def pairwise_tests(
     a class of fewer than 3 values, or of equal ones, has no normality test and drops the pair. All p-values are adjusted together; `significant` marks the adjusted ones below alpha.
     """
     keys = list(feature)
-    classes = class_names(df, label) if classes is None else classes
     normal = shapiro(df, [*keys, label], value).select(*keys, label, F.col("p_value").alias("_s"))
     ranks = wilcoxon_rank_sum(df, label, feature, value, classes).filter((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
     welch = welch_t(df, label, feature, value).select(*keys, "label_a", "label_b", F.col("p_value").alias("_t"))
@@ -349,7 +287,6 @@ def wilcoxon_screen(
 def combined_screen(df: DataFrame, label: str, alpha: float = 0.05, feature: Sequence[str] = ("feature",),
                     value: str = "value", classes: Sequence | None = None) -> DataFrame:
     """Pairs in which the rank-sum and the distribution test both reject."""
-    classes = class_names(df, label) if classes is None else classes
     stats = pair_distribution(df, label, classes, feature, value)
     both = stats.select(
         *feature, "label_a", "label_b",

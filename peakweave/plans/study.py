@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from peakweave.operators.cluster import average_resolution
 from peakweave.operators.distance import correlation_matrix, correlation_preservation
-from peakweave.operators.impute import IMPUTERS
+from peakweave.operators.implicit import Implicit, implicit
+from peakweave.operators.impute import IMPUTERS, half_min_fills, impute_blank_lod, impute_half_min_technique, mean_fills, median_fills, zero_fills
 from peakweave.operators.impute_models import impute_knn
 from peakweave.operators.metrics import confusion_table
 from peakweave.operators.models import Fitted, random_forest, rf_stability, scores
@@ -43,11 +44,19 @@ def split_samples(samples: DataFrame, label: str, split: str, p: float = 0.7, se
     return marked.filter("in_train").drop("in_train"), marked.filter("NOT in_train").drop("in_train")
 
 
-def prepare(cells: DataFrame, imputer: str | Callable[[DataFrame], DataFrame], normalizer: str, file: str = "file") -> DataFrame:
+#: Imputers that are one number per feature, and normalisers with a form for implied cells.
+FILLS = {"zero": zero_fills, "mean": mean_fills, "median": median_fills, "half_min": half_min_fills}
+IMPLIED: dict[str, Callable[[Implicit], Implicit]] = {
+    "zscore": Implicit.zscore, "minmax": Implicit.minmax, "log10": lambda m: m.mapped(lambda v: F.log10(v + 1.0)),
+    "ln": lambda m: m.mapped(lambda v: F.coalesce(F.log(v), F.lit(0.0))), "tsn": lambda m: m, "none": lambda m: m,
+}
+
+
+def prepare(cells: DataFrame, imputer: str | Callable[[DataFrame], DataFrame], normalizer: str, file: str = "file", peaks: DataFrame | None = None) -> DataFrame:
     """Dense normalised long cells.
 
-    The imputer is a name in IMPUTERS, "knn", or any function of the cells, as for the ones that need more than the cells
-    (detection limits from blanks, limits per technique, forests).
+    The imputer is a name in IMPUTERS, "knn", "half_min_technique" (the cells have a technique), "blank_lod" (`peaks` have the
+    blanks), or any function of the cells.
     """
     if callable(imputer):
         filled = imputer(cells)
@@ -55,11 +64,24 @@ def prepare(cells: DataFrame, imputer: str | Callable[[DataFrame], DataFrame], n
         rows, index = to_rows(cells, file, "feature", "value", fill=None)
         long = array_to_long(impute_knn(rows, key=file), file, "x", "idx", "value")
         filled = long.join(index, "idx")
+    elif imputer == "half_min_technique":
+        filled = impute_half_min_technique(cells, file=file)
+    elif imputer == "blank_lod":
+        filled = impute_blank_lod(cells.select(file, "feature", "value"), peaks, file=file)
     else:
         filled = IMPUTERS[imputer](cells.select(file, "feature", "value"))
     return NORMALIZERS[normalizer](filled.select(file, "feature", "value"))
 
 
+def prepare_rows(cells: DataFrame, imputer: str | Callable[[DataFrame], DataFrame], normalizer: str, file: str = "file", peaks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One dense array per file, and the feature index, of `prepare`. Where a fill per feature says it all, cells stay implied up to the arrays."""
+    if not callable(imputer) and imputer in FILLS and normalizer in IMPLIED:
+        cells = cells.select(file, "feature", "value")
+        matrix = implicit(cells, FILLS[imputer](cells), file=file)
+        return IMPLIED[normalizer](matrix).dense_rows(matrix.file_totals() if normalizer == "tsn" else None)
+    return to_rows(prepare(cells, imputer, normalizer, file, peaks), file, "feature", "value")
+
+
 def _samples(cells: DataFrame, label: str, carry: Sequence[str], file: str) -> DataFrame:
     names = cells.select(file, label, *carry).distinct()
     return drop_small_classes(names, label, 2, file)
@@ -115,7 +137,7 @@ def rank_methods(table: DataFrame) -> DataFrame:
 def run_classifier_study(
     cells: DataFrame, label: str, split: str = "store_to_field", fit: Callable[..., Fitted] = random_forest,
     imputer: str = "zero", normalizer: str = "none", do_pairwise: bool = False, top_sizes: Sequence[int] = (),
-    rfe_sizes: Sequence[int] = (), folds: int | None = None, file: str = "file", **fit_args: object,
+    rfe_sizes: Sequence[int] = (), folds: int | None = None, file: str = "file", peaks: DataFrame | None = None, **fit_args: object,
 ) -> dict[str, DataFrame]:
     """Fingerprint cells (file, feature, value, label, source) to metrics, predictions, confusion and refits."""
     cells = cut_lineage(cells)
@@ -126,8 +148,7 @@ def run_classifier_study(
         tests = pairwise_tests(used, label)
         out["tests"] = tests
         used = restrict_to(used, tests.filter("significant").select("feature").distinct())
-    ready = prepare(used.select(file, "feature", "value"), imputer, normalizer, file)
-    rows, index = to_rows(ready, file, "feature", "value")
+    rows, index = prepare_rows(used, imputer, normalizer, file, peaks)
     vectors = cut_lineage(to_vectors(rows.join(samples, file)))
     train, test = split_samples(vectors, label, split, key=file)
 

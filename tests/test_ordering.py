@@ -43,6 +43,21 @@ def test_exact_quantiles_match_numpy(spark):
         assert np.allclose(got[g], np.quantile(part["v"], probs))
 
 
+def test_crowded_buckets_are_cut_until_they_are_small(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANKED", 20)
+    monkeypatch.setattr(ordering, "SPLIT", 4)
+    rng = np.random.default_rng(6)
+    values = np.concatenate([1000 + rng.random(700) * 1e-3, np.full(90, 1000.0005), rng.normal(0, 1, 40), [-0.0, 0.0]])
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)] + [(0, None), (7, None)], "g int, v double")
+    probs = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    names = [f"q{i}" for i in range(6)]
+    got = {r["g"]: [r[n] for n in names] for r in ordering.exact_quantiles(df, ["g"], "v", probs, names).collect()}
+    assert got.keys() == {0, 1}
+    for g in (0, 1):
+        assert np.allclose(got[g], np.quantile(values[g::2], probs), rtol=0, atol=1e-12)
+    assert ordering.exact_quantiles(df, [], "v", [0.5], ["m"]).first().m == pytest.approx(np.median(values))
+
+
 def test_row_positions_and_seeded_positions(spark, collect):
     df = frame(spark, 9)
     got = ordering.row_positions(df, ["g"], ["v", "id"], ordering.log_bucket(F.col("v")))
