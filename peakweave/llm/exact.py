@@ -45,13 +45,14 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return materialize(found, "exact-repeated")  # as a table, a side of a join that can be split where it is hot
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_digest: bool = False) -> DataFrame:
     """Groups of texts that are equal after lower-casing A-Z; the row with the largest id of each group stays.
 
-    Returns (id_col, keep_id, group_size, kept), one row per input row. A first pass gives each row its length and
+    Returns (id_col, keep_id, group_size, kept, and with `with_digest` text_sha256), one row per input row. A first pass gives each row its length and
     the hash of its beginning. Lengths that occur once are settled; of the rest, those whose beginning occurs once
     at that length. Only texts that survive both are read whole and hashed by SHA-256. Rows meet their group's figures
-    in a join that Spark splits when a group is large; groups themselves are only counted.
+    in a join that Spark splits when a group is large; groups themselves are only counted. `with_digest` also hashes the settled texts, each in
+the row it stands in, so no digest is looked up by an id.
 
     Null text counts as empty. A null id stands for itself: its row joins the group, never stays before an id that
     is not null, and a group of only null ids keeps null. Rows with the same id and text count one by one and
@@ -66,10 +67,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = materialize(digests(reading, id_col, text_col, prefix=False), "exact-full")
     groups = full.groupBy("length", "digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = materialize(groups, "exact-groups")
-    grouped = full.join(groups, ["length", "digest"]).select("id", "keep_id", "group_size")
-    in_group = full.join(groups, ["length", "digest"], "left_anti").select("id")
+    grouped = full.join(groups, ["length", "digest"]).select("id", "keep_id", "group_size", "digest")
+    in_group = full.join(groups, ["length", "digest"], "left_anti").select("id", "digest")
     # rows that any step found alone: their id was never open, or its whole text turned out to be unlike all others
-    alone = first.join(open_rows, first["id"].eqNullSafe(open_rows["id"]), "left_anti").select("id").unionByName(in_group)
-    alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    if with_digest:
+        settled = digests(docs.join(open_rows, docs[id_col].eqNullSafe(open_rows["id"]), "left_anti"), id_col, text_col, prefix=False).select("id", "digest")
+    else:
+        settled = first.join(open_rows, first["id"].eqNullSafe(open_rows["id"]), "left_anti").select("id", F.lit(None).cast("string").alias("digest"))
+    alone = settled.unionByName(in_group)
+    alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     found = grouped.unionByName(alone)
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    shown = [F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")]
+    return found.select(*shown, *([F.col("digest").alias("text_sha256")] if with_digest else []))

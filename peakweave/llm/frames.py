@@ -7,9 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peakweave.session import materialize
+
 # fixed values: white space other than the space, as any of the tokenizer libraries may see it
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
 
@@ -21,6 +25,29 @@ def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
     return T.StructField(name or column, df.schema[column].dataType, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a key for each row, and the key's name: the row's file and number for files, else a number in a copy that is written once.
+
+    Rows that agree in every column have keys of their own, and a row has the same key whenever it is read again.
+    """
+    name = unused(df, "row_key")
+    try:
+        keyed = df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        if keyed.schema[name].dataType["row"].dataType == T.LongType():
+            return keyed, name
+    except AnalysisException:
+        pass  # not a table of files with row numbers
+    return materialize(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "row-keys"), name
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold at most `limit` bytes of text, a longer text alone."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

@@ -88,6 +88,31 @@ def forest(mask: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def cells_met(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's cell, and (row, cell) of the cells of a higher number whose border is within reach of it.
+
+    The distance to the border of cells n and c, as a sine, is (x.n - x.c) / |n - c|, so the centres are all a task needs; the distances of one
+    centre to the others are made when vectors of its cell come up.
+    """
+    near, rows, cells = np.zeros(len(x), np.int64), [], []
+    step = max(1, (1 << 22) // len(centres))
+    for at in range(0, len(x), step):
+        dots = x[at : at + step] @ centres.T
+        home = np.argmax(dots, axis=1)
+        near[at : at + step] = home
+        for c in np.unique(home):
+            mine = np.flatnonzero(home == c)
+            apart = np.linalg.norm(centres[c] - centres, axis=1)
+            gap = dots[mine, c][:, None] - dots[mine]
+            margin = np.divide(gap, apart, out=np.zeros_like(gap), where=apart > 0)
+            margin[:, : c + 1] = np.inf
+            row, cell = np.nonzero(margin <= reach)
+            rows.append(mine[row] + at)
+            cells.append(cell)
+    empty = [np.zeros(0, np.int64)]
+    return near, np.concatenate(rows or empty), np.concatenate(cells or empty)
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *,
     least: float = 0.93, sample_rows: int = 20_000,
@@ -117,11 +142,6 @@ def near_vectors(
     count = reps.count()
     centres = fitted_centres(reps, count, sample_rows)
 
-    normals = None
-    if len(centres):
-        gap = centres[:, None, :] - centres[None, :, :]
-        size = np.linalg.norm(gap, axis=2, keepdims=True)
-        normals = np.divide(gap, size, out=np.zeros_like(gap), where=size > 0)
     reach = math.sin(math.acos(least)) + 1e-9
 
     def place(batches):
@@ -129,16 +149,10 @@ def near_vectors(
             out = []
             for size, part in pdf.groupby(pdf["x"].map(len)):
                 x = unit(np.stack(part["x"].to_list()))
-                if normals is None or size != centres.shape[1]:
+                if not len(centres) or size != centres.shape[1]:
                     cell, row, home = np.zeros(len(x), np.int64), np.arange(len(x)), np.ones(len(x), bool)
                 else:
-                    near = np.argmax(x @ centres.T, axis=1)
-                    # distance, along the sphere, to the border with every other cell
-                    margin = np.empty((len(x), len(centres)))
-                    for c in np.unique(near):
-                        margin[near == c] = x[near == c] @ normals[c].T
-                    visits = (margin <= reach) & (np.arange(len(centres)) > near[:, None])
-                    row, cell = np.nonzero(visits)
+                    near, row, cell = cells_met(x, centres, reach)
                     row, cell = np.concatenate((np.arange(len(x)), row)), np.concatenate((near, cell))
                     home = np.arange(len(row)) < len(x)
                 found = part.iloc[row][["label", "rep", "copies"]].assign(cell=cell, home=home, size=size)

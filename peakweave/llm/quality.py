@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +208,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit([r[2].encode("utf-8") for r in found], labelled)
 
 
-def score_quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every whole text: from 0 to 1, higher for better.
+def score_quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: str = "text", *, carry: Sequence[str] = (), score_col: str = "score") -> DataFrame:
+    """(id_col, carry, score) of every whole text: from 0 to 1, higher for better; columns in `carry` go along with their row.
 
     Each line is good or bad by its own features and its neighbours' and by the states beside it; the marginals, weighted by
     length, make the document's score. Only the text is read. Null counts as empty: one empty line. Null and repeated
@@ -220,6 +220,8 @@ def score_quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", tex
         for batch in batches:
             for part in text_slices(batch, text_col):
                 scores = model.scores([t.encode("utf-8") for t in texts_of(part, text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scores, pa.float64())], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in shown), pa.array(scores, pa.float64())], [*shown, score_col])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([field(docs, id_col), T.StructField("score", T.DoubleType())]))
+    shown = list(dict.fromkeys([id_col, *carry]))
+    rows = docs.select(*dict.fromkeys([*shown, text_col]))
+    return rows.mapInArrow(run, T.StructType([*(field(docs, c) for c in shown), T.StructField(score_col, T.DoubleType())]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from peakweave.llm import check_sql
 from peakweave.llm.byte_bpe import round_trip_digests
-from peakweave.llm.exact import digests, exact_duplicates
+from peakweave.llm.exact import exact_duplicates
 from peakweave.llm.html_extract import extract_text
 from peakweave.llm.mixing import mix_sources
 from peakweave.llm.near_text import near_duplicates
@@ -78,10 +78,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t""",
 )
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups from the operator; the digest of every text, also of those it never had to read whole, beside them."""
-    docs = table(spark, folder, "documents")
-    hashed = digests(docs, "doc_id", "text", prefix=False).select(F.col("id").alias("doc_id"), F.col("digest").alias("text_sha256"))
-    return exact_duplicates(docs).join(hashed, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_duplicates(table(spark, folder, "documents"), with_digest=True)
 
 
 @query(

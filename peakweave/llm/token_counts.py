@@ -34,12 +34,13 @@ def library_counts(tokenizer, texts: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """Token counts of the most frequent chunks in a sample of at most `sample_rows` rows; at most `table_size` entries.
+def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_rows: int, sample_bytes: int, table_size: int) -> dict[str, int]:
+    """Token counts of the most frequent chunks in a sample of at most `sample_rows` texts of at most `sample_bytes` bytes each; at most `table_size` entries.
 
     The sample only decides which chunks are looked up fast, never a count.
     """
-    texts = [r[0] or "" for r in docs.select(text_col).limit(sample_rows).toLocalIterator()]
+    short = docs.select(text_col).where(F.octet_length(text_col) <= sample_bytes)
+    texts = [r[0] for r in short.limit(sample_rows).toLocalIterator()]
     seen = Counter(chunk for text in texts for chunk in text.split(" ") if len(chunk) <= 32)
     top = [chunk for chunk, _ in seen.most_common(table_size)]
     tokenizer, _ = _worker(path, 1)
@@ -48,7 +49,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_rows: int
 
 def token_counts(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *,
-    sample_rows: int = 1000, table_size: int = 50_000, cache_entries: int = 400_000,
+    sample_rows: int = 1000, sample_bytes: int = 40_000, table_size: int = 50_000, cache_entries: int = 400_000,
 ) -> DataFrame:
     """(id_col, n_bytes, n_tokens) of every whole text, as the tokenizer file at `path` counts, without added tokens.
 
@@ -60,7 +61,7 @@ def token_counts(
     Null text counts as empty (0 bytes, 0 tokens); null and repeated ids are kept row by row; an empty table gives an
     empty result; other columns are ignored. Memory holds one slice of texts, one text at least, the table and the cache.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, path, sample_rows, table_size))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, path, sample_rows, sample_bytes, table_size))
 
     def count(texts: pa.Array) -> np.ndarray:
         tokenizer, cache = _worker(path, cache_entries)

@@ -22,6 +22,7 @@ from peakweave.llm.exact import exact_duplicates  # noqa: E402
 from peakweave.llm.near_text import CHUNK, CHUNKS, GUARANTEED, POSITIONS, chunk_keys, near_duplicates  # noqa: E402
 from peakweave.llm.packing import hilbert_key, pack_documents  # noqa: E402
 from peakweave.llm.quality import fit, fit_quality, line_features, marginals, score_quality  # noqa: E402
+from peakweave.llm.queries import QUERIES  # noqa: E402
 from peakweave.llm.secrets import find_secrets, joined, redact_secrets  # noqa: E402
 from peakweave.llm.token_counts import token_counts  # noqa: E402
 
@@ -65,6 +66,15 @@ def test_exact_duplicates_null_and_repeated_ids(spark):
     assert got == Counter({(1, 1, 3, True): 2, (None, 1, 3, False): 1, (None, None, 1, True): 1, (2, 2, 1, True): 1, (2, 3, 2, False): 1, (3, 3, 2, True): 1})
 
 
+def test_every_row_has_its_own_digest(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (2, "A"), (None, "z"), (3, "q"), (None, None), (3, "long " * 300), (3, "long " * 300 + "end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in QUERIES["op4_exact_dedup"](spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha256((t or "").lower().encode()).hexdigest()
+    alone = [(i, i, 1, True, sha(t)) for i, t in rows[3:]]
+    assert got == Counter([(1, 2, 3, False, sha("a"))] * 2 + [(2, 2, 3, True, sha("a")), *alone])
+
+
 # near duplicates
 
 

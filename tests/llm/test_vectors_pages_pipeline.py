@@ -232,7 +232,39 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_stages_choose_rows_not_ids(spark, tmp_path, stored):
+    rng = random.Random(13)
+    a, b = (words(40, rng) for _ in range(2))
+    near = a.split()
+    near[-1] = "other"
+    rows = [(1, a), (1, a), (2, a.upper()), (None, b), (None, b), (None, "own text"), (3, b), (4, None), (4, "x y"), (4, "x y"), (5, " ".join(near)), (1, " ".join(near))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    if stored:
+        docs.write.parquet(f"{tmp_path}/docs.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    told = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    second = corpus_pipeline.drop_copies(spark, docs, "")
+    assert second.columns == docs.columns
+    assert told(second) == Counter([(2, a.upper()), (3, b), (None, "own text"), (4, None), (4, "x y"), (5, " ".join(near))])
+    third = told(corpus_pipeline.drop_near_copies(spark, docs, ""))
+    # of the component of a and its near copies one row of id 1 stays, of the two rows (4, x y) one, of b the named one
+    assert sum(third.values()) == 5 and sum(n for (i, _), n in third.items() if i == 1) == 1
+    assert third - Counter([(1, a), (1, " ".join(near))]) == Counter([(3, b), (None, "own text"), (4, None), (4, "x y")])
+
+
+def test_quality_stage_judges_each_row_by_its_text(spark, tmp_path):
+    rng = random.Random(14)
+    good = [" ".join(words(12, rng, 5000) for _ in range(6)).capitalize() + "." for _ in range(40)]
+    junk = [" ".join(f"{w}{rng.choice(['***', '###'])}" for w in words(40, rng).split()) for _ in range(40)]
+    rows = [*enumerate(good + junk), (None, good[0]), (None, junk[0]), (3, junk[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect())
+    assert kept[None, good[0]] == kept[3, good[3]] == 1 and not kept[None, junk[0]] and not kept[3, junk[1]]
+
+
 def test_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(SQL) <= set(QUERIES) <= set(entry.queries())
