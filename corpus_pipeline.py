@@ -5,11 +5,14 @@ Each stage takes the documents that the one before it kept, and all but the last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakweave.llm.exact import exact_duplicates
+from peakweave.llm.frames import row_keyed, unused
 from peakweave.llm.near_text import near_duplicates
 from peakweave.llm.packing import pack_documents
 from peakweave.llm.quality import fit_quality, score_quality
@@ -20,26 +23,32 @@ from peakweave.session import materialize
 GOOD_ENOUGH = 0.7
 
 
-def with_row_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is among the kept ones. Ids are compared so that a null equals a null."""
-    kept = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field scores as good. It is fitted on labelled documents of the input."""
+    """Documents that the line field scores as good, each row by its own text. It is fitted on labelled documents of the input."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_row_ids(docs, score_quality(docs, model).where(F.col("score") >= GOOD_ENOUGH))
+    score = unused(docs, "score")
+    scored = score_quality(docs, model, carry=docs.columns, score_col=score)
+    return scored.where(F.col(score) >= GOOD_ENOUGH).select(*docs.columns)
+
+
+def chosen_rows(docs: DataFrame, nulls_last: bool, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `find` keeps of (row, text). A row is its document's id, by which it is chosen, and the row's own key, which settles
+    ties: of rows that share an id, or have none, each is judged for itself and one of equal ones stays."""
+    keyed, key = row_keyed(docs)
+    named = F.col("doc_id").isNull() if nulls_last else F.col("doc_id").isNotNull()
+    rows = keyed.select(F.struct(named.alias("named"), F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("row"), "text")
+    kept = find(rows).where("kept").select(F.col("row.key").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for the case of A-Z: the one with the largest id."""
-    return with_row_ids(docs, exact_duplicates(docs).where("kept"))
+    """One row of each group of texts that are equal but for the case of A-Z: one with the largest id (null ids last)."""
+    return chosen_rows(docs, False, lambda rows: exact_duplicates(rows, "row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id."""
-    return with_row_ids(docs, near_duplicates(docs).where("kept"))
+    """One row of each component of near duplicates: one with the smallest id (null ids last)."""
+    return chosen_rows(docs, True, lambda rows: near_duplicates(rows, "row"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
