@@ -140,6 +140,8 @@ def class_sums(
     name of a class: only its pairs come out. Rows without value, class or key are left out.
     """
     keys = list(keys)
+    if not keys:
+        return class_sums(df.withColumn("_all", F.lit(0)), label, ["_all"], value, kind, classes, own).drop("_all")
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_k{i}" for i in range(len(keys))]
