@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.operators.discriminant import add_features, drop_features, subset_scores_of
 from peakweave.operators.models import Fitted, importances, scores, slice_features
 from peakweave.operators.ordering import hash_bucket, row_positions, seeded_positions
 from peakweave.operators.splits import DEFAULT_FOLDS, stratified_folds
@@ -124,13 +125,16 @@ def _clean(s: dict[str, float | None]) -> dict[str, float]:
 
 
 def forward_addition(
-    train: DataFrame, test: DataFrame | None, label: str, base: Sequence[int], candidates: Sequence[int], fit: Fit,
+    train: DataFrame, test: DataFrame | None, label: str, base: Sequence[int], candidates: Sequence[int], fit: Fit | None = None,
     score_on: str = "folds", max_rounds: int | None = None, folds: int | None = None, key: str = "file",
 ) -> dict:
     """Add the first feature that improves accuracy, kappa and area together; stop when a whole pass adds none.
 
-    `max_rounds` ends it earlier; `converged` tells whether a whole pass added none.
+    `max_rounds` ends it earlier; `converged` tells whether a whole pass added none. Subsets are scored by linear discriminants, all
+    of a pass in one job (`discriminant`); with `fit` every subset is fitted anew on every fold.
     """
+    if fit is None:
+        return add_features(subset_scores_of(train, test, label, score_on, folds, key=key), base, candidates, max_rounds)
     chosen, remaining = list(base), [c for c in candidates if c not in base]
     best = subset_scores(train, test, label, chosen, fit, score_on, folds, key=key)
     converged = False
@@ -168,13 +172,16 @@ def recursive_elimination(
 
 
 def backward_elimination(
-    train: DataFrame, test: DataFrame | None, label: str, start: Sequence[int], fit: Fit, score_on: str = "folds",
+    train: DataFrame, test: DataFrame | None, label: str, start: Sequence[int], fit: Fit | None = None, score_on: str = "folds",
     max_removals: int | None = None, folds: int | None = None, key: str = "file",
 ) -> dict:
     """Drop features one by one, weakest first, as long as accuracy does not fall below the baseline.
 
-    `max_removals` ends it earlier; `converged` tells whether every feature was tried.
+    `max_removals` ends it earlier; `converged` tells whether every feature was tried. Subsets are scored by linear discriminants, all
+    of a pass in one job (`discriminant`); with `fit` every subset is fitted anew on every fold, and its importances rank the features.
     """
+    if fit is None:
+        return drop_features(subset_scores_of(train, test, label, score_on, folds, key=key), start, None, max_removals)
     chosen = list(start)
     ranked = ranked_features(fit(slice_features(train, chosen), label))
     weakest_first = [chosen[i] for i in reversed(ranked)]

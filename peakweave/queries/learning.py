@@ -252,7 +252,7 @@ def _searched(spark, got):
 @query("forward_addition")
 def _forward(spark, sf):
     train, test = _train_test(spark, sf)
-    got = selection.forward_addition(train, test, "label", [0, 1], list(range(2, 64)), _small_forest, "folds")
+    got = selection.forward_addition(train, test, "label", [0, 1], list(range(2, 64)))
     return _searched(spark, got)
 
 
@@ -265,7 +265,7 @@ def _rfe(spark, sf):
 @query("backward_elimination")
 def _backward(spark, sf):
     train, test = _train_test(spark, sf)
-    got = selection.backward_elimination(train, test, "label", list(range(64)), _small_forest, "folds")
+    got = selection.backward_elimination(train, test, "label", list(range(64)))
     return _searched(spark, got)
 
 

@@ -2,12 +2,13 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from peakweave.operators import selection
+from peakweave.operators import discriminant, selection
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
@@ -27,17 +28,88 @@ def test_all_features_are_shuffled(spark):
 
 
 @needs_tables
-def test_searches_have_no_early_end_and_tell_it(spark, monkeypatch):
-    for name in ("forward_addition", "backward_elimination"):
-        asked = {}
+@pytest.mark.parametrize("name", ["forward_addition", "backward_elimination"])
+def test_searches_run_to_their_end(spark, name):
+    got = entry.queries()[name](spark, SF).first()
+    assert got.converged and 1 <= len(got.features) <= 64 and 0.1 < got.accuracy <= 1
 
-        def search(*args, asked=asked, **options):
-            asked.update(options)
-            return {"features": [1], "accuracy": 0.5, "converged": True}
 
-        monkeypatch.setattr(selection, name, search)
-        assert entry.queries()[name](spark, SF).first().converged
-        assert not asked
+def rows_with_signal(spark, n=90, width=7, seed=3):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 3, n)
+    x = rng.normal(0, 1, (n, width))
+    x[:, 2] += y
+    x[:, 4] -= 0.7 * (y == 1)
+    x[:, 6] = x[:, 2]  # a copy
+    rows = [(i, "abc"[c], i % 4, x[i].tolist()) for i, c in enumerate(y)]
+    df = spark.createDataFrame(rows, "file long, label string, fold int, x array<double>")
+    return y, x, np.arange(n) % 4, df.withColumn("features", array_to_vector("x")).repartition(3)
+
+
+def refitted(y, x, fold, subset, only=None):
+    """Mean accuracy, kappa and Hand-Till area over folds of discriminants fitted from the rows themselves."""
+    out = []
+    for f in np.unique(fold) if only is None else [only]:
+        t, h = fold != f, fold == f
+        n = np.array([(y[t] == c).sum() for c in range(3)])
+        means = np.array([x[t][y[t] == c].mean(axis=0) for c in range(3)])
+        centred = x[t] - means[y[t]]
+        within = centred.T @ centred / (t.sum() - 3)
+        within += np.eye(x.shape[1]) * discriminant.RIDGE * np.trace(within) / x.shape[1]
+        a = np.linalg.solve(within[np.ix_(subset, subset)], means[:, subset].T).T
+        score = x[h][:, subset] @ a.T - (a * means[:, subset]).sum(axis=1) / 2 + np.log(n / n.sum())
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        p = np.round(p / p.sum(axis=1, keepdims=True), 12)
+        guess, truth = score.argmax(axis=1), y[h]
+        hit = (guess == truth).mean()
+        chance = sum((guess == c).mean() * (truth == c).mean() for c in range(3))
+        area = lambda c, i, j: np.mean([(p[u, c] > p[v, c]) + (p[u, c] == p[v, c]) / 2 for u in np.flatnonzero(truth == i) for v in np.flatnonzero(truth == j)])
+        out.append((hit, (hit - chance) / (1 - chance), np.mean([(area(i, i, j) + area(j, j, i)) / 2 for i in range(3) for j in range(i + 1, 3)])))
+    return np.mean(out, axis=0)
+
+
+def test_subset_scores_equal_refits(spark):
+    y, x, fold, df = rows_with_signal(spark)
+    scores = discriminant.SubsetScores(df, "label", 4)
+    subsets = [[2], [0, 2], [2, 4, 6], [1, 3, 5], list(range(7))]
+    got = [(*ak, u) for ak, u in zip(scores.accuracy_kappa(subsets), scores.areas(subsets), strict=True)]
+    assert np.allclose(got, [refitted(y, x, fold, s) for s in subsets], atol=1e-9)
+
+
+def test_searches_equal_a_literal_loop_of_refits(spark):
+    y, x, fold, df = rows_with_signal(spark)
+    scores = discriminant.SubsetScores(df, "label", 4)
+    chosen, left = [0], [1, 2, 3, 4, 5, 6]
+    best = refitted(y, x, fold, chosen)
+    while True:
+        step = next((c for c in left if (refitted(y, x, fold, [*chosen, c]) > best + 1e-12).all()), None)
+        if step is None:
+            break
+        chosen.append(step)
+        left.remove(step)
+        best = refitted(y, x, fold, chosen)
+    got = discriminant.add_features(scores, [0], range(1, 7))
+    assert got["features"] == chosen and got["converged"] and np.allclose([got[m] for m in ("accuracy", "kappa", "auc")], best)
+    chosen, order = list(range(7)), [3, 6, 0, 1, 5, 2, 4]
+    best = refitted(y, x, fold, chosen)[0]
+    for c in order:
+        trial = [i for i in chosen if i != c]
+        accuracy = refitted(y, x, fold, trial)[0]
+        if accuracy >= best - 1e-12:
+            chosen, best = trial, accuracy
+    got = discriminant.drop_features(scores, range(7), order)
+    assert got["features"] == chosen and got["converged"] and abs(got["accuracy"] - best) < 1e-9
+    assert not discriminant.add_features(scores, [0], range(1, 7), most_rounds=1)["converged"]
+
+
+def test_scores_on_test_rows_and_strengths(spark):
+    y, x, fold, df = rows_with_signal(spark)
+    train, test = df.filter("fold < 3").drop("fold"), df.filter("fold = 3").drop("fold")
+    got = discriminant.subset_scores_of(train, test, "label", "test").of([2, 4])
+    assert np.allclose([got[m] for m in ("accuracy", "kappa", "auc")], refitted(y, x, fold, [2, 4], only=3), atol=1e-9)
+    plain = spark.createDataFrame([(c, i % 4, [float(i % 5), 9.0 * (c == "b") + i % 3, 1.0]) for i, c in enumerate("ab" * 30)], "label string, fold int, x array<double>")
+    strength = discriminant.SubsetScores(plain.withColumn("features", array_to_vector("x")), "label", 4).sums.strengths()
+    assert strength[1] > 5 * strength[0] and strength[2] == 0
 
 
 @needs_tables
