@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.discriminant import add_features, drop_features, subset_scores_of
-from peakweave.operators.models import Fitted, importances, scores, slice_features
+from peakweave.operators.metrics import class_auc, multiclass_auc
+from peakweave.operators.models import Fitted, importances, probabilities_to_long, scores, slice_features
 from peakweave.operators.ordering import hash_bucket, row_positions, seeded_positions
 from peakweave.operators.splits import DEFAULT_FOLDS, stratified_folds
 from peakweave.session import cut_lineage
@@ -71,20 +72,29 @@ def shuffle_features(rows: DataFrame, candidates: Sequence[int], repeats: int, s
 
 
 def permutation_importance(fitted: Fitted, rows: DataFrame, candidates: Sequence[int], repeats: int = 10, seed: int = 282,
-                           key: str = "file", per_class: bool = False) -> DataFrame:
-    """Drop in accuracy when a feature is shuffled, over all rows or for each actual class."""
+                           key: str = "file", per_class: bool = False, metric: str = "accuracy") -> DataFrame:
+    """Drop in accuracy, or with metric="auc" in area under the curve, when a feature is shuffled, over all rows or for each class.
+
+    All features and repeats are scored in one job. Areas (Hand and Till's mean, or each class against the others) of all of them come
+    from one table of probabilities, keyed by (feature, repeat).
+    """
     cached = cut_lineage(rows)
-    hit = F.avg((F.col("actual") == F.col("predicted")).cast("double"))
-    base = fitted.score(cached)
-    base = base.groupBy((F.col("actual") if per_class else F.lit("all")).alias("class")).agg(hit.alias("_base"))
     scored = fitted.score(shuffle_features(cached, candidates, repeats, seed, key))
-    classed = F.col("actual") if per_class else F.lit("all")
-    parts = scored.groupBy(classed.alias("class"), F.col("sample._idx").alias("idx"), F.col("sample._repeat").alias("repeat")).agg(hit.alias("_acc"))
-    return (
-        parts.join(base, "class")
-        .groupBy("class", "idx")
-        .agg(F.avg(F.col("_base") - F.col("_acc")).alias("importance"), F.stddev_samp(F.col("_base") - F.col("_acc")).alias("sd"))
-    )
+    group = ["idx", "repeat"]
+    if metric == "accuracy":
+        hit = F.avg((F.col("actual") == F.col("predicted")).cast("double"))
+        classed = (F.col("actual") if per_class else F.lit("all")).alias("class")
+        base = fitted.score(cached).groupBy(classed).agg(hit.alias("_base"))
+        parts = scored.groupBy(classed, F.col("sample._idx").alias("idx"), F.col("sample._repeat").alias("repeat")).agg(hit.alias("_now"))
+    elif metric == "auc":
+        area = (lambda d, keys=(): class_auc(d, keys=keys)) if per_class else (lambda d, keys=(): multiclass_auc(d, keys=keys).withColumn("class", F.lit("all")))
+        base = area(fitted.probabilities(cached)).select("class", F.col("auc").alias("_base"))
+        told = probabilities_to_long(scored, fitted.classes).withColumns({"idx": F.col("sample._idx"), "repeat": F.col("sample._repeat")})
+        parts = area(told, group).select("class", *group, F.col("auc").alias("_now"))
+    else:
+        raise ValueError("metric must be accuracy or auc")
+    lost = F.col("_base") - F.col("_now")
+    return parts.join(base, "class").groupBy("class", "idx").agg(F.avg(lost).alias("importance"), F.stddev_samp(lost).alias("sd"))
 
 
 def partial_dependence(fitted: Fitted, rows: DataFrame, idx: int, grid: Sequence[float], key: str = "file",

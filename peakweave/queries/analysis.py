@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakweave.operators import cluster, distance, padjust, project, regression, reshape, tests
+from peakweave.operators import cluster, distance, padjust, pivots, project, regression, reshape, tests
 from peakweave.operators.impute_models import impute_forest, impute_knn, impute_low_rank
 from peakweave.operators.ordering import average_ranks
 from peakweave.queries.registry import CELLS_SQL, VECTORS_SQL, cells, cents, query, rounded, table, vectors
@@ -200,6 +200,45 @@ def _threshold(spark, sf):
     return cluster.threshold_clusters(v.select("file"), distance.pairwise_distance(v, at_most=1.1), 1.1)
 
 
+@query(
+    "near_clusters",
+    f"""WITH RECURSIVE {VECTORS_SQL}, w AS ({_WIDE}), e AS (SELECT i, j FROM w GROUP BY i, j HAVING sqrt(sum((x - y) * (x - y))) <= 1.1),
+e2 AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+reach(file, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e2.j, reach.root FROM reach JOIN e2 ON e2.i = reach.file)
+SELECT file, min(root) AS cluster FROM reach GROUP BY file""",
+)
+def _near_clusters(spark, sf):
+    return pivots.near_clusters(vectors(spark, sf), 1.1)
+
+
+# prices and quantities of the parts: rows whose distances pivots can bound
+_PLACES_SQL = "places AS (SELECT p_partkey AS file, [p_retailprice / 10.0, p_size * 1.0, (p_partkey % 7) * 1.0] AS x FROM part)"
+
+
+def _places(spark, sf):
+    part = table(spark, sf, "part")
+    return part.select(F.col("p_partkey").alias("file"), F.array(F.col("p_retailprice").cast("double") / 10.0, F.col("p_size") * F.lit(1.0), (F.col("p_partkey") % 7) * F.lit(1.0)).alias("x"))
+
+
+@query(
+    "near_pairs",
+    f"""WITH {_PLACES_SQL} SELECT a.file AS i, b.file AS j, round(list_distance(a.x, b.x), 8) AS value FROM places a JOIN places b ON a.file < b.file AND list_distance(a.x, b.x) <= 1.5005""",
+)
+def _near_pairs(spark, sf):
+    return rounded(pivots.near_pairs(_places(spark, sf), 1.5005).pairs, "value")
+
+
+@query(
+    "nearest_rows",
+    f"""WITH {_PLACES_SQL}, d AS (SELECT a.file, b.file AS n_id, list_distance(a.x, b.x) AS distance FROM places a, places b),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(distance, 9), n_id) AS rank FROM d)
+SELECT file, rank, round(distance, 8) AS distance FROM r WHERE rank <= 5""",
+)
+def _nearest_rows(spark, sf):
+    v = _places(spark, sf)
+    return rounded(pivots.nearest(v, v, 5).pairs.select("file", F.col("rank").cast("long").alias("rank"), "distance"), "distance")
+
+
 @query("kmeans_elbow")
 def _elbow(spark, sf):
     return cluster.kmeans_elbow(reshape.to_vectors(vectors(spark, sf)), [1, 2, 5, 10], starts=2)
@@ -305,6 +344,23 @@ def _kruskal(spark, sf):
     return rounded(tests.kruskal(cells(spark, sf), "plastic_type", classes=_classes()).drop("p_value"), "h", digits=7)
 
 
+_ERFC = """1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 70), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest(z, 1e-9)) - lgamma(k + 1)) / (2 * k + 1)))"""
+
+
+@query(
+    "kruskal_p",
+    f"""WITH {CELLS_SQL}, k AS (SELECT feature, plastic_type, value, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rk FROM cells),
+g AS (SELECT feature, plastic_type, count(*) AS n, sum(rk) AS s FROM k GROUP BY ALL),
+t AS (SELECT feature, sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT feature, value, count(*) AS c FROM cells GROUP BY ALL) GROUP BY feature),
+h AS (SELECT feature, count(*) - 1 AS df, greatest((12 * sum(s * s / n) / (sum(n) * (sum(n) + 1)) - 3 * (sum(n) + 1)) / (1 - any_value(ties) / (sum(n) ** 3 - sum(n))), 0) AS h
+  FROM g JOIN t USING (feature) GROUP BY feature HAVING count(*) > 1),
+z AS (SELECT *, sqrt(h / 2) AS z FROM h)
+SELECT feature, round(CASE df WHEN 1 THEN {_ERFC} WHEN 2 THEN exp(-h / 2) WHEN 3 THEN {_ERFC} + sqrt(2 * h / pi()) * exp(-h / 2) ELSE exp(-h / 2) * (1 + h / 2) END, 6) AS p_value FROM z""",
+)
+def _kruskal_p(spark, sf):
+    return rounded(tests.kruskal(cells(spark, sf), "plastic_type").select("feature", "p_value"), "p_value", digits=6)
+
+
 _ORDER_GROUPS = "g AS (SELECT o_orderstatus AS feature, o_orderpriority AS cls, round(o_totalprice * 100) AS value FROM orders)"
 
 

@@ -237,6 +237,47 @@ def _permutation(spark, sf):
     return selection.permutation_importance(_small_forest(train, "label"), test, range(64), repeats=10)
 
 
+@query("permutation_importance_auc")
+def _permutation_auc(spark, sf):
+    """Areas lost by each class, for the ten strongest features."""
+    train, test = _train_test(spark, sf)
+    forest = _small_forest(train, "label")
+    return selection.permutation_importance(forest, test, selection.ranked_features(forest)[:10], repeats=10, per_class=True, metric="auc")
+
+
+_CLASS_AREAS_SQL = """WITH p AS (SELECT o_orderstatus AS key, o_orderkey AS sample, 'c' || o_orderkey % 3 AS actual, 'c' || c AS class, (o_orderkey * (c + 7) * 7919 % 1009) / 1009.0 AS prob
+  FROM orders, range(3) t(c))"""
+
+
+def _class_probs(spark, sf):
+    """Made-up scores of three classes for each order, keyed by its status."""
+    each = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_orderkey").alias("sample"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("c"))
+    prob = (F.col("sample") * (F.col("c") + 7) * 7919 % 1009) / F.lit(1009.0)
+    return each.select("key", "sample", F.concat(F.lit("c"), (F.col("sample") % 3).cast("string")).alias("actual"), F.concat(F.lit("c"), F.col("c").cast("string")).alias("class"), prob.alias("prob"))
+
+
+@query(
+    "class_auc",
+    f"""{_CLASS_AREAS_SQL}, k AS (SELECT key, class, actual = class AS own, rank() OVER (PARTITION BY key, class ORDER BY prob) + (count(*) OVER (PARTITION BY key, class, prob) - 1) / 2.0 AS rk FROM p)
+SELECT key, class, round((sum(rk) FILTER (own) - count(*) FILTER (own) * (count(*) FILTER (own) + 1) / 2.0) / (count(*) FILTER (own) * count(*) FILTER (NOT own)), 9) AS auc FROM k GROUP BY ALL""",
+)
+def _class_auc(spark, sf):
+    return rounded(metrics.class_auc(_class_probs(spark, sf), keys=["key"]), "auc", digits=9)
+
+
+@query(
+    "auc_by_key",
+    f"""{_CLASS_AREAS_SQL}, q AS (SELECT p.*, a.x AS label_a, a.y AS label_b FROM p, (SELECT 'c' || i AS x, 'c' || j AS y FROM range(3) a(i), range(3) b(j) WHERE i < j) a
+  WHERE class IN (a.x, a.y) AND actual IN (a.x, a.y)),
+k AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY key, label_a, label_b, class, prob) - 1) / 2.0 AS rk FROM q WINDOW w AS (PARTITION BY key, label_a, label_b, class ORDER BY prob)),
+areas AS (SELECT key, label_a, label_b, class, (sum(rk) FILTER (actual = class) - count(*) FILTER (actual = class) * (count(*) FILTER (actual = class) + 1) / 2.0) / (count(*) FILTER (actual = class) * count(*) FILTER (actual <> class)) AS u FROM k GROUP BY ALL),
+pairs AS (SELECT key, label_a, label_b, avg(u) AS u FROM areas GROUP BY ALL)
+SELECT key, round(avg(u), 9) AS auc FROM pairs GROUP BY key""",
+)
+def _auc_by_key(spark, sf):
+    return rounded(metrics.multiclass_auc(_class_probs(spark, sf), keys=["key"]), "auc", digits=9)
+
+
 @query("partial_dependence")
 def _dependence(spark, sf):
     train, test = _train_test(spark, sf)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakweave.operators import align, impute, match, normalize, summary
+from peakweave.operators import align, implicit, impute, match, normalize, summary
 from peakweave.operators.prevalence import feature_centroids
 from peakweave.queries.registry import (
     CELLS_SQL,
@@ -254,6 +254,39 @@ def _lod(spark, sf):
     return _filled(impute.impute_blank_lod(_cells(spark, sf), peaks(spark, sf)))
 
 
+# implied cells: figures of the filled matrix without laying it out
+
+@query(
+    "implied_moments",
+    f"""{_GRID_SQL}, f AS (SELECT feature, min(CASE WHEN value > 0 THEN value END) / 2 AS fill FROM c GROUP BY feature), d AS (SELECT g.feature, value IS NULL AS gone, coalesce(value, fill) AS v FROM g JOIN f ON g.feature = f.feature)
+SELECT feature, CAST(count(*) FILTER (gone) AS BIGINT) AS n_absent, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS sd, round(min(v), 3) AS low, round(max(v), 3) AS high FROM d GROUP BY feature""",
+)
+def _implied_moments(spark, sf):
+    data = _cells(spark, sf)
+    found = implicit.implicit(data, impute.half_min_fills(data)).moments().drop("total")
+    return rounded(found.withColumn("n_absent", F.col("n_absent").cast("long")), "mean", "sd", "low", "high", digits=3)
+
+
+@query(
+    "implied_file_totals",
+    f"""{_GRID_SQL}, f AS (SELECT feature, avg(value) AS fill FROM c GROUP BY feature)
+SELECT file, round(sum(coalesce(value, fill)), 2) AS total FROM g JOIN f ON g.feature = f.feature GROUP BY file""",
+)
+def _implied_totals(spark, sf):
+    data = _cells(spark, sf)
+    return rounded(implicit.implicit(data, impute.mean_fills(data)).file_totals(), "total", digits=2)
+
+
+@query(
+    "implied_zscore",
+    f"""{_GRID_SQL}, d AS (SELECT file, g.feature, coalesce(value, 0) AS v FROM g), s AS (SELECT feature, avg(v) AS m, stddev_samp(v) AS sd FROM d GROUP BY feature)
+SELECT file, d.feature, round(CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END, 7) AS value FROM d JOIN s ON d.feature = s.feature""",
+)
+def _implied_zscore(spark, sf):
+    data = _cells(spark, sf)
+    return rounded(implicit.implicit(data, impute.zero_fills(data)).zscore().long().drop("imputed"), "value", digits=7)
+
+
 # normalisation ---------------------------------------------------------------------------------------------------
 
 _PLAIN = f"WITH {PEAKS_SQL}, c AS (SELECT file, feature, avg(value) AS value FROM peaks GROUP BY ALL)"
