@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.llm.frames import unused
 from peakweave.session import materialize
 
 # fixed values: kinds in their order, the pattern of each, and the length that the secret itself must have
@@ -138,14 +139,6 @@ def find_secrets(
     return rows.join(live, "mark", "left").select(F.col("id").alias(id_col), judged(F.col("base"), F.col("live")).alias("base"), more.alias("more"))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that the table does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def redact_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang",
     *, most_owners: int = 1, most_repos: int = 1, most_texts: int = 8, keep_examples: bool = False, tag: str = "[secret]",
@@ -153,12 +146,13 @@ def redact_secrets(
     """docs with each span of `find_secrets` in its text replaced by `tag`; all rows and columns stay, null text stays null.
 
     With `keep_examples`, base spans that are not live stay as they are. Only rows with a base span or a candidate meet the
-    ownership table; the others are passed on where they are read.
+    ownership table; the others are passed on as they were read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own, asks, owned, based, further = (unused(docs, name) for name in ("mark", "asks", "live", "base_spans", "candidate_spans"))
     rows = docs.withColumns({own: mark(id_col, text), based: base_spans(text)}).withColumn(further, candidate_spans(text, F.col(based)))
-    rows = rows.withColumn(asks, F.size(based) + F.size(further) > 0)
+    # texts with their spans are written once: patterns run once, and what follows reads only the columns it needs
+    rows = materialize(rows.withColumn(asks, F.size(based) + F.size(further) > 0), "secrets-rows")
     asking = rows.where(F.col(asks)).select(
         F.col(own).alias("mark"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.xxhash64(text).alias("copy"),
         F.concat(F.col(based)["key"], F.col(further)["key"]).alias("keys"),
