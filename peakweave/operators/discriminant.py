@@ -77,8 +77,7 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fold_sums(rows: DataFrame, label: str, folds: int, classes: Sequence[str], most_features: int = 4000) -> FoldSums:
     """Sums of rows (label, fold, features). Products of every two features come to the driver once per fold, so `most_features` bounds them."""
-    shift = rows.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
-    shift = np.zeros(0) if shift is None else shift.toArray()
+    shift = np.zeros(0) if rows.isEmpty() else rows.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
     width, k = len(shift), len(classes)
     if width > most_features:
         raise ValueError(f"more than {most_features} features: rank them first, or search with a classifier's own fits")

@@ -12,12 +12,11 @@ import pandas as pd
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.distance import _id_type, _stack, block_count, column_ranges, gower_block, with_block
+from peakweave.operators.project import leading_components
 from peakweave.session import cut_lineage
 
 
@@ -141,10 +140,10 @@ def _relative_change(old: DataFrame, new: DataFrame, key: str, array: str) -> fl
 def impute_low_rank(
     rows: DataFrame, rank: int = 5, lam: float = 1.0, thresh: float = 1e-5, maxit: int = 100, key: str = "file", array: str = "x",
 ) -> DataFrame:
-    """Fill cells from a soft-thresholded singular value decomposition, refitted until the fit settles.
+    """Fill cells from a soft-thresholded singular value decomposition, refitted until the fit settles; raises if it does not in `maxit` rounds.
 
     Each round decomposes the filled matrix, shrinks the singular values by lambda and refills the gaps from the
-    reconstruction; measured cells never change. Rounds are checkpointed.
+    reconstruction; measured cells never change. Rounds are checkpointed. Only `rank` and a few more vectors meet the rows (`project.leading_components`).
     """
     means = F.array(*[F.lit(m) for m in _column_means(rows, array)])
     current = cut_lineage(
@@ -152,11 +151,10 @@ def impute_low_rank(
             array, F.transform(array, lambda v, i: F.coalesce(v, F.element_at(means, i + 1)))
         )
     )
+    count = current.count()
     for _ in range(maxit):
-        matrix = RowMatrix(current.select(array).rdd.map(lambda r: OldVectors.dense(r[0])))
-        svd = matrix.computeSVD(rank, computeU=False)
-        v = np.asarray(svd.V.toArray())
-        s = np.asarray(svd.s.toArray())
+        found = leading_components(current, rank, center=False, array=array, tol=1e-7)
+        v, s = found.basis, np.sqrt(found.variances * max(count - 1, 1))
         shrink = np.maximum(s - lam, 0.0) / np.where(s > 0, s, 1.0)
         # reconstruction of a row: x V diag(shrink) V'
         basis, weights = v, shrink
@@ -174,5 +172,5 @@ def impute_low_rank(
         change = _relative_change(current, step, key, array)
         current = step
         if change < thresh:
-            break
-    return current.drop("_gap")
+            return current.drop("_gap")
+    raise RuntimeError(f"the fit did not settle in {maxit} rounds")

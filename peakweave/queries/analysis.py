@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakweave.operators import cluster, distance, padjust, pivots, project, regression, reshape, tests
+from peakweave.operators import cluster, distance, medoids, padjust, pivots, project, regression, reshape, tests
 from peakweave.operators.impute_models import impute_forest, impute_knn, impute_low_rank
 from peakweave.operators.ordering import average_ranks
 from peakweave.queries.registry import CELLS_SQL, VECTORS_SQL, cells, cents, query, rounded, table, vectors
@@ -251,8 +251,7 @@ def _bisecting(spark, sf):
 
 @query("k_medoids")
 def _medoids(spark, sf):
-    v = vectors(spark, sf)
-    return cluster.k_medoids(distance.pairwise_distance(v), v.select("file"), 6)
+    return medoids.k_medoids_of(vectors(spark, sf), 6)
 
 
 @query("pca")
@@ -260,6 +259,23 @@ def _pca(spark, sf):
     return project.pca(reshape.to_vectors(vectors(spark, sf)), 3)[0]
 
 
+@query(
+    "pca_total_variance",
+    f"WITH {VECTORS_SQL}, s AS (SELECT feature, var_samp(value) AS v FROM vec GROUP BY feature) SELECT round(sum(v), 6) AS total, CAST(64 AS BIGINT) AS components, round(sum(v), 6) AS explained FROM s",
+)
+def _pca_total(spark, sf):
+    """Variances of all components together are the variance of all columns."""
+    found = project.leading_components(vectors(spark, sf), 64)
+    return spark.createDataFrame([(round(found.total, 6), len(found.variances), round(float(found.variances.sum()), 6))], "total double, components long, explained double")
+
+
+@query("wide_pca")
+def _wide_pca(spark, sf):
+    """Two components of every supplier's prices over all parts: as many columns as parts."""
+    rows, _ = reshape.to_rows(cells(spark, sf))
+    return project.wide_pca(rows, 2)[0]
+
+
 @query("pca_contributions")
 def _contrib(spark, sf):
     return project.pca_contributions(project.pca(reshape.to_vectors(vectors(spark, sf)), 2, scale=True)[1], 10)
@@ -509,4 +525,4 @@ def _impute_forest(spark, sf):
 
 @query("impute_low_rank")
 def _impute_low_rank(spark, sf):
-    return impute_low_rank(reshape.to_rows(_orders(spark, sf), fill=None)[0], rank=2, maxit=5)
+    return impute_low_rank(reshape.to_rows(_orders(spark, sf), fill=None)[0], rank=2)
