@@ -70,19 +70,61 @@ def _index(df: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
     return df.withColumn("y", (at - 1).cast("double").alias("y", metadata=meta))
 
 
-def _normalised(scores):
-    """Scores of one-against-rest models squeezed to (0, 1) and made to add up to one."""
-    squeezed = F.transform(scores, lambda s: 1 / (1 + F.exp(-s)))
-    total = F.aggregate(squeezed, F.lit(0.0), lambda a, s: a + s)
-    return F.transform(squeezed, lambda s: s / total)
-
-
-def _scorer(model, label: str, key: str, classes: Sequence[str], raw: bool):
+def _to_one(scores):
+    """Non-negative scores made to add up to one."""
+    total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
+    return F.transform(scores, lambda s: s / total)
+
+
+def margin_curves(margins: DataFrame, classes: int, rounds: int = 50) -> list[tuple[float, float]]:
+    """(slope, offset) for each class of the logistic curve from its margin to its probability, fitted to rows (y, raw) by Newton steps.
+
+    Each step is one sum over the rows for all classes. As usual for such curves, a class with n members among m rows is fitted to (n + 1) / (n + 2)
+    for members and 1 / (m - n + 2) for others, so that margins that part the rows perfectly give no infinite slope.
+    """
+    each = cut_lineage(margins.select("y", F.posexplode("raw").alias("c", "m")).select("c", "m", (F.col("y") == F.col("c")).alias("own")))
+    found = {r["c"]: (r["n"], r["own"]) for r in each.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("int")).alias("own")).collect()}
+    curves = {c: np.array([1.0, 0.0]) for c in found}
+    high = {c: (own + 1) / (own + 2) for c, (_, own) in found.items()}
+    low = {c: 1 / (n - own + 2) for c, (n, own) in found.items()}
+    pick = lambda of: F.element_at(F.array(*(F.lit(float(of(c))) for c in range(classes))), F.col("c") + 1)
+    at = lambda table, i=None: pick(lambda c: (table[c] if i is None else table[c][i]) if c in table else 0.0)
+    losses: dict[int, float] = {}
+    tried, step = dict(curves), {}
+    for _ in range(rounds):
+        z = at(tried, 0) * F.col("m") + at(tried, 1)
+        t = F.when(F.col("own"), at(high)).otherwise(at(low))
+        p = 1 / (1 + F.exp(-z))
+        w = p * (1 - p)
+        # log(1 + exp(z)) without overflow
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
+        sums = each.groupBy("c").agg(F.sum(loss), F.sum((p - t) * F.col("m")), F.sum(p - t), F.sum(w * F.col("m") * F.col("m")), F.sum(w * F.col("m")), F.sum(w)).collect()
+        moving = False
+        for c, cost, ga, gb, haa, hab, hbb in sums:
+            if c in losses and cost > losses[c] + 1e-12 * abs(losses[c]):  # too far: half the step
+                step[c] = step[c] / 2
+            else:
+                curves[c], losses[c] = tried[c], cost
+                step[c] = -np.linalg.solve(np.array([[haa + 1e-10, hab], [hab, hbb + 1e-10]]), [ga, gb])
+            moving = moving or np.abs(step[c]).max() > 1e-8 * (1 + np.abs(curves[c]).max())
+            tried[c] = curves[c] + step[c]
+        if not moving:
+            break
+    return [tuple(map(float, curves.get(c, (1.0, 0.0)))) for c in range(classes)]
+
+
+def _scorer(model, label: str, key: str, classes: Sequence[str], curves: Sequence[tuple[float, float]] | None = None):
+    """Probabilities of the model, or with `curves` those of its margins."""
     names = F.array(*[F.lit(c) for c in classes])
 
     def score(rows: DataFrame) -> DataFrame:
         out = model.transform(rows)
-        probs = _normalised(vector_to_array("rawPrediction")) if raw else vector_to_array("probability")
+        if curves is None:
+            probs = vector_to_array("probability")
+        else:
+            slope, offset = (F.array(*(F.lit(float(c[i])) for c in curves)) for i in range(2))
+            raw = vector_to_array("rawPrediction")
+            probs = _to_one(F.transform(raw, lambda m, i: 1 / (1 + F.exp(-(F.get(slope, i) * m + F.get(offset, i))))))
         return out.select(
             F.col(key).alias("sample"),
             F.col(label).cast("string").alias("actual"),
@@ -93,14 +135,13 @@ def _scorer(model, label: str, key: str, classes: Sequence[str], raw: bool):
     return score
 
 
-def cv_accuracies(build, rows: DataFrame, label: str, key: str, classes: Sequence[str], raw: bool, k: int, fold: str = "fold") -> list[float]:
+def cv_accuracies(build, rows: DataFrame, label: str, key: str, classes: Sequence[str], k: int, fold: str = "fold") -> list[float]:
     """Accuracy of each fold for one setting; rows carry the fold column."""
-    out = []
+    names, out = F.array(*[F.lit(c) for c in classes]), []
     for f in range(k):
         train, test = rows.filter(F.col(fold) != f), rows.filter(F.col(fold) == f)
-        model = build().fit(train)
-        scored = _scorer(model, label, key, classes, raw)(test)
-        row = scored.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()
+        guess = F.element_at(names, (F.col("prediction") + 1).cast("int"))
+        row = build().fit(train).transform(test).agg(F.avg((F.col(label).cast("string") == guess).cast("double"))).first()
         if row[0] is not None:
             out.append(float(row[0]))
     return out
@@ -110,22 +151,25 @@ def tune(
     builders: Sequence[tuple[dict, Callable[[], object]]], df: DataFrame, label: str, key: str = "file", raw: bool = False,
     folds: int | None = None, seed: int = 123,
 ) -> Fitted:
-    """Fit the setting with the best cross-validated accuracy; a single setting is fitted straight away."""
+    """Fit the setting with the best cross-validated accuracy; a single setting is fitted straight away.
+
+    Models that give margins only (`raw`) get probabilities from logistic curves, fitted to the margins of one fold by the model of the others.
+    """
     classes = label_names(df, label)
     rows = _index(df.select(key, label, "features"), label, classes)
-    if len(builders) == 1:
-        # solvers pass over the rows many times: they are written once, whatever led to them
-        model = builders[0][1]().fit(cut_lineage(rows))
-        return Fitted(model, classes, builders[0][0], None, _scorer(model, label, key, classes, raw))
     k = folds or DEFAULT_FOLDS
-    rows = cut_lineage(stratified_folds(rows, label, k, seed, (key,)))
-    scored = [
-        (float(np.mean(cv_accuracies(build, rows, label, key, classes, raw, k) or [0.0])), settings, build)
-        for settings, build in builders
-    ]
-    best, settings, build = max(scored, key=lambda s: s[0])
+    # solvers pass over the rows many times: they are written once, whatever led to them
+    rows = cut_lineage(stratified_folds(rows, label, k, seed, (key,)) if raw or len(builders) > 1 else rows)
+    best, settings, build = None, *builders[0]
+    if len(builders) > 1:
+        scored = [(float(np.mean(cv_accuracies(build, rows, label, key, classes, k) or [0.0])), settings, build) for settings, build in builders]
+        best, settings, build = max(scored, key=lambda s: s[0])
+    curves = None
+    if raw:
+        part = build().fit(rows.filter("fold != 0")).transform(rows.filter("fold = 0"))
+        curves = margin_curves(part.select("y", vector_to_array("rawPrediction").alias("raw")), len(classes))
     model = build().fit(rows)
-    return Fitted(model, classes, settings, best, _scorer(model, label, key, classes, raw))
+    return Fitted(model, classes, settings, best, _scorer(model, label, key, classes, curves))
 
 
 def _width(df: DataFrame) -> int:
@@ -270,7 +314,7 @@ def fold_scores(df: DataFrame, label: str, settings: Sequence[dict], key: str =
     out: list[float] = []
     for s in settings:
         build = lambda s=s: RandomForestClassifier(labelCol="y", featuresCol="features", seed=seed, maxDepth=max_depth, **s)
-        out += cv_accuracies(build, rows, label, key, classes, False, k)
+        out += cv_accuracies(build, rows, label, key, classes, k)
     return out
 
 

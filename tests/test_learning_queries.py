@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from peakweave.operators import discriminant, selection
+from peakweave.operators import discriminant, models, selection
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
@@ -115,3 +115,27 @@ def test_scores_on_test_rows_and_strengths(spark):
 @needs_tables
 def test_all_sets_are_refitted(spark):
     assert [r.top_n for r in entry.queries()["refit_top"](spark, SF).collect()] == list(selection.TOP_SETS)
+
+
+def test_margin_curves_equal_a_direct_fit(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 3, 400)
+    raw = rng.normal(0, 1, (400, 3)) + 1.5 * (y[:, None] == np.arange(3))
+    raw[:, 2] = np.where(y == 2, 5.0, -5.0)  # parted perfectly
+    df = spark.createDataFrame([(float(c), m.tolist()) for c, m in zip(y, raw, strict=True)], "y double, raw array<double>")
+    got = models.margin_curves(df, 3)
+    for c in range(3):
+        own, m = y == c, raw[:, c]
+        t = np.where(own, (own.sum() + 1) / (own.sum() + 2), 1 / ((~own).sum() + 2))
+        p = 1 / (1 + np.exp(-(got[c][0] * m + got[c][1])))
+        assert abs(((p - t) * m).sum()) < 1e-5 and abs((p - t).sum()) < 1e-5  # the gradient is 0
+    assert all(a > 0 for a, _ in got)
+
+
+def test_machine_probabilities_add_up_and_follow_the_classes(spark):
+    _, _, _, df = rows_with_signal(spark, 120)
+    fitted = models.linear_svm_ovr(df.drop("fold"), "label", costs=[1.0], max_iter=20)
+    rows = fitted.score(df).collect()
+    assert all(abs(sum(r.probs) - 1) < 1e-9 and min(r.probs) >= 0 for r in rows)
+    own = np.mean([r.probs["abc".index(r.actual)] for r in rows])
+    assert own > 1 / 3 + 0.05 and {r.predicted for r in rows} <= set("abc")
