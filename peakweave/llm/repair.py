@@ -186,7 +186,8 @@ def repair_conversations(conversations: DataFrame, *, damage: bool = False, bloc
     first = laid.groupBy("conv_id", "digest").agg(F.min("position").alias("first")).select("first")
     marked = laid.select("conv_id", "turn", "copies", "position", "initial", "kind").join(first, F.col("position") == F.col("first"), "left")
     marked = marked.select("conv_id", "turn", "copies", "position", "initial", "kind", F.col("first").isNotNull().alias("fresh"))
-    marked = marked.withColumn("block", F.shiftright("position", block_bits)).repartition("block").sortWithinPartitions("position")
+    # a number of tasks by hand: the rows are small, but searching them is not
+    marked = marked.withColumn("block", F.shiftright("position", block_bits)).repartition(tasks, "block").sortWithinPartitions("position")
 
     long = T.LongType()
     counts = ("blank", "duplicate", "truncated", "illegal")
