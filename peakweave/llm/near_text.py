@@ -26,8 +26,8 @@ CHUNKS = POSITIONS // CHUNK
 FARTHEST = 24
 #: Rows of one key that one task compares with each other or with as many others.
 BLOCK = 1024
-#: A second, longer signature of four-bit symbols decides which pairs of one key are compared in full: those whose
-#: estimated similarity is not more than SLACK standard deviations below the threshold.
+#: Pairs of one key that differ in at most GUARANTEED symbols are compared in full. Of those that differ in more, a second, longer signature of
+#: four-bit symbols decides: those whose estimated similarity is not more than SLACK standard deviations below the threshold.
 WIDE, SLACK = 1024, 4.3
 
 _RANDOM = np.random.default_rng(40)
@@ -198,7 +198,8 @@ def slices_by_pairs(rows: pa.RecordBatch, most: int = 1 << 20) -> list[pa.Record
 
 def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the pairs of one key, and how many wide symbols they share, that are to be compared in full: not yet in one component, of sizes and wide
-    signatures that leave room for a link. A pair that shares several keys is left to the first of them."""
+    signatures that leave room for a link; wide signatures have no say where the signatures differ in at most GUARANTEED symbols. A pair that shares
+    several keys is left to the first of them."""
     number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
     key, n, component, block, crossed = (number(c) for c in ("key", "n", "component", "block", "crossed"))
     symbols, wide = rows_of(rows.column("symbols"), np.uint16), rows_of(rows.column("wide"), np.uint8)
@@ -220,7 +221,8 @@ def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndar
         own = np.take_along_axis(agree, chunk, axis=1)[:, 0]
         keep = np.flatnonzero(~earlier & ((own < CHUNK) | (erased == 0)))
         near = _AGREE[wide[a[keep]] ^ wide[b[keep]]].sum(axis=1, dtype=np.int64)
-        keep, near = keep[near >= least], near[near >= least]
+        compared = (near >= least) | (agree[keep].sum(axis=1) >= POSITIONS - GUARANTEED)
+        keep, near = keep[compared], near[compared]
         out.append((a[keep], b[keep], near))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*out, strict=True)) or [(), (), ()]))
 
@@ -268,8 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one node. Nodes are filed under the keys of their signature. First, each key's nodes are paired with one
     of them, its centre, and confirmed links are contracted, which settles groups of copies in linear work. Then nodes of
-    one key that are not yet in the same component are compared in blocks: a longer signature rules out most pairs inside the
-    task, and only those it can't rule out come out, each once. Of these, the closest of each two components are confirmed first,
+    one key that are not yet in the same component are compared in blocks: of pairs beyond the guaranteed distance, a longer signature rules out
+    most inside the task, and only those it can't rule out come out, each once. Of these, the closest of each two components are confirmed first,
     then those whose components are still apart. Every link is confirmed on the whole sets.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null id take part,
