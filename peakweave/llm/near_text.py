@@ -29,6 +29,9 @@ BLOCK = 1024
 #: Pairs of one key that differ in at most GUARANTEED symbols are compared in full. Of those that differ in more, a second, longer signature of
 #: four-bit symbols decides: those whose estimated similarity is not more than SLACK standard deviations below the threshold.
 WIDE, SLACK = 1024, 4.3
+#: A bit for each of so many buckets of shingles: whether a set has an odd number of shingles there. Sets differ in at least as many shingles as
+#: bits, so pairs with too many differing bits can't be links; nothing that could be one is lost.
+ODD = 2048
 
 _RANDOM = np.random.default_rng(40)
 _FLIP = _RANDOM.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -62,6 +65,12 @@ def wide_signatures(sets: list[np.ndarray]) -> np.ndarray:
     return low[:, 0::2] | (low[:, 1::2] << 4)
 
 
+def odd_buckets(members: np.ndarray) -> bytes:
+    """The bits of ODD buckets of one set."""
+    bucket = (mixed(members) >> np.uint64(20)).astype(np.int64) % ODD
+    return np.packbits((np.bincount(bucket, minlength=ODD) & 1).astype(np.uint8)).tobytes()
+
+
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     """Per row, CHUNKS * CHUNK keys: chunk number, erased symbol, and the three symbols left, as one number each."""
     parts = symbols.reshape(len(symbols), CHUNKS, CHUNK).astype(np.int64)
@@ -138,7 +147,7 @@ def may_link(left: str, right: str, percent: int) -> Column:
 
 
 def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, members, wide) of the wanted nodes, each made once from the text of one row that has its set."""
+    """(node, members, wide, odd) of the wanted nodes, each made once from the text of one row that has its set."""
     wanted = nodes.join(wanted, "node", "left_semi").select("node", "first_id")
     texts = docs.join(wanted, docs[id_col].eqNullSafe(wanted["first_id"])).select("node", F.col(text_col).alias("text"))
 
@@ -151,9 +160,9 @@ def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                 own = [(node, s) for s, node in zip(sets, nodes, strict=True) if len(s) and mixed(s).sum(dtype=np.uint64) == np.uint64(node % (1 << 64))]
                 wide = wide_signatures([s for _, s in own]) if own else ()
                 columns = [pa.array([n for n, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "members", "wide"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([odd_buckets(s) for _, s in own], pa.binary())], ["node", "members", "wide", "odd"])
 
-    sets = texts.mapInArrow(make, "node long, members binary, wide binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(make, "node long, members binary, wide binary, odd binary").dropDuplicates(["node"])
     return materialize(sets, "near-text-sets")
 
 
@@ -198,11 +207,11 @@ def slices_by_pairs(rows: pa.RecordBatch, most: int = 1 << 20) -> list[pa.Record
 
 def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the pairs of one key, and how many wide symbols they share, that are to be compared in full: not yet in one component, of sizes and wide
-    signatures that leave room for a link; wide signatures have no say where the signatures differ in at most GUARANTEED symbols. A pair that shares
-    several keys is left to the first of them."""
+    signatures that leave room for a link; wide signatures have no say where the signatures differ in at most GUARANTEED symbols, only the sizes and
+    odd buckets, which rule out no link. A pair that shares several keys is left to the first of them."""
     number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
     key, n, component, block, crossed = (number(c) for c in ("key", "n", "component", "block", "crossed"))
-    symbols, wide = rows_of(rows.column("symbols"), np.uint16), rows_of(rows.column("wide"), np.uint8)
+    symbols, wide, odd = rows_of(rows.column("symbols"), np.uint16), rows_of(rows.column("wide"), np.uint8), rows_of(rows.column("odd"), np.uint64)
     i, j = pairs_of_runs(run_ends(number("group")))
     good = (component[i] != component[j]) & (np.maximum(n[i], n[j]) * percent <= np.minimum(n[i], n[j]) * 100) & (~crossed[i] | (block[i] != block[j])) & (key[i] == key[j])
     i, j = i[good], j[good]
@@ -220,6 +229,9 @@ def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndar
         # of the ways of erasing a symbol of a chunk that agrees throughout, the first counts
         own = np.take_along_axis(agree, chunk, axis=1)[:, 0]
         keep = np.flatnonzero(~earlier & ((own < CHUNK) | (erased == 0)))
+        both = n[a[keep]] + n[b[keep]]
+        differ = np.bitwise_count(odd[a[keep]] ^ odd[b[keep]]).sum(axis=1, dtype=np.int64)
+        keep = keep[(both - differ) * (100 + percent) >= 2 * percent * both]
         near = _AGREE[wide[a[keep]] ^ wide[b[keep]]].sum(axis=1, dtype=np.int64)
         compared = (near >= least) | (agree[keep].sum(axis=1) >= POSITIONS - GUARANTEED)
         keep, near = keep[compared], near[compared]
@@ -228,14 +240,14 @@ def close_pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndar
 
 
 def pairs_within_keys(open_rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, near, ca, cb), with the shared wide symbols and both components, from rows (key, node, component, n, symbols, wide, rows): keys are cut into blocks, and each task compares the
+    """(a, b, near, ca, cb), with the shared wide symbols and both components, from rows (key, node, component, n, symbols, wide, odd, rows): keys are cut into blocks, and each task compares the
     rows of one block, or of two, in bulk. Only pairs that need a full comparison come out."""
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(9)), blocks).cast("int")
     dealt = open_rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # in a group of two blocks, only rows of different blocks meet
     dealt = dealt.withColumns({"group": F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")), "crossed": F.col("block") != F.col("other")})
-    dealt = dealt.select("group", "key", "node", "component", "n", "symbols", "wide", "block", "crossed")
+    dealt = dealt.select("group", "key", "node", "component", "n", "symbols", "wide", "odd", "block", "crossed")
     tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches):
@@ -270,8 +282,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one node. Nodes are filed under the keys of their signature. First, each key's nodes are paired with one
     of them, its centre, and confirmed links are contracted, which settles groups of copies in linear work. Then nodes of
-    one key that are not yet in the same component are compared in blocks: of pairs beyond the guaranteed distance, a longer signature rules out
-    most inside the task, and only those it can't rule out come out, each once. Of these, the closest of each two components are confirmed first,
+    one key that are not yet in the same component are compared in blocks: parities of buckets rule out most pairs that are no links
+    inside the task, and a longer signature others beyond the guaranteed distance; only what is left comes out, each pair once. Of these, the closest of each two components are confirmed first,
     then those whose components are still apart. Every link is confirmed on the whole sets.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null id take part,
@@ -303,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_rows = materialize(placed.join(materialize(apart, "near-text-apart"), "key", "left_semi"), "near-text-open")
     sets = node_sets(open_rows.select("node").distinct(), nodes, docs, id_col, text_col)
-    described = nodes.select("node", "n", "symbols").join(sets.select("node", "wide"), "node")
+    described = nodes.select("node", "n", "symbols").join(sets.select("node", "wide", "odd"), "node")
     more = pairs_within_keys(open_rows.join(materialize(described, "near-text-described"), "node"), percent)
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "near-text-more")
     if not more.isEmpty():
