@@ -19,7 +19,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from peakweave.llm.byte_bpe import PrefixTable, codec, decode_documents, encode_documents, round_trip_digests  # noqa: E402
 from peakweave.llm.components import connected_components  # noqa: E402
 from peakweave.llm.exact import exact_duplicates  # noqa: E402
-from peakweave.llm.near_text import CHUNK, CHUNKS, GUARANTEED, ODD, POSITIONS, WIDE, chunk_keys, close_pairs, near_duplicates, odd_buckets  # noqa: E402
+from peakweave.llm.near_text import CHUNK, CHUNKS, GUARANTEED, POSITIONS, WIDE, chunk_keys, close_pairs, near_duplicates, odd_buckets  # noqa: E402
 from peakweave.llm.packing import hilbert_key, pack_documents  # noqa: E402
 from peakweave.llm.quality import fit, fit_quality, line_features, marginals, score_quality  # noqa: E402
 from peakweave.llm.queries import QUERIES  # noqa: E402
@@ -165,7 +165,7 @@ def test_pairs_within_the_guarantee_are_compared_whatever_the_longer_signature(e
     b[[i * 7 % POSITIONS for i in range(errors)]] += 1000  # spread over all chunks
     symbols = np.array([a, b])
     shared = np.intersect1d(*chunk_keys(symbols))
-    rows = [{"key": k, "group": k, "n": 100, "component": c, "node": c, "block": 0, "crossed": False, "symbols": symbols[c].tobytes(), "wide": bytes([17 * c]) * (WIDE // 2), "odd": bytes(ODD // 8)}
+    rows = [{"key": k, "group": k, "n": 100, "component": c, "node": c, "block": 0, "crossed": False, "symbols": symbols[c].tobytes(), "wide": bytes([17 * c]) * (WIDE // 2), "odd": bytes(256)}
             for k in shared.tolist() for c in (0, 1)]
     found = sum(len(close_pairs(pa.RecordBatch.from_pylist(rows[i : i + 2]), 75)[0]) for i in range(0, len(rows), 2))
     assert found == (errors <= GUARANTEED)
