@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.ordering import log_bucket, row_positions
@@ -31,7 +31,7 @@ _SLACK = 1 + 1e-6
 # what names a tile: its place, and its cell when it is cut
 _TILE = ("part", "tc", "ts", "cc", "cs")
 
-_ANCHOR_SCHEMA = "part int, rt double, mz double, a_rt double, a_mz double"
+_ANCHOR_SCHEMA = "setting int, part int, rt double, mz double, a_rt double, a_mz double"
 
 
 def _count_before(a_code: np.ndarray, a_key: np.ndarray, q_code: np.ndarray, q_key: np.ndarray) -> np.ndarray:
@@ -48,14 +48,46 @@ def _count_before(a_code: np.ndarray, a_key: np.ndarray, q_code: np.ndarray, q_k
     return out
 
 
+def first_reaching(values: np.ndarray, at_least: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each query, the first position from `start` on whose value is `at_least` or more; the number of values if there is none.
+
+    A tree of maxima is climbed and descended, so a query takes steps in the logarithm of the values, however many fall short.
+    """
+    depth = max(1, len(values) - 1).bit_length()
+    level = np.full(1 << depth, -np.inf)
+    level[: len(values)] = values
+    tree = [level]
+    for _ in range(depth):
+        tree.append(np.maximum(tree[-1][0::2], tree[-1][1::2]))
+    at = start.astype(np.int64).copy()
+    height = np.full(len(at), -1)
+    open_ = np.flatnonzero(at < len(level))
+    for k in range(depth + 1):
+        # a node that begins its parent is left to the parent, but for the root
+        asked = open_ if k == depth else open_[at[open_] % 2 == 1]
+        hit = tree[k][at[asked]] >= at_least[asked]
+        height[asked[hit]] = k
+        at[asked[~hit]] += 1
+        open_ = open_[height[open_] < 0]
+        if k < depth:
+            at[open_] //= 2
+            open_ = open_[at[open_] < len(tree[k + 1])]
+    for k in range(depth, 0, -1):
+        down = np.flatnonzero(height == k)
+        left = 2 * at[down]
+        at[down] = np.where(tree[k - 1][left] >= at_least[down], left, left + 1)
+        height[down] = k - 1
+    return np.where(height == 0, at, len(values))
+
+
 def first_anchor(
     rt: np.ndarray, mz: np.ndarray, own: np.ndarray, rt_tol: np.ndarray, mz_tol: float, tile: np.ndarray, base: np.ndarray
 ) -> np.ndarray:
     """For each own position, the index of the first position of its tile, in (rt, mz) order, whose box holds it.
 
     Positions come sorted by (tile, rt, mz); `base` is the first m/z strip of the tile. Many tiles are
-    searched at once, strip by strip: a search starts at the first anchor late enough and moves on until the m/z fits.
-    The own strip goes first, because its anchors nearly always fit and bound the other two searches.
+    searched at once, strip by strip: a search starts at the first anchor late enough and finds the first whose m/z fits.
+    The own strip goes first, because its anchors nearly always fit; in a neighbouring strip only one side of the m/z can fail.
     """
     strip = np.floor(mz / (mz_tol * _SLACK)).astype(np.int64)
     width = _TILE_MZ + 4
@@ -70,34 +102,43 @@ def first_anchor(
         wanted = code[q] + shift
         at = _count_before(a_code, a_key, wanted, rt[q])
         stop = np.searchsorted(a_code, wanted, side="right")
-        todo = np.arange(len(q))
+        todo = np.flatnonzero(at < stop)
+        # an anchor later than the best one known cannot win
+        todo = todo[order[at[todo]] < best[todo]]
+        if shift:
+            reach, needed = (a_mz + mz_tol, mz[q[todo]]) if shift < 0 else (mz_tol - a_mz, -mz[q[todo]])
+            found = first_reaching(reach, needed, at[todo])
+            todo, found = todo[found < stop[todo]], found[found < stop[todo]]
+            best[todo] = np.minimum(best[todo], order[found])
+            continue
+        at = at[todo]
         while len(todo):
-            # an anchor later than the best one known cannot win
-            live = at < stop[todo]
-            live[live] = order[at[live]] < best[todo[live]]
-            todo, at = todo[live], at[live]
             m, x = a_mz[at], mz[q[todo]]
             fits = (x <= m + mz_tol) & (x >= m - mz_tol)
             best[todo[fits]] = order[at[fits]]
             todo, at = todo[~fits], at[~fits] + 1
+            live = at < stop[todo]
+            live[live] = order[at[live]] < best[todo[live]]
+            todo, at = todo[live], at[live]
     return best
 
 
-def _search_tiles(rt_tols: Sequence[float], mz_tol: float, enough: int = 200_000):
-    """Search sorted tiles batch by batch: small tiles together, a tile always whole."""
-    tols = np.asarray(rt_tols, float)
+def _search_tiles(settings: Sequence[Sequence[float]], mz_tol: float, enough: int = 200_000):
+    """Search sorted tiles batch by batch, once for each setting: small tiles together, a tile always whole."""
+    tols = np.asarray(settings, float)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         part, rt, mz, ts, own = (rows[c].to_numpy() for c in ("part", "rt", "mz", "ts", "own"))
         new = np.zeros(len(rows), bool)
         new[0] = True
         for c in _TILE:
             v = rows[c].to_numpy()
             new[1:] |= v[1:] != v[:-1]
-        best = first_anchor(rt, mz, own, tols[part], mz_tol, np.cumsum(new) - 1, ts * _TILE_MZ)
-        return pd.DataFrame(
-            {"part": part[own], "rt": rt[own], "mz": mz[own], "a_rt": rt[best], "a_mz": mz[best]}
-        )
+        for setting, tol in enumerate(tols):
+            best = first_anchor(rt, mz, own, tol[part], mz_tol, np.cumsum(new) - 1, ts * _TILE_MZ)
+            yield pd.DataFrame(
+                {"setting": setting, "part": part[own], "rt": rt[own], "mz": mz[own], "a_rt": rt[best], "a_mz": mz[best]}
+            )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -112,23 +153,24 @@ def _search_tiles(rt_tols: Sequence[float], mz_tol: float, enough: int = 200_000
             last = np.logical_and.reduce([rows[c].to_numpy() == end[c] for c in _TILE])
             ready, rest = rows[~last], rows[last]
             if len(ready):
-                yield run(ready)
+                yield from run(ready)
             held, size = [rest], len(rest)
             limit = max(enough, 2 * size)
         if size:
-            yield run(pd.concat(held, ignore_index=True))
+            yield from run(pd.concat(held, ignore_index=True))
 
     return search
 
 
-def assign_anchors(points: DataFrame, rt_tols: Sequence[float], mz_tol: float, tile_rows: int = 1_000_000) -> DataFrame:
-    """Distinct (part, rt, mz) with the position of the anchor that claims them.
+def assign_anchors(points: DataFrame, settings: Sequence[Sequence[float]], mz_tol: float, tile_rows: int = 1_000_000) -> DataFrame:
+    """Distinct (part, rt, mz) with the position of the anchor that claims them, for each setting: a tolerance for every part.
 
-    A tile holds its own positions and a margin: earlier retention times and both m/z neighbours. A tile with more
+    Tiles are laid out for the largest tolerances and sorted once; all settings are searched in them. A tile holds its own positions and a margin: earlier retention times and both m/z neighbours. A tile with more
     than `tile_rows` positions is cut into single cells, each with the margin of a cell. A cell is one tolerance wide
     both ways, so its distinct positions are limited by the digits an instrument reports, not by the number of files.
     """
-    rt_tol = F.element_at(F.array(*[F.lit(float(t)) for t in rt_tols]), F.col("part") + 1)
+    largest = [max(tols) for tols in zip(*settings, strict=True)]
+    rt_tol = F.element_at(F.array(*[F.lit(float(t)) for t in largest]), F.col("part") + 1)
     tile_c, tile_s = F.floor(F.col("c") / _TILE_RT), F.floor(F.col("s") / _TILE_MZ)
     placed = points.withColumn("c", F.floor(F.col("rt") / (rt_tol * _SLACK))).withColumn(
         "s", F.floor(F.col("mz") / (mz_tol * _SLACK))
@@ -163,7 +205,22 @@ def assign_anchors(points: DataFrame, rt_tols: Sequence[float], mz_tol: float, t
     # an explicit number of partitions: the search costs far more than the bytes suggest
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = searched.repartition(parts, *_TILE).sortWithinPartitions(*_TILE, "rt", "mz")
-    return spread.mapInPandas(_search_tiles(list(rt_tols), mz_tol), _ANCHOR_SCHEMA)
+    return spread.mapInPandas(_search_tiles([list(s) for s in settings], mz_tol), _ANCHOR_SCHEMA)
+
+
+def _parts(run_type: str, rt: str, split_time: float | None, late: bool) -> Column:
+    """The part of a run that a peak is in; the parts are aligned apart."""
+    if run_type not in ("ATDGCMS", "HPLCTOFMS"):
+        raise ValueError("run_type must be ATDGCMS or HPLCTOFMS")
+    if run_type == "HPLCTOFMS" and (split_time is None or not late):
+        raise ValueError("HPLCTOFMS needs split_time and rt_tol_late")
+    return F.when(F.col(rt) > F.lit(split_time), 1).otherwise(0) if run_type == "HPLCTOFMS" else F.lit(0)
+
+
+def _positions(peaks: DataFrame, part: Column, rt: str, mz: str) -> DataFrame:
+    """Distinct (part, rt, mz) of the peaks that have a position."""
+    placed = peaks.filter(F.col(rt).isNotNull() & F.col(mz).isNotNull())
+    return placed.select(part.alias("part"), F.col(rt).cast("double").alias("rt"), F.col(mz).cast("double").alias("mz")).distinct()
 
 
 def align_features(
@@ -183,22 +240,12 @@ def align_features(
     With `split_time` early and late peaks are aligned apart, each with its own tolerance. Ids count the
     anchors in (rt, mz) order: `Compound_{n}.{type}`, or `Compound_RT1_{n}.{type}` and `Compound_RT2_{n}.{type}`.
     """
-    if run_type not in ("ATDGCMS", "HPLCTOFMS"):
-        raise ValueError("run_type must be ATDGCMS or HPLCTOFMS")
-    if run_type == "HPLCTOFMS" and (split_time is None or rt_tol_late is None):
-        raise ValueError("HPLCTOFMS needs split_time and rt_tol_late")
     split = run_type == "HPLCTOFMS"
-    part = F.when(F.col(rt) > F.lit(split_time), 1).otherwise(0) if split else F.lit(0)
+    peaks = df.withColumn("_part", _parts(run_type, rt, split_time, rt_tol_late is not None))
+    points = _positions(peaks, F.col("_part"), rt, mz)
     rt_tols = [rt_tol, rt_tol_late] if split else [rt_tol]
-
-    peaks = df.withColumn("_part", part)
-    points = (
-        peaks.filter(F.col(rt).isNotNull() & F.col(mz).isNotNull())
-        .select(F.col("_part").alias("part"), F.col(rt).cast("double").alias("rt"), F.col(mz).cast("double").alias("mz"))
-        .distinct()
-    )
     # read again to number the anchors, so the search must not run twice
-    claimed = materialize(assign_anchors(points, rt_tols, mz_tol, tile_rows), "anchors")
+    claimed = materialize(assign_anchors(points, [rt_tols], mz_tol, tile_rows), "anchors")
     anchors = claimed.select("part", "a_rt", "a_mz").distinct()
     numbered = row_positions(anchors, ["part"], ["a_rt", "a_mz"], log_bucket(F.col("a_rt"), 4096), "nr")
     middle = F.concat(F.lit("RT"), F.col("part") + 1, F.lit("_")) if split else F.lit("")
@@ -225,28 +272,28 @@ def alignment_sweep(
 ) -> DataFrame:
     """Per tolerance setting, the number of features overall and inside each benchmark's m/z window.
 
-    A good tolerance leaves one feature per benchmark. `scope` is `all` or the benchmark mass.
+    A good tolerance leaves one feature per benchmark. `scope` is `all` or the benchmark mass, `part` is `early` or, after
+    `split_time`, `late`. Positions are read and laid out once for all settings; features are counted by their anchors, without numbering them.
     """
-    results: list[DataFrame] = []
-    for early, late in settings:
-        aligned = align_features(df, early, mz_tol, split_time, late, run_type, rt, mz)
-        names = [F.struct(F.lit("all").alias("scope"))]
-        for b in benchmarks:
-            hit = F.col(mz).between(b - window, b + window)
-            names.append(F.when(hit, F.struct(F.lit(str(b)).alias("scope"))))
-        scoped = aligned.filter(F.col("feature").isNotNull()).withColumn(
-            "scope", F.explode(F.filter(F.array(*names), lambda s: s.isNotNull()))
-        )
-        stage = F.when(F.col(rt) > F.lit(split_time), "late").otherwise("early") if split_time is not None else F.lit("early")
-        results.append(
-            scoped.groupBy(F.col("scope.scope").alias("scope"), stage.alias("part"))
-            .agg(F.countDistinct("feature").alias("n_features"))
-            .select(F.lit(float(early)).alias("rt_tol"), F.lit(None if late is None else float(late)).cast("double").alias("rt_tol_late"), "scope", "part", "n_features")
-        )
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    split = run_type == "HPLCTOFMS"
+    part = _parts(run_type, rt, split_time, all(late is not None for _, late in settings))
+    points = materialize(_positions(df, part, rt, mz), "positions")
+    tols = [(early, late) if split else (early,) for early, late in settings]
+    claimed = assign_anchors(points, tols, mz_tol)
+    names = [F.struct(F.lit("all").alias("scope"))]
+    for b in benchmarks:
+        names.append(F.when(F.col("mz").between(b - window, b + window), F.struct(F.lit(str(b)).alias("scope"))))
+    scope = F.explode(F.filter(F.array(*names), lambda s: s.isNotNull()))
+    stage = F.when(F.col("rt") > F.lit(split_time), "late").otherwise("early") if split_time is not None else F.lit("early")
+    anchor = F.struct("part", "a_rt", "a_mz").alias("anchor")
+    counted = (
+        claimed.select("setting", scope.alias("named"), stage.alias("stage"), anchor)
+        .groupBy("setting", F.col("named.scope").alias("scope"), F.col("stage").alias("part"))
+        .agg(F.countDistinct("anchor").alias("n_features"))
+    )
+    of_setting = lambda values: F.element_at(F.array(*[F.lit(v).cast("double") for v in values]), F.col("setting") + 1)
+    early, late = zip(*settings, strict=True)
+    return counted.select(of_setting(early).alias("rt_tol"), of_setting(late).alias("rt_tol_late"), "scope", "part", "n_features")
 
 
 def brute_force_alignment(rows: Iterator[tuple], rt_tol: float, mz_tol: float) -> list[int]:

@@ -426,3 +426,18 @@ scopes(scope, lo, hi) AS (VALUES ('all', NULL, NULL), ('9100000.0', 9099000, 910
 def _sweep(spark, sf):
     data = positioned(spark, sf)
     return align.alignment_sweep(data.drop("feature"), [(5.0, None), (20.0, None)], 500.0, [9_100_000.0, 9_500_000.0], 1000.0)
+
+
+@query(
+    "alignment_sweep_split",
+    f"""WITH {POSITIONED_SQL}, pts AS (SELECT DISTINCT rt, mz, CASE WHEN rt > 2500 THEN 'late' ELSE 'early' END AS part, floor(mz / 501) AS cell FROM positioned),
+settings(rt_tol, rt_tol_late) AS (VALUES (10.0::DOUBLE, 5.0::DOUBLE), (40.0, 28.0), (20.0, 60.0)),
+scopes(scope, lo, hi) AS (VALUES ('all', NULL, NULL), ('9100000.0', 9099000, 9101000), ('9500000.0', 9499000, 9501000)),
+claim AS (SELECT rt_tol, rt_tol_late, q.part, q.rt, q.mz, min(struct_pack(rt := a.rt, mz := a.mz)) AS anchor
+  FROM pts q JOIN (SELECT rt, mz, part, unnest([cell - 1, cell, cell + 1]) AS cell FROM pts) a ON a.cell = q.cell AND a.part = q.part, settings
+  WHERE abs(q.rt - a.rt) <= CASE q.part WHEN 'late' THEN rt_tol_late ELSE rt_tol END AND abs(q.mz - a.mz) <= 500 GROUP BY ALL)
+SELECT rt_tol, rt_tol_late, scope, part, count(DISTINCT anchor) AS n_features FROM claim JOIN scopes s ON s.lo IS NULL OR mz BETWEEN s.lo AND s.hi GROUP BY ALL""",
+)
+def _sweep_split(spark, sf):
+    settings = [(10.0, 5.0), (40.0, 28.0), (20.0, 60.0)]
+    return align.alignment_sweep(positioned(spark, sf).drop("feature"), settings, 500.0, [9_100_000.0, 9_500_000.0], 1000.0, 2500.0, "HPLCTOFMS")

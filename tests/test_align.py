@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from peakweave.operators.align import align_features, alignment_sweep, brute_force_alignment
+from peakweave.operators.align import align_features, alignment_sweep, brute_force_alignment, first_anchor, first_reaching
 
 
 def peaks(seed):
@@ -77,3 +77,40 @@ def test_internal_standards_collapse(spark):
     df = spark.createDataFrame(data, "rt double, mz double")
     got = alignment_sweep(df, [(0.4, 0.28)], 0.0005, masses, 0.0005, 6.0, "HPLCTOFMS").filter("scope <> 'all'").collect()
     assert len(got) >= 5 and all(r["n_features"] == 1 for r in got)
+
+
+def test_first_reaching_equals_a_scan():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 8, 37, 200):
+        values, start = rng.integers(0, 30, n).astype(float), rng.integers(0, n + 1, 300)
+        at_least = rng.integers(0, 33, 300).astype(float)
+        want = [next((i for i in range(s, n) if values[i] >= x), n) for s, x in zip(start, at_least)]
+        assert first_reaching(values, at_least, start).tolist() == want
+
+
+def test_a_cell_of_200_000_positions():
+    """Anchors of the lower strip mostly too far away in m/z, so a walk from anchor to anchor would take billions of steps."""
+    rng = np.random.default_rng(6)
+    n, tol = 200_000, 1.0
+    rt = rng.random(n)
+    mz = np.where(rng.random(n) < 0.5, rng.random(n) * 0.01, 1.5 + rng.random(n) * 0.3)
+    order = np.lexsort((mz, rt))
+    rt, mz = rt[order], mz[order]
+    best = first_anchor(rt, mz, np.ones(n, bool), np.full(n, 0.5), tol, np.zeros(n, np.int64), np.zeros(n, np.int64))
+    for i in rng.integers(0, n, 300):
+        box = (rt >= rt[i] - 0.5) & (rt[i] + 0.5 >= rt) & (np.abs(mz - mz[i]) <= tol)
+        held = np.flatnonzero((rt[i] <= rt + 0.5) & box)
+        assert best[i] == held[0]
+
+
+def test_sweep_equals_one_alignment_after_another(spark):
+    rt, mz = (np.concatenate(x) for x in zip(peaks(0), peaks(2)))
+    df = spark.createDataFrame(list(zip(rt.tolist(), mz.tolist())), "rt double, mz double")
+    settings = [(0.1, 0.05), (0.3, 0.2), (0.05, 0.4)]
+    got = {(r["rt_tol"], r["rt_tol_late"], r["scope"], r["part"]): r["n_features"] for r in alignment_sweep(df, settings, 0.05, [0.2], 0.1, 0.5, "HPLCTOFMS").collect()}
+    for early, late in settings:
+        rows = align_features(df, early, 0.05, 0.5, late, "HPLCTOFMS").collect()
+        for scope, lo, hi in (("all", -1e9, 1e9), ("0.2", 0.2 - 0.1, 0.2 + 0.1)):
+            for part in ("early", "late"):
+                names = {r["feature"] for r in rows if lo <= r["mz"] <= hi and (r["rt"] > 0.5) == (part == "late")}
+                assert got.get((early, late, scope, part), 0) == len(names)
