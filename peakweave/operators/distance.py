@@ -277,7 +277,9 @@ def cross_moments(rows: DataFrame, array: str = "x", block_cols: int = 512, bloc
         total = rows.count()
         starts = list(range(0, width, block_cols))
         pairs = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo in starts for hi in starts if lo <= hi])
-        dealt = x.withColumn("_rows", F.pmod(F.xxhash64(array), F.lit(max(1, -(-total // block_rows))))).withColumn("_p", F.explode(pairs))
+        # by all columns, so that equal values of different samples are spread
+        block = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(max(1, -(-total // block_rows))))
+        dealt = rows.select(block.alias("_rows"), F.col(array).cast("array<double>").alias(array)).withColumn("_p", F.explode(pairs))
         part = lambda c: F.slice(array, F.col(f"_p.{c}") + 1, F.lit(block_cols))
         dealt = dealt.select("_rows", "_p.lo", "_p.hi", part("lo").alias("p"), part("hi").alias("q"))
         sums = dealt.groupBy("_rows", "lo", "hi").applyInPandas(of_blocks, spec)

@@ -7,6 +7,7 @@ import pytest
 
 from peakweave.functions import tails
 from peakweave.functions.shapiro import shapiro_wilk
+from peakweave.operators.distance import cross_moments
 from peakweave.operators.padjust import hommel_adjusted
 
 
@@ -101,3 +102,12 @@ def test_hommel_is_closed_simes_testing():
         if k % 3 == 0:
             p = np.round(p, 1)
         assert np.allclose(hommel_adjusted(p), closed_hommel(p))
+
+
+def test_cross_moments_of_equal_and_wide_rows(spark):
+    """Rows wider than a column block, most of them equal but for their id, with nulls: the same sums as in one block."""
+    same = [1.0, 0.0, None, 2.0, 5.0, 0.0]
+    data = [(i, same) for i in range(40)] + [(40 + i, [float(i), 1.0, 2.0, None, float(-i), 3.0]) for i in range(5)]
+    rows = spark.createDataFrame(data, "id int, x array<double>")
+    whole, cut = ({(r["a"], r["b"]): tuple(r)[2:] for r in cross_moments(rows, block_cols=c, block_rows=8).collect()} for c in (512, 2))
+    assert len(whole) == 15 and cut == whole
