@@ -300,7 +300,7 @@ def _forward(spark, sf):
 @query("recursive_elimination")
 def _rfe(spark, sf):
     train, test = _train_test(spark, sf)
-    return selection.recursive_elimination(train, test, "label", [64, 16], _small_forest, "test")
+    return selection.recursive_elimination(train, test, "label", [64, 16], _small_forest)
 
 
 @query("backward_elimination")
