@@ -62,8 +62,14 @@ def match_library(
 def annotate_and_average(
     values: DataFrame, hits: DataFrame, keys: Sequence[str], feature: str = "feature", value: str = "value",
 ) -> DataFrame:
-    """Mean value per feature, hit and class over features that have a hit."""
-    return values.join(hits, feature).groupBy(feature, *keys).agg(F.avg(value).alias("mean_value"))
+    """Mean value per feature, hit and class over features that have a hit.
+
+    A feature's means do not depend on its hits, so values are averaged once, and the means meet the hits.
+    """
+    hits = hits.select(feature, *[k for k in keys if k in hits.columns]).distinct()
+    classes = [k for k in keys if k not in hits.columns]
+    means = values.join(hits.select(feature), feature, "left_semi").groupBy(feature, *classes).agg(F.avg(value).alias("mean_value"))
+    return means.join(hits, feature).select(feature, *keys, "mean_value")
 
 
 def annotate_by_joined_name(

@@ -55,5 +55,5 @@ def identify(
     picked = values.join(important.select("feature"), "feature", "left_semi")
     centroids = feature_centroids(picked)
     hits = library_hits(centroids, library, tol)
-    named = hits.join(library.select("mass", "name"), "mass").select("feature", "name").distinct()
+    named = hits.join(library.select("mass", "name").distinct(), "mass").select("feature", "name").distinct()
     return annotate_and_average(values, named, ["name", label]), beyond_list(picked, hits)
