@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.ordering import running_extremes, value_positions
+from peakweave.session import materialize
 
 METHODS = ("bonferroni", "holm", "hochberg", "hommel", "BH", "BY", "fdr", "none")
 
@@ -69,76 +70,117 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 1000, small).otherwise(series)
 
 
-# Hommel's correction of one test depends on every other p-value of its family at once.
-MAX_HOMMEL_FAMILY = 1_000_000
+#: Distinct p-values of a family that one task adjusts, about.
+HOMMEL_PART = 1 << 18
 
 
-def hommel_adjusted(p: np.ndarray) -> np.ndarray:
-    """Hommel's adjusted p-values of sorted p-values.
+#: Passes over all points of a hull before the rest is walked point by point.
+HULL_PASSES = 40
 
-    The bound for the m largest, q_m = min_k m p_(n-m+k) / k with k >= 2, is m times the smallest slope from
-    (n-m, 0) to the points (j, p_j) beyond; a lower hull grown from the right gives it by bisection. q_m never
-    grows with m, so the best m for each p-value is found by bisection too.
-    """
-    n = len(p)
-    if n < 2:
-        return p.copy()
-    q = np.full(n + 1, np.inf)
+
+def lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points, with x rising, are vertices of their lower convex hull."""
+    kept = np.arange(len(x))
+    for _ in range(HULL_PASSES):
+        if len(kept) < 3:
+            return kept
+        u, v = x[kept], y[kept]
+        above = (v[1:-1] - v[:-2]) * (u[2:] - u[1:-1]) >= (v[2:] - v[1:-1]) * (u[1:-1] - u[:-2])
+        if not above.any():
+            return kept
+        # of two neighbours only one goes, as the other may become a vertex
+        above[1:] &= ~(above[:-1] & (np.arange(1, len(above)) % 2 == 1))
+        kept = np.concatenate([kept[:1], kept[1:-1][~above], kept[-1:]])
     hull: list[int] = []
+    for c in kept.tolist():
+        while len(hull) >= 2 and (y[hull[-1]] - y[hull[-2]]) * (x[c] - x[hull[-1]]) >= (y[c] - y[hull[-1]]) * (x[hull[-1]] - x[hull[-2]]):
+            hull.pop()
+        hull.append(c)
+    return np.array(hull)
 
-    def turns_up(a: int, b: int, c: int) -> bool:
-        return (p[b - 1] - p[a - 1]) * (c - a) >= (p[c - 1] - p[a - 1]) * (b - a)
 
-    for m in range(2, n + 1):
-        x0 = n - m
-        new = x0 + 2
-        while len(hull) >= 2 and turns_up(new, hull[-1], hull[-2]):
-            hull.pop()
-        hull.append(new)
-        lo, hi = 0, len(hull) - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            here, left = hull[mid], hull[mid + 1]
-            if p[here - 1] * (left - x0) <= p[left - 1] * (here - x0):
-                hi = mid
-            else:
-                lo = mid + 1
-        best = min(p[hull[t] - 1] / (hull[t] - x0) for t in (max(lo - 1, 0), lo, min(lo + 1, len(hull) - 1)))
-        q[m] = m * best
-    i = np.arange(1, n + 1)
-    out = np.maximum(p, np.min(n * p / i))
-    if n > 2:
-        m = np.arange(2, n)
-        late = np.minimum(m * p[n - m], q[2:n])
-        # best over m >= n-i+2 for the largest p-values
-        suffix = np.append(np.maximum.accumulate(late[::-1])[::-1], -np.inf)
-        from_m = np.maximum(n - i + 2, 2)
-        out = np.maximum(out, suffix[np.minimum(from_m, n) - 2])
-        last = np.minimum(n - i + 1, n - 1)
-        lo, hi = np.full(n, 1), last.copy()
-        for _ in range(int(np.ceil(np.log2(n))) + 2):
-            mid = (lo + hi + 1) // 2
-            ok = (mid >= 2) & (mid <= last) & (mid * p <= q[np.clip(mid, 0, n)])
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, np.maximum(mid - 1, lo))
-        first = np.where(lo >= 2, lo * p, -np.inf)
-        after = lo + 1
-        second = np.where((after >= 2) & (after <= last), np.minimum(after * p, q[np.clip(after, 0, n)]), -np.inf)
-        out = np.maximum(out, np.maximum(first, second))
-    return np.minimum(out, 1.0)
+def hommel_adjusted(p: np.ndarray) -> np.ndarray:
+    """Hommel's adjusted p-values of a family's sorted p-values."""
+    if len(p) < 2:
+        return p.copy()
+    x = np.arange(1.0, len(p) + 1)
+    kept = lower_hull(x, p)
+    return hommel_by_hull(p, x[kept], p[kept], len(p))
+
+
+def hommel_by_hull(p: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Hommel's adjusted p-values of some p-values of a family of n, from its hull (x, y).
+
+    The adjusted value of p is the greatest min(m p, q_m), q_m being the combined value of the m largest: m times the smallest
+    slope from (n-m, 0) to the points (j, p_(j)) beyond. That slope touches a vertex of the lower hull of all points, which of
+    them follows from where its edges meet the axis. As m p rises and q_m never does, the best m is found by bisection.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # where the edge from a vertex to the next meets the axis; edges without slope never do
+        rise = np.diff(y)
+        meets = np.where(rise > 0, x[1:] - y[1:] * np.diff(x) / rise, -np.inf)
+    meets = np.maximum.accumulate(meets) if len(meets) else meets
+
+    def combined(m: np.ndarray) -> np.ndarray:
+        at = n - m
+        first = np.searchsorted(x, at, side="right")
+        touch = np.maximum(np.searchsorted(meets, at, side="left"), first)
+        best = np.full(len(m), np.inf)
+        for near in (touch - 1, touch, touch + 1):
+            v = np.clip(near, first, len(x) - 1)
+            best = np.minimum(best, y[v] / (x[v] - at))
+        return m * best
+
+    lo, hi = np.ones(len(p), np.int64), np.full(len(p), n, np.int64)
+    while (lo < hi).any():
+        mid = (lo + hi + 1) // 2
+        below = mid * p <= combined(mid)
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid - 1)
+    out = np.minimum(lo * p, combined(lo))
+    after = np.minimum(lo + 1, n)
+    return np.minimum(np.maximum(np.maximum(out, np.minimum(after * p, combined(after))), p), 1.0)
 
 
 def hommel(table: DataFrame, family: Sequence[str], p: str) -> DataFrame:
-    """Add p_hommel to distinct p-values with their counts; a family must fit one task."""
-    fields = [*table.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", p_hommel double"
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        total = int(group["n"].sum())
-        if total > MAX_HOMMEL_FAMILY:
-            raise ValueError(f"a family of {total} tests is too large for Hommel's correction; use hochberg or BH")
-        group = group.sort_values(p)
-        counts = group["n"].to_numpy()
-        adjusted = hommel_adjusted(np.repeat(group[p].to_numpy(float), counts))
-        return group.assign(p_hommel=adjusted[np.cumsum(counts) - 1])
-
-    return table.groupBy(*family).applyInPandas(one, schema)
+    """Add p_hommel to distinct p-values with their counts (`value_positions`), for families of any size.
+
+    Tasks reduce the p-values they hold to a lower hull; the hulls of a family are merged, and every part of about HOMMEL_PART
+    distinct p-values is adjusted beside the merged one. A hull is a few points of many, unless the p-values themselves are convex.
+    """
+    family = list(family)
+    table = materialize(table, "hommel-places")
+    kinds = ", ".join(f"`{f}` {table.schema[f].dataType.simpleString()}" for f in family)
+    point = f"{kinds}, " * bool(family) + "_x double, _y double, _of long"
+
+    def hull_of(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_x", kind="stable")
+        return group.iloc[lower_hull(group["_x"].to_numpy(float), group["_y"].to_numpy(float))]
+
+    def local(batches):
+        for batch in batches:
+            if len(batch):
+                yield from (hull_of(g) for _, g in batch.groupby(family, dropna=False, sort=False)) if family else [hull_of(batch)]
+
+    points = table.select(*family, (F.col("n_before") + F.col("n")).cast("double").alias("_x"), F.col(p).cast("double").alias("_y"), F.col("n_total").alias("_of"))
+    hulls = points.mapInPandas(local, point).groupBy(*family).applyInPandas(hull_of, point)
+    sizes = table.groupBy(*family).agg(F.ceil(F.count(F.lit(1)) / HOMMEL_PART).alias("_parts"))
+    names = [F.col(f).alias(f"_k{i}") for i, f in enumerate(family)]
+    sizes = sizes.select(*names, "_parts")
+    same = F.lit(True)
+    for i, f in enumerate(family):
+        same = same & F.col(f).eqNullSafe(F.col(f"_k{i}"))
+    keys = [f"_k{i}" for i in range(len(family))]
+    dealt = table.join(sizes, same).withColumn("_part", F.pmod(F.xxhash64(p), F.col("_parts"))).drop("_parts", *keys)
+    beside = hulls.join(sizes, same).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts", *keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields) + ", p_hommel double"
+
+    def adjust(group: pd.DataFrame, hull: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return group.assign(p_hommel=pd.Series(dtype=float))
+        hull = hull.sort_values("_x", kind="stable")
+        adjusted = hommel_by_hull(group[p].to_numpy(float), hull["_x"].to_numpy(float), hull["_y"].to_numpy(float), int(hull["_of"].iat[0]))
+        return group.assign(p_hommel=adjusted)
+
+    return dealt.groupBy(*family, "_part").cogroup(beside.groupBy(*family, "_part")).applyInPandas(
+        lambda group, hull: adjust(group.drop(columns="_part"), hull), schema
+    )

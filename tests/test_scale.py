@@ -1,9 +1,10 @@
 """Steps whose memory, shuffled bytes or passes must not grow faster than the tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakweave.operators import match
+from peakweave.operators import match, padjust
 from peakweave.queries import registry
 
 
@@ -43,3 +44,34 @@ def test_values_are_averaged_before_they_meet_their_hits(spark, collect):
     assert {tuple(r) for r in out.collect()} == {(1, "x", "a", 3.0), (1, "y", "a", 3.0), (1, "x", None, 5.0), (1, "y", None, 5.0), (3, None, "b", 9.0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("avg("), "the means are taken below the join with the hits"
+
+
+def test_hommel_takes_families_of_any_size(spark):
+    many = spark.range(1_200_000).select(F.lit("f").alias("family"), ((F.col("id") % 500 + 1) / 1000.0).alias("p_value"))
+    got = padjust.p_adjust(many, ["family"], "p_value", ["hommel"]).select("p_value", "p_hommel").distinct().orderBy("p_value").toPandas()
+    p = np.repeat(np.arange(1, 501) / 1000.0, 2400)
+    assert np.allclose(got["p_hommel"], padjust.hommel_adjusted(p)[2399::2400], rtol=1e-12)
+
+
+def test_hommel_in_parts_beside_one_hull(spark, monkeypatch):
+    monkeypatch.setattr(padjust, "HOMMEL_PART", 7)
+    rng = np.random.default_rng(3)
+    p = {"a": np.sort(np.round(rng.random(90) ** 3, 3)), "b": np.sort(rng.random(20)), "c": np.array([0.2])}
+    df = spark.createDataFrame([(f, float(v)) for f, vs in p.items() for v in vs], "family string, p_value double")
+    got = padjust.p_adjust(df, ["family"], "p_value", ["hommel"]).orderBy("family", "p_value").toPandas()
+    for f, vs in p.items():
+        n = len(vs)
+        # literal form: greatest min(m p, q_m), q_m the combined value of the m largest
+        q = [min(m * vs[n - m + k - 1] / k for k in range(1, m + 1)) for m in range(1, n + 1)]
+        want = [max(min((m + 1) * v, q[m]) for m in range(n)) for v in vs]
+        assert np.allclose(got[got["family"] == f]["p_hommel"], want)
+    alone = padjust.p_adjust(df.filter("family = 'b'").drop("family"), [], "p_value", ["hommel"]).orderBy("p_value").toPandas()
+    assert np.allclose(alone["p_hommel"], padjust.hommel_adjusted(p["b"]))
+
+
+def test_hull_of_a_cascade_is_walked_to_its_end():
+    x = np.arange(1.0, 400)
+    y = np.append((x[:-1] / 400) ** 2, 0.1 * 1.0)
+    kept = padjust.lower_hull(x, y)
+    slopes = np.diff(y[kept]) / np.diff(x[kept])
+    assert (np.diff(slopes) > 0).all() and kept[-1] == len(x) - 1
