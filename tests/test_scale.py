@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakweave.operators import match, padjust
+from peakweave.operators import cluster, distance, match, padjust
 from peakweave.queries import registry
 
 
@@ -75,3 +75,65 @@ def test_hull_of_a_cascade_is_walked_to_its_end():
     kept = padjust.lower_hull(x, y)
     slopes = np.diff(y[kept]) / np.diff(x[kept])
     assert (np.diff(slopes) > 0).all() and kept[-1] == len(x) - 1
+
+
+def _rows(spark, n=90, width=3, seed=2):
+    x = np.round(np.random.default_rng(seed).random((n, width)), 1)
+    return x, spark.createDataFrame([(i, int(i % 4), [float(v) for v in x[i]]) for i in range(n)], "file int, cluster int, x array<double>")
+
+
+def test_rows_go_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCKS", 3)
+    _, df = _rows(spark)
+
+    def pairs(left, right, same):
+        import pandas as pd
+
+        assert len(left) <= 10 and len(right) <= 10
+        a, b = left["file"].to_numpy(), right["file"].to_numpy()
+        r, c = np.nonzero(np.triu(np.ones((len(a), len(b))), 1) if same else np.ones((len(a), len(b))))
+        return pd.DataFrame({"i": np.minimum(a[r], b[c]), "j": np.maximum(a[r], b[c])})
+
+    out = distance.block_pairs(df.select("file"), "file", pairs, "i int, j int", 5)
+    sent = [tuple(r) for r in out.collect()]
+    assert len(sent) == len(set(sent)) == 90 * 89 // 2
+    # every row is sent to as many tasks as there are blocks
+    assert out._jdf.queryExecution().toString().count("sequence(0, 2") > 0
+
+
+def test_tiles_give_the_same_distances_and_silhouettes(spark, monkeypatch):
+    _, df = _rows(spark)
+    want = {(r.i, r.j): r.value for r in distance.pairwise_distance(df).collect()}
+    wide = {r.file: (r.neighbour, r.width) for r in cluster.silhouette_rows(df).collect()}
+    original = distance.block_pairs
+
+    def small(rows, key, fn, schema, **kw):
+        return original(rows, key, fn, schema, 7, **kw)
+
+    monkeypatch.setattr(distance, "BLOCKS", 2)
+    monkeypatch.setattr(distance, "HELD_ROWS", 30)
+    monkeypatch.setattr(distance, "block_pairs", small)
+    monkeypatch.setattr(cluster, "block_pairs", small)
+    assert {(r.i, r.j): r.value for r in distance.pairwise_distance(df).collect()} == want
+    got = {r.file: (r.neighbour, r.width) for r in cluster.silhouette_rows(df).collect()}
+    assert got.keys() == wide.keys() and all(got[f][0] == wide[f][0] and abs(got[f][1] - wide[f][1]) < 1e-12 for f in wide)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_neighbours_by_tiles_are_those_of_all_distances(spark, monkeypatch, metric):
+    monkeypatch.setattr(distance, "BLOCKS", 4)
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 8)
+    x, df = _rows(spark)
+    got = distance.nearest_neighbours(df, df, 5, metric=metric, carry=("cluster",), block_rows=6).orderBy("file", "rank").collect()
+    d = distance.metric_function(metric)(x, x)
+    want = [(i, int(j), d[i, j]) for i in range(90) for j in np.argsort(d[i], kind="stable")[:5]]
+    assert [(r.file, r.n_id, r.distance) for r in got] == want
+
+
+def test_near_rows_by_products_keep_ties_and_copies():
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.standard_normal((40, 16)), np.zeros((30, 16)), 1e6 + rng.standard_normal((20, 16)) * 1e-6])
+    r, c, d = distance.nearest_in_block(a, a, 9, "euclidean")
+    full = distance.metric_function("euclidean")(a, a)
+    near = np.argsort(full, axis=1, kind="stable")[:, :9]
+    assert (c.reshape(len(a), -1) == near).all() and (d.reshape(len(a), -1) == np.take_along_axis(full, near, 1)).all()
