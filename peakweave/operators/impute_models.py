@@ -15,7 +15,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.operators.distance import _id_type, _stack, block_count, column_ranges, gower_block, with_block
+from peakweave.operators.distance import BLOCKS, _id_type, _stack, block_count, column_ranges, gower_block, with_block
 from peakweave.operators.project import leading_components
 from peakweave.session import cut_lineage
 
@@ -25,9 +25,10 @@ def impute_knn(rows: DataFrame, k: int = 5, key: str = "file", array: str = "x",
     """Median of the k nearest samples that have the value, by Gower distance, ties by sample id.
 
     Donors of a cell are the nearest samples having that cell. Every pair of blocks proposes k donors
-    per missing cell; the proposals of all blocks are then cut to k. A cell nobody has stays null.
+    per missing cell; the proposals of all blocks are then cut to k. A cell nobody has stays null. There are at most
+    half of BLOCKS blocks, which a task compares in tiles of at most `block_rows` rows.
     """
-    blocks = block_count(rows, block_rows)
+    blocks = block_count(rows, block_rows, BLOCKS // 2)
     measure = gower_block(column_ranges(rows, array), array, categories)
     spread = with_block(rows.select(key, array, *categories), key, blocks)
     everything = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -41,9 +42,23 @@ def impute_knn(rows: DataFrame, k: int = 5, key: str = "file", array: str = "x",
     kind = _id_type(rows, key)
 
     def propose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns=theirs).sort_values(key, kind="stable")
+        if max(len(a), len(b)) <= 2 * block_rows:
+            return of_tile(a, b)
+        found = []
+        for i in range(0, len(a), block_rows):
+            best = of_tile(a.iloc[:0], b.iloc[:0])
+            for j in range(0, len(b), block_rows):
+                new = of_tile(a.iloc[i : i + block_rows], b.iloc[j : j + block_rows])
+                # tiles follow the ids of the donors, so that equal distances stay in their order
+                both = pd.concat([best, new], ignore_index=True) if len(best) else new
+                best = both.sort_values("d", kind="stable").groupby([key, "k"], sort=False).head(k) if len(both) else both
+            found.append(best)
+        return pd.concat(found, ignore_index=True)
+
+    def of_tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {key: [], "k": [], "donor": [], "d": [], "v": []}
         if len(a) and len(b):
-            b = b.rename(columns=theirs).sort_values(key, kind="stable")
             d = measure(a, b)
             ids_a, ids_b = a[key].to_numpy(), b[key].to_numpy()
             d = np.where(ids_a[:, None] == ids_b[None, :], np.nan, d)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakweave.operators import cluster, distance, match, padjust
+from peakweave.operators import cluster, distance, impute_models, match, medoids, padjust
 from peakweave.queries import registry
 
 
@@ -137,3 +137,29 @@ def test_near_rows_by_products_keep_ties_and_copies():
     full = distance.metric_function("euclidean")(a, a)
     near = np.argsort(full, axis=1, kind="stable")[:, :9]
     assert (c.reshape(len(a), -1) == near).all() and (d.reshape(len(a), -1) == np.take_along_axis(full, near, 1)).all()
+
+
+def test_knn_imputation_by_tiles_is_that_of_whole_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((70, 4)), 1)
+    gone = rng.random(x.shape) < 0.3
+    df = spark.createDataFrame([(i, [None if gone[i, c] else float(x[i, c]) for c in range(4)]) for i in range(70)], "file int, x array<double>")
+    want = {r.file: r.x for r in impute_models.impute_knn(df).collect()}
+    monkeypatch.setattr(impute_models, "BLOCKS", 4)
+    tiled = impute_models.impute_knn(df, block_rows=4)
+    assert {r.file: r.x for r in tiled.collect()} == want
+    assert "sequence(0, 1" in tiled._jdf.queryExecution().toString(), "rows go to two blocks, not to 18"
+
+
+def test_passes_over_candidate_medoids_grow(spark, monkeypatch):
+    x = np.random.default_rng(6).standard_normal((300, 24))
+    df = spark.createDataFrame([(i, 0, [float(v) for v in x[i]]) for i in range(300)], "file int, c int, x array<double>")
+    passes = []
+    top = medoids.top_k
+    monkeypatch.setattr(medoids, "TRIED", 2)
+    monkeypatch.setattr(medoids, "HELD", 1000)
+    monkeypatch.setattr(medoids, "top_k", lambda *a: passes.append(a[-1]) or top(*a))
+    best, _ = medoids.central_rows(df, "file", "x", "c", "euclidean")
+    d = distance.metric_function("euclidean")(x, x)
+    assert best == {0: int(d.sum(1).argmin())}
+    assert passes[:4] == [2, 4, 8, 16] and len(passes) < 12
