@@ -163,3 +163,69 @@ def test_passes_over_candidate_medoids_grow(spark, monkeypatch):
     d = distance.metric_function("euclidean")(x, x)
     assert best == {0: int(d.sum(1).argmin())}
     assert passes[:4] == [2, 4, 8, 16] and len(passes) < 12
+
+
+def _joined(ids, pairs):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {i: top(i) for i in ids}
+
+
+def test_a_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 3), (30, 20), (30, 400), (400, 380)):
+        i, j = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        kept = distance.spanning_forest(i, j)
+        want = _joined(range(0, 7 * n, 7), zip(i.tolist(), j.tolist(), strict=True))
+        assert _joined(range(0, 7 * n, 7), zip(i[kept].tolist(), j[kept].tolist(), strict=True)) == want
+        assert len(kept) == n - len(set(want.values()))
+    # a missing id is no row that two others could meet at
+    kept = distance.spanning_forest(np.array([1.0, 2.0, 1.0, np.nan]), np.array([np.nan, np.nan, 2.0, np.nan]))
+    assert kept.tolist() == [2]
+    assert distance.spanning_forest(np.array(["a", None], object), np.array(["b", "a"], object)).tolist() == [0]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_close_pairs_and_distances_by_products_are_those_of_the_metric(shift):
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.standard_normal((60, 8)), np.zeros((5, 8)), np.round(rng.random((40, 8)), 1)]) + shift
+    full = distance.metric_function("euclidean")(a, a)
+    for at_most in (0.0, 0.5, 1.5, float(full[3, 70])):
+        r, c, d = distance.close_in_block(a, a, at_most, "euclidean")
+        assert (np.stack([r, c]) == np.stack(np.nonzero(full <= at_most))).all() and (d == full[r, c]).all()
+    assert np.allclose(distance.distances_in_block(a, a, "euclidean"), full, rtol=1e-11, atol=0)
+    odd = a.copy()
+    odd[2, 1], odd[3, 1] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        full = distance.metric_function("euclidean")(odd, odd)
+        assert (distance.close_in_block(odd, odd, 0.5, "euclidean")[0] == np.nonzero(full <= 0.5)[0]).all()
+        assert np.array_equal(distance.distances_in_block(odd, odd, "euclidean"), full, equal_nan=True)
+
+
+def test_clusters_by_height_need_a_forest_of_each_task_only(spark, monkeypatch):
+    x, df = _rows(spark, 200)
+    original = distance.block_pairs
+    monkeypatch.setattr(distance, "HELD_ROWS", 50)
+    monkeypatch.setattr(distance, "FEW_BLOCKS", 2)
+    monkeypatch.setattr(distance, "block_pairs", lambda rows, key, fn, schema, **kw: original(rows, key, fn, schema, 16, **kw))
+    every = distance.pairwise_distance(df, at_most=0.15)
+    forest = distance.pairwise_distance(df, at_most=0.15, forest=True)
+    d = distance.metric_function("euclidean")(x, x)
+    want = _joined(range(200), [(a, b) for a, b in zip(*(z.tolist() for z in np.nonzero(d <= 0.15)), strict=True) if a < b])
+    pairs = {(r.i, r.j): r.value for r in every.collect()}
+    kept = {(r.i, r.j): r.value for r in forest.collect()}
+    assert kept.items() <= pairs.items() and pairs.keys() == {(a, b) for a in range(200) for b in range(a + 1, 200) if d[a, b] <= 0.15}
+    assert len(kept) <= 3 * 199 and len(set(want.values())) > 1
+    assert {r.file: r.cluster for r in cluster.threshold_clusters(df.select("file"), forest, 0.15).collect()} == want
+    close = df.selectExpr("file", "transform(x, v -> v / 100) as x")
+    assert distance.pairwise_distance(close, at_most=1.0, forest=True).count() <= 3 * 199 < distance.pairwise_distance(close, at_most=1.0).count()
+    with pytest.raises(ValueError, match="height"):
+        distance.pairwise_distance(df, forest=True)
