@@ -229,3 +229,12 @@ def test_clusters_by_height_need_a_forest_of_each_task_only(spark, monkeypatch):
     assert distance.pairwise_distance(close, at_most=1.0, forest=True).count() <= 3 * 199 < distance.pairwise_distance(close, at_most=1.0).count()
     with pytest.raises(ValueError, match="height"):
         distance.pairwise_distance(df, forest=True)
+
+
+def test_silhouettes_send_a_row_to_few_blocks(spark, monkeypatch):
+    _, df = _rows(spark)
+    original = cluster.block_pairs
+    monkeypatch.setattr(cluster, "FEW_BLOCKS", 3)
+    monkeypatch.setattr(cluster, "block_pairs", lambda rows, key, fn, schema, **kw: original(rows, key, fn, schema, 7, **kw))
+    plan = cluster.silhouette_rows(df)._jdf.queryExecution().toString()
+    assert "sequence(0, 2" in plan and "sequence(0, 12" not in plan
