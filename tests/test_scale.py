@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakweave.operators import cluster, distance, impute_models, match, medoids, padjust
+from peakweave.operators import cluster, distance, impute_models, match, medoids, padjust, pivots
 from peakweave.queries import registry
 
 
@@ -231,6 +231,20 @@ def test_clusters_by_height_need_a_forest_of_each_task_only(spark, monkeypatch):
         distance.pairwise_distance(df, forest=True)
 
 
+@pytest.mark.parametrize("mostly", [-1.0, 9.0])
+@pytest.mark.parametrize("metric", ["euclidean", "maximum"])
+def test_near_clusters_by_cells_and_by_blocks(spark, monkeypatch, mostly, metric):
+    x, df = _rows(spark, 150, seed=4)
+    monkeypatch.setattr(pivots, "MOSTLY", mostly)
+    ways = []
+    for name in ("pairwise_distance", "_near_pairs"):
+        monkeypatch.setattr(pivots, name, lambda *a, _f=getattr(pivots, name), _n=name, **kw: ways.append((_n, kw["forest"])) or _f(*a, **kw))
+    d = distance.metric_function(metric)(x, x)
+    want = _joined(range(150), [(a, b) for a, b in zip(*(z.tolist() for z in np.nonzero(d <= 0.12)), strict=True) if a < b])
+    assert {r.file: r.cluster for r in pivots.near_clusters(df, 0.12, metric=metric).collect()} == want
+    assert ways == [("pairwise_distance" if mostly < 0 else "_near_pairs", True)]
+
+
 def test_silhouettes_send_a_row_to_few_blocks(spark, monkeypatch):
     _, df = _rows(spark)
     original = cluster.block_pairs
