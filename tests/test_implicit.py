@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from peakweave.operators import implicit as module
 from peakweave.operators.implicit import implicit, missing_cells
-from peakweave.operators.impute import IMPUTERS, fill_missing, half_min_fills, mean_fills
+from peakweave.operators.impute import IMPUTERS, fill_missing, half_min_fills, impute_half_min_technique, mean_fills
 from peakweave.operators.normalize import NORMALIZERS
 from peakweave.plans import study
 
@@ -86,3 +86,37 @@ def test_arrays_equal_those_of_the_dense_table(spark, imputer, normalizer):
     dense = {(r.file, r.feature): r.value or 0.0 for r in study.prepare(df, imputer, normalizer).collect()}
     got = {(r.file, order[i]): v for r in rows.collect() for i, v in enumerate(r.x)}
     assert got.keys() == dense.keys() and all(abs(got[k] - dense[k]) < 1e-9 for k in dense)
+
+
+@pytest.mark.parametrize("held", [1 << 17, 3])
+def test_missing_cells_of_features_that_go_on_over_many_batches(spark, collect, held, monkeypatch):
+    monkeypatch.setattr(module, "HELD", held)
+    monkeypatch.setattr(module, "RUN", 4)
+    cells, df = frame(spark, 5)
+    names, there = {b for _, b, _ in cells}, {(a, b) for a, b, _ in cells}
+    want = sorted((a, b) for a in {a for a, _, _ in cells} for b in names if (a, b) not in there)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert collect(missing_cells(df.unionByName(df), None), "file", "feature") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_fills_are_changed_once_a_feature_and_lists_leave_the_tasks(spark, collect):
+    _, df = frame(spark, 6)
+    plain = {(a, b): v for a, b, v in collect(IMPUTERS["mean"](df), "file", "feature", "value")}
+    filled = IMPUTERS["mean"](df, change=lambda v: F.round(v, 2))
+    assert all(abs(v - plain[a, b]) <= 0.005 + 1e-9 and abs(v * 100 - round(v * 100)) < 1e-6 for a, b, v in collect(filled, "file", "feature", "value"))
+    absent = filled.filter("imputed").select("value")._jdf.queryExecution().executedPlan().toString()
+    # neither is a value rounded nor a row made in Python for each missing cell
+    assert "round(" not in absent.split("MapInArrow")[0] and "explode" in absent.lower()
+
+
+def test_fills_of_a_technique(spark, collect):
+    df = spark.createDataFrame([("a", "x", 4, "GC"), ("b", "y", 3, "GC"), ("c", "z", 9, "ICP"), ("d", "w", None, "ICP"), ("e", "v", 1, None)], "file string, feature string, value int, technique string")
+    got = collect(impute_half_min_technique(df), "file", "feature", "technique", "value", "imputed")
+    assert got == sorted([
+        ("a", "x", "GC", 4.0, False), ("a", "y", "GC", 1.5, True), ("b", "x", "GC", 1.5, True), ("b", "y", "GC", 3.0, False),
+        ("c", "z", "ICP", 9.0, False), ("c", "w", "ICP", 4.5, True), ("d", "z", "ICP", 4.5, True), ("d", "w", "ICP", 4.5, True),
+    ])
