@@ -120,3 +120,29 @@ def test_fills_of_a_technique(spark, collect):
         ("a", "x", "GC", 4.0, False), ("a", "y", "GC", 1.5, True), ("b", "x", "GC", 1.5, True), ("b", "y", "GC", 3.0, False),
         ("c", "z", "ICP", 9.0, False), ("c", "w", "ICP", 4.5, True), ("d", "z", "ICP", 4.5, True), ("d", "w", "ICP", 4.5, True),
     ])
+
+
+@pytest.mark.parametrize(("names", "files", "share", "run"), [(5, 9, 0.3, 4), (40, 1100, 0.01, 512), (9, 700, 0.002, 512), (7, 3, 0.9, 4), (6, 600, 1.0, 64), (3, 2000, 0.0, 512), (10, 50, 0.1, 2)])
+def test_products_are_all_cells_but_the_measured(names, files, share, run):
+    there = np.random.default_rng(names).random((names, files)) < share
+    name, file = np.nonzero(there)
+    got = np.zeros(there.shape, int)
+    for inner, names_of, outer, files_of in module._rectangles(names, files, np.repeat(name, 2), np.repeat(file, 2), run):
+        for a, b, c, d in zip(inner, inner[1:], outer, outer[1:], strict=False):
+            assert (b - a) * (d - c) <= max(run, module.PRODUCT)
+            np.add.at(got, np.ix_(names_of[a:b], files_of[c:d]), 1)
+    assert (got == ~there).all()
+
+
+def test_features_that_lack_the_same_files_leave_the_tasks_together(spark, tmp_path):
+    n = 600
+    cells = spark.range(1200).select((F.col("id") % n).alias("file"), F.col("id").alias("feature"), F.lit(1.0).alias("value")).coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        missing_cells(cells, mean_fills(cells)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1200 * (n - 1)
+    # files in one order for nearly all features: they repeat and compress
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.25 * 1200 * (n - 1)
