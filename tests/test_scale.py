@@ -151,6 +151,44 @@ def test_knn_imputation_by_tiles_is_that_of_whole_blocks(spark, monkeypatch):
     assert "sequence(0, 1" in tiled._jdf.queryExecution().toString(), "rows go to two blocks, not to 18"
 
 
+def test_donors_are_searched_without_measuring_most_pairs():
+    rng = np.random.default_rng(8)
+    x = rng.random((6000, 4))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[3000:3200] = x[:200]
+    gaps = np.flatnonzero(np.isnan(x).any(axis=1))[:80]
+    measured = []
+
+    def same(a, b):
+        measured.append(b.size)
+        return gaps[a] == b
+
+    row, col, place, d = impute_models.nearest_donors(x[gaps], x, np.ones(4), 5, same, leaf=16)
+    want = []
+    for r, i in enumerate(gaps):
+        part = np.abs(x[i] - x)
+        n = (~np.isnan(part)).sum(1)
+        full = np.where((n > 0) & (np.arange(len(x)) != i), np.nansum(part, 1) / np.maximum(n, 1), np.nan)
+        for c in np.flatnonzero(np.isnan(x[i])):
+            order = [j for j in np.argsort(full, kind="stable") if not np.isnan(full[j]) and not np.isnan(x[j, c])]
+            want += [(r, c, j, full[j]) for j in order[:5]]
+    assert list(zip(row, col, place, d, strict=True)) == want
+    assert sum(measured) < 0.1 * len(gaps) * len(x)
+
+
+def test_donors_of_rows_without_shared_columns_infinite_values_and_categories():
+    x = np.array([[np.nan, 1.0, 2.0], [5.0, np.nan, np.nan], [6.0, 1.0, np.inf], [7.0, 3.0, 2.0], [8.0, 1.0, np.inf]])
+    ids = np.arange(5)
+    row, col, place, _ = impute_models.nearest_donors(x[:1], x, np.ones(3), 2, lambda a, b: a == b, leaf=2)
+    with np.errstate(invalid="ignore"):
+        want = [j for _, j in sorted((np.inf if j != 3 else 1.0, j) for j in (2, 3, 4))][:2]
+    assert list(zip(row, col, place, strict=True)) == [(0, 0, j) for j in want]
+    kinds = np.array(["a", "a", "b", None, "a"], object)
+    found = impute_models.nearest_donors(x[:1], x, np.ones(3), 5, lambda a, b: ids[a] == ids[b], [(kinds[:1], kinds)], leaf=2)
+    # row 1 shares its category only
+    assert found[2].tolist()[0] == 1 and found[3].tolist()[0] == 0.0
+
+
 def test_passes_over_candidate_medoids_grow(spark, monkeypatch):
     x = np.random.default_rng(6).standard_normal((300, 24))
     df = spark.createDataFrame([(i, 0, [float(v) for v in x[i]]) for i in range(300)], "file int, c int, x array<double>")
