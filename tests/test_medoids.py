@@ -38,3 +38,31 @@ def test_few_rows_and_none(spark, collect):
     assert medoids.k_medoids_of(df.limit(0), 2).collect() == []
     with pytest.raises(ValueError, match="metric"):
         medoids.k_medoids_of(df, 2, metric="canberra")
+
+
+def test_rows_that_bounds_do_not_rule_out_are_measured_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(medoids, "TRIED", 4)
+    monkeypatch.setattr(medoids, "MOST_TRIED", 8)
+    x = np.random.default_rng(4).standard_normal((400, 24))
+    x[300:] = x[:100]
+    df = spark.createDataFrame([(int(i), int(i % 100) % 2, x[i].tolist()) for i in np.random.default_rng(5).permutation(400)], "file long, part int, x array<double>")
+    passes, top = [], medoids.top_k
+    monkeypatch.setattr(medoids, "top_k", lambda *a: passes.append(a[-1]) or top(*a))
+    got, measured = medoids.central_rows(df, "file", "x", "part", "euclidean")
+    for c in range(2):
+        own = np.flatnonzero(np.arange(400) % 100 % 2 == c)
+        sums = metric_function("euclidean")(x[own], x[own]).sum(axis=1)
+        # copies have the same sum: the least id
+        assert got[c] == min(own[sums <= sums.min() * (1 + 1e-12)])
+    assert passes == [4, 8] and 100 < measured <= 400
+
+
+def test_many_different_rows_of_the_same_sum(spark, monkeypatch):
+    monkeypatch.setattr(medoids, "TRIED", 2)
+    monkeypatch.setattr(medoids, "MOST_TRIED", 4)
+    x = np.concatenate([np.zeros((2, 3)), np.eye(3), -np.eye(3), 2 * np.eye(3), -2 * np.eye(3), 5 * np.ones((1, 3)), -5 * np.ones((1, 3))])
+    ring = [[float(np.cos(a)), float(np.sin(a)), 0.0] for a in np.arange(24) * np.pi / 12]
+    df = spark.createDataFrame([(i, 0, v) for i, v in enumerate(ring)], "file long, part int, x array<double>")
+    assert medoids.central_rows(df, "file", "x", "part", "euclidean")[0][0] in range(24)
+    df = spark.createDataFrame([(100 - i, 0, v.tolist()) for i, v in enumerate(x)], "file long, part int, x array<double>")
+    assert medoids.central_rows(df, "file", "x", "part", "euclidean")[0] == {0: 99}
