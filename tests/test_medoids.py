@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from peakweave.operators import medoids
-from peakweave.operators.cluster import k_medoids
+from peakweave.operators.cluster import k_medoids, silhouette
 from peakweave.operators.distance import metric_function, pairwise_distance
 
 
@@ -66,3 +66,16 @@ def test_many_different_rows_of_the_same_sum(spark, monkeypatch):
     assert medoids.central_rows(df, "file", "x", "part", "euclidean")[0][0] in range(24)
     df = spark.createDataFrame([(100 - i, 0, v.tolist()) for i, v in enumerate(x)], "file long, part int, x array<double>")
     assert medoids.central_rows(df, "file", "x", "part", "euclidean")[0] == {0: 99}
+
+
+def test_silhouettes_do_not_shuffle_pairs(spark):
+    _, df = frame(spark, 6, n=40)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = silhouette(pairwise_distance(df), df.selectExpr("file", "file % 3 AS cluster"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # once for either block, and no pair is sorted by its ids
+        assert plan.count("FlatMapGroupsInPandas") == 1 and "hashpartitioning(j" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
